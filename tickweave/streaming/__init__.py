@@ -1,0 +1,2 @@
+"""No streaming operator exists: the data contract admits complete runs only, so every
+operator is a batch operator. The package is kept so that the layout says so."""
