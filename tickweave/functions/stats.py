@@ -12,6 +12,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickweave.functions.scalars import col
 
@@ -69,7 +70,7 @@ def sign_test_p(successes: int, trials: int) -> float:
     return sum(math.comb(trials, i) for i in range(successes, trials + 1)) / 2**trials
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sign_test(successes: pd.Series, trials: pd.Series) -> pd.Series:
     """Arrow-batched; it runs on one row per comparison and budget, after aggregation."""
     return pd.Series(

@@ -37,11 +37,17 @@ class Bands:
         lag: Mapping[str, Column | str] | None = None,
         lead: Mapping[str, Column | str] | None = None,
         running: Mapping[str, tuple[str, Column]] | None = None,
+        before: Mapping[str, tuple[str, Column]] | None = None,
     ) -> DataFrame:
         """``df`` with, for every row, the values of the previous row (``lag``), of the next
         row (``lead``), and running sum/max/min up to and including the row (``running``:
-        name -> (function, column))."""
-        lag, lead, running = dict(lag or {}), dict(lead or {}), dict(running or {})
+        name -> (function, column)); ``before`` is the same without the row itself.
+
+        ``df`` is read twice, once for the summary: several functions of one table belong in
+        one call, and a table that is scanned repeatedly is cut from its lineage first."""
+        lag, lead = dict(lag or {}), dict(lead or {})
+        exclusive = set(before or {})
+        running = {**(running or {}), **(before or {})}
         keys, names = list(self.keys), df.columns
 
         def packed(items: Mapping[str, Column | str]) -> Column:
@@ -65,7 +71,7 @@ class Bands:
         summary += [_MERGE[fn](f"_run_{n}").alias(f"_run_{n}") for n, (fn, _) in running.items()]
         per_band = rows.groupBy(*keys, "_band").agg(*summary)
         along = Window.partitionBy(*keys).orderBy("_band")
-        before = along.rowsBetween(Window.unboundedPreceding, -1)
+        earlier = along.rowsBetween(Window.unboundedPreceding, -1)
 
         # One edge row in front of each band and, for lead, one behind it.
         front = per_band.select(
@@ -74,7 +80,7 @@ class Bands:
             F.lit(0).alias("_side"),
             *([F.lag("_lag").over(along).alias("_lag")] if lag else []),
             *([F.lead("_lead").over(along).alias("_next")] if lead else []),
-            *[_MERGE[fn](f"_run_{n}").over(before).alias(f"_run_{n}") for n, (fn, _) in running.items()],
+            *[_MERGE[fn](f"_run_{n}").over(earlier).alias(f"_run_{n}") for n, (fn, _) in running.items()],
         )
         if lead:
             edges = front.select(
@@ -102,11 +108,38 @@ class Bands:
             both = both.withColumn("_after", F.lead("_lead").over(inside))
             out += [F.col(f"_after.{n}").alias(n) for n in lead]
         for name, (fn, _) in running.items():
-            both = both.withColumn(f"_upto_{name}", _MERGE[fn](f"_run_{name}").over(upto))
+            frame = inside.rowsBetween(Window.unboundedPreceding, -1) if name in exclusive else upto
+            both = both.withColumn(f"_upto_{name}", _MERGE[fn](f"_run_{name}").over(frame))
             out.append(F.col(f"_upto_{name}").alias(name))
         return both.where(F.col("_side") == 1).select(*out)
 
 
+@dataclass(frozen=True)
+class Neighbourhood:
+    """Bands for functions that look a bounded number of ticks back and ahead. Every row is
+    sent to the bands whose ticks can see it, so one exchange and a plain window inside each
+    band are exact; rows near an edge are copied, (back + ahead) / width of them."""
+
+    keys: Sequence[str]
+    tick: str
+    back: int
+    ahead: int
+    width: int = DEFAULT_WIDTH
+
+    def spread(self, df: DataFrame) -> DataFrame:
+        """``df`` with ``_band`` and ``_home``, true for the copy a result is taken from."""
+        t, w = F.col(self.tick), F.lit(int(self.width))
+        bands = F.sequence(F.floor((t - self.ahead) / w), F.floor((t + self.back) / w))
+        return df.withColumn("_band", F.explode(bands)).withColumn("_home", F.col("_band") == F.floor(t / w))
+
+    def window(self):
+        return Window.partitionBy(*self.keys, "_band").orderBy(self.tick)
+
+    @staticmethod
+    def gather(df: DataFrame) -> DataFrame:
+        return df.where("_home").drop("_band", "_home")
+
+
 def number_rows(df: DataFrame, keys: Sequence[str], tick: str, name: str, ties: Sequence[str] = (),
                 width: int = DEFAULT_WIDTH) -> DataFrame:
     """1-based position of each row in its series."""

@@ -234,3 +234,10 @@ def registry(spark: SparkSession, sf_dir: str) -> Tables:
         operating_runs=conform(runs, "operating_runs"),
         measurements=no_measurements,
     )
+
+
+def rough_wide(wide: DataFrame) -> DataFrame:
+    """The wide log with a few single rows at which an input is moved out of turn, so that
+    some excursions have no context and some runs break their layout."""
+    glitch = F.col("event_id") % 1009 == 0
+    return wide.withColumn("q", F.when(glitch, F.lit(0.0019)).otherwise(F.col("q")))
