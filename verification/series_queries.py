@@ -55,7 +55,7 @@ SELECT plant_id, run_id, block_index, round(block_start_s, 6) AS block_start_s,
 FROM (
   SELECT a.plant_id, a.run_id, a.sample_index // 10 AS block_index, any_value(r.start_time_s) + 60.0::DOUBLE * block_index AS block_start_s,
          least(10, any_value(r.n_samples) - 10 * block_index) AS n_expected,
-         count_if(complete) AS n_present,
+         count(*) FILTER (complete) AS n_present,
          avg(CASE WHEN complete THEN C_A END) AS C_A_mean, avg(CASE WHEN complete THEN T END) AS T_mean,
          min(q) AS q_lo, max(q) AS q_hi, min(C_Af) AS c_lo, max(C_Af) AS c_hi,
          min(T_f) AS f_lo, max(T_f) AS f_hi, min(T_c) AS j_lo, max(T_c) AS j_hi
@@ -71,12 +71,12 @@ pairs AS (
          s.complete AND t.complete AS both_complete, t.C_A - s.C_A AS dc, t.T - s.T AS dt
   FROM halves s JOIN halves t ON s.definition = t.definition AND s.sample_index = t.sample_index
   WHERE s.plant_id = 'source' AND t.plant_id = 'target')
-SELECT definition, source_run, target_run, count(*) AS n_paired, round(count(*) / longer, 6) AS coverage,
-       count_if(same_instant) AS n_same_instant, count_if(same_inputs) AS n_same_inputs, count_if(ok) AS n_used,
-       round(avg(dc) FILTER (ok), 6) AS observed_difference_c_a_mean, round(stddev(dc) FILTER (ok), 6) AS observed_difference_c_a_std,
-       round(min(dc) FILTER (ok), 6) AS observed_difference_c_a_min, round(max(dc) FILTER (ok), 6) AS observed_difference_c_a_max,
-       round(avg(dt) FILTER (ok), 6) AS observed_difference_t_mean, round(stddev(dt) FILTER (ok), 6) AS observed_difference_t_std,
-       round(min(dt) FILTER (ok), 6) AS observed_difference_t_min, round(max(dt) FILTER (ok), 6) AS observed_difference_t_max
+SELECT definition, source_run, target_run, count(*) AS n_paired, round(count(*) / longer, 8) AS coverage,
+       count(*) FILTER (same_instant) AS n_same_instant, count(*) FILTER (same_inputs) AS n_same_inputs, count(*) FILTER (ok) AS n_used,
+       round(avg(dc) FILTER (ok), 8) AS observed_difference_c_a_mean, round(stddev(dc) FILTER (ok), 8) AS observed_difference_c_a_std,
+       round(min(dc) FILTER (ok), 8) AS observed_difference_c_a_min, round(max(dc) FILTER (ok), 8) AS observed_difference_c_a_max,
+       round(avg(dt) FILTER (ok), 8) AS observed_difference_t_mean, round(stddev(dt) FILTER (ok), 8) AS observed_difference_t_std,
+       round(min(dt) FILTER (ok), 8) AS observed_difference_t_min, round(max(dt) FILTER (ok), 8) AS observed_difference_t_max
 FROM (SELECT *, same_instant AND same_inputs AND both_complete AS ok FROM pairs)
 GROUP BY definition, source_run, target_run, longer"""
 
@@ -84,7 +84,7 @@ GROUP BY definition, source_run, target_run, longer"""
 def _pairs(source):
     def run(spark, sf):
         tables, aligned = source(spark, sf)
-        return aligned_rounded(series.compare_plants(aligned, tables.operating_runs, "source", "target"))
+        return aligned_rounded(series.compare_plants(aligned, tables.operating_runs, "source", "target"), 8)
 
     return run
 
@@ -128,11 +128,11 @@ QUERIES = {
     "series_long_rows": lambda spark, sf: eventlog.to_long(eventlog.wide_log(spark, sf)),
     "series_round_trip": _round_trip,
     "series_run_in_channel_order": lambda spark, sf: series.run_in_channel_order(eventlog.event_log(spark, sf), "target.p3.e3.x4.l60.a10.n0"),
-    "series_part_moments": lambda spark, sf: aligned_rounded(series.part_moments(eventlog.wide_log(spark, sf), ["run_id"])),
+    "series_part_moments": lambda spark, sf: aligned_rounded(series.part_moments(eventlog.wide_log(spark, sf), ["run_id"]), 8),
     "series_input_levels": lambda spark, sf: aligned_rounded(series.input_levels(eventlog.wide_log(spark, sf), NOMINAL)),
     "series_symmetric_difference": _symmetric,
 }
-_MOMENTS = ", ".join(f"round(avg({v}), 6) AS {v}_mean, round(stddev_pop({v}), 6) AS {v}_std" for v in ("C_A", "T", *INPUTS))
+_MOMENTS = ", ".join(f"round(avg({v}), 8) AS {v}_mean, round(stddev_pop({v}), 8) AS {v}_std" for v in ("C_A", "T", *INPUTS))
 SQL = {
     "series_aligned": on(BROKEN_ALIGNED, "SELECT * FROM aligned"),
     "series_aligned_clean": on(LOG_ALIGNED, "SELECT * FROM aligned"),

@@ -66,7 +66,8 @@ def _scores(spark, sf):
 def _violations(spark, sf):
     log = Log(spark, sf)
     data, initial, predictions = log.predictions()
-    return rounded(scoring.bound_violations(predictions, data, initial, log.enthalpy))
+    wild = predictions.withColumn("C_A_hat", F.col("C_A_hat") * 2 - 100).withColumn("T_hat", F.col("T_hat") - 15)
+    return rounded(scoring.bound_violations(wild, data, initial, log.enthalpy))
 
 
 def _coverage(spark, sf):
@@ -234,7 +235,7 @@ SQL = {
         SELECT run_id, budget, count(*) FILTER (cs) AS context_and_scored, count(*) FILTER (fv) AS shared, count(*) FILTER (tick > prefix_end) AS beyond_prefix,
                any_value(nf) AS n_fitting, any_value(nv) AS n_validation
         FROM (SELECT run_id, budget, tick, bool_or(role = 'context') AND bool_or(role = 'scored') AS cs, count(DISTINCT part) = 2 AS fv FROM pt GROUP BY ALL)
-        JOIN prefix USING (run_id, budget) JOIN (SELECT run_id, budget, count_if(part = 'fitting') AS nf, count_if(part = 'validation') AS nv FROM parts GROUP BY ALL) USING (run_id, budget)
+        JOIN prefix USING (run_id, budget) JOIN (SELECT run_id, budget, count(*) FILTER (part = 'fitting') AS nf, count(*) FILTER (part = 'validation') AS nv FROM parts GROUP BY ALL) USING (run_id, budget)
         GROUP BY run_id, budget"""),
     "windows_excitation": on(CLEAN + _SPLIT + _SIGNS + """
         , vectors AS (SELECT DISTINCT run_id, budget, part, a, b, c, d, corner FROM parts JOIN cornered USING (run_id, excursion)),
@@ -270,7 +271,7 @@ SQL = {
     "physics_bound_violations": on(CLEAN + _PREDICTED + """
         , so_far AS (SELECT run_id, excursion, sample_index + 1 AS sample_index, max(C_Af) OVER w AS rich, min(least(T_f, T_c)) OVER w AS cold
             FROM ticks JOIN wide USING (run_id, sample_index) WHERE role = 'input' WINDOW w AS (PARTITION BY run_id, excursion ORDER BY sample_index)),
-        limits AS (SELECT p.*, greatest(ic, rich) AS top, least(it, cold) AS low FROM predictions p JOIN so_far USING (run_id, excursion, sample_index) JOIN initial USING (run_id, excursion))""", """
+        limits AS (SELECT p.* REPLACE (c_hat * 2 - 100 AS c_hat, t_hat - 15 AS t_hat), greatest(ic, rich) AS top, least(it, cold) AS low FROM predictions p JOIN so_far USING (run_id, excursion, sample_index) JOIN initial USING (run_id, excursion))""", """
         SELECT model, run_id, excursion, sample_index, 'C_A below zero' AS bound, round(c_hat, 6) AS value, 0.0::DOUBLE AS "limit" FROM limits WHERE c_hat < 0
         UNION ALL SELECT model, run_id, excursion, sample_index, 'C_A above its initial value and every feed applied', round(c_hat, 6), round(top, 6) FROM limits WHERE c_hat > top
         UNION ALL SELECT model, run_id, excursion, sample_index, 'T below its initial value and every feed and coolant applied', round(t_hat, 6), round(low, 6) FROM limits WHERE t_hat < low"""),
@@ -278,8 +279,8 @@ SQL = {
         23900.0::DOUBLE AS thermal_mass, round(50000.0::DOUBLE / 239000, 9) AS heat_per_mole FROM plants"""),
     "physics_implied_terms": on(EVENT_LOG + _IMPLIED, """SELECT run_id, sample_index, round(rate, 6) AS rate, round(heat, 2) AS heat_flow, above AS above_coolant,
         rate_bound < 1e-12 AS small_rate_bound, heat_bound < 1e-4 AS small_heat_bound FROM implied"""),
-    "physics_implied_counts": on(EVENT_LOG + _IMPLIED, """SELECT run_id, count(*) AS points, count_if(rate < -rate_bound) AS negative_rate,
-        count_if(abs(heat) > heat_bound AND sign(heat) <> above) AS incompatible_heat_flow, count_if(above = 0) AS at_coolant_temperature,
-        count_if(abs(heat) <= heat_bound) AS heat_flow_within_bound FROM implied GROUP BY run_id"""),
+    "physics_implied_counts": on(EVENT_LOG + _IMPLIED, """SELECT run_id, count(*) AS points, count(*) FILTER (rate < -rate_bound) AS negative_rate,
+        count(*) FILTER (abs(heat) > heat_bound AND sign(heat) <> above) AS incompatible_heat_flow, count(*) FILTER (above = 0) AS at_coolant_temperature,
+        count(*) FILTER (abs(heat) <= heat_bound) AS heat_flow_within_bound FROM implied GROUP BY run_id"""),
     "physics_unrepresentable_terms": on(EVENT_LOG, "SELECT run_id, sample_index, 'rate' AS term FROM wide WHERE sample_index > 0 AND sample_index % 50 = 0"),
 }
