@@ -1,4 +1,4 @@
-"""Analysis of stored trajectories: (case_id, segment, i, t, C_A, T, inputs, ...), where i
+"""Analysis of stored trajectories: (case_id, segment, i, time_s, C_A, T, inputs, ...), where i
 counts the samples of a case and a segment has constant inputs."""
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ def _first_of(value: str) -> Column:
 def ranges_and_peaks(trajectory: DataFrame, value: str) -> DataFrame:
     """Smallest and largest value per case, and the first instant of the largest."""
     return trajectory.groupBy("case_id").agg(
-        F.min(value).alias("smallest"), F.max(value).alias("peak"), F.max_by("t", _first_of(value)).alias("peak_t"), F.count(F.lit(1)).alias("n")
+        F.min(value).alias("smallest"), F.max(value).alias("peak"), F.max_by("time_s", _first_of(value)).alias("peak_t"), F.count(F.lit(1)).alias("n")
     )
 
 
@@ -34,9 +34,9 @@ def refined_peaks(trajectory: DataFrame, value: str, width: int = DEFAULT_WIDTH)
     interval between its midpoints; the first and last also for the rest of the segment."""
     keys = ("case_id", "segment")
     ends = trajectory.groupBy(*keys).agg(F.min("i").alias("_first"), F.max("i").alias("_last"))
-    here = F.struct("i", "t", F.col(value).alias("v"))
-    rows = Bands(keys, "i", (), width).scan(trajectory.select(*keys, "i", "t", value), lag={"p": here}, lead={"s": here}).join(ends, list(keys))
-    t0, t1, t2 = F.col("p.t"), F.col("t"), F.col("s.t")
+    here = F.struct("i", F.col("time_s").alias("t"), F.col(value).alias("v"))
+    rows = Bands(keys, "i", (), width).scan(trajectory.select(*keys, "i", "time_s", value), lag={"p": here}, lead={"s": here}).join(ends, list(keys))
+    t0, t1, t2 = F.col("p.t"), F.col("time_s"), F.col("s.t")
     y0, y1, y2 = F.col("p.v"), F.col(value), F.col("s.v")
     spaced = rows.where((t1 > t0) & (t2 > t1))
     left, right = (y1 - y0) / (t1 - t0), (y2 - y1) / (t2 - t1)
@@ -58,8 +58,8 @@ def refined_peaks(trajectory: DataFrame, value: str, width: int = DEFAULT_WIDTH)
 def time_above(trajectory: DataFrame, value: str, limit: float, width: int = DEFAULT_WIDTH) -> DataFrame:
     """Seconds above a limit: the trapezoid rule on the indicator, along the whole case."""
     above = F.when(F.col(value) > limit, 1.0).otherwise(0.0)
-    rows = Bands(("case_id",), "i", (), width).scan(trajectory.select("case_id", "i", "t", above.alias("above")), lead={"_t": "t", "_above": "above"})
-    piece = F.lit(0.5) * (F.col("above") + F.col("_above")) * (F.col("_t") - F.col("t"))
+    rows = Bands(("case_id",), "i", (), width).scan(trajectory.select("case_id", "i", "time_s", above.alias("above")), lead={"_t": "time_s", "_above": "above"})
+    piece = F.lit(0.5) * (F.col("above") + F.col("_above")) * (F.col("_t") - F.col("time_s"))
     return rows.groupBy("case_id").agg(F.coalesce(F.sum(piece), F.lit(0.0)).alias("seconds_above"))
 
 
@@ -70,7 +70,7 @@ def balance_closure(trajectory: DataFrame, tolerance: float) -> DataFrame:
     intervals the last one by the trapezoid rule, and the segment says so."""
     keys = ["case_id", "segment"]
     span = trajectory.groupBy(*keys).agg(
-        F.min("i").alias("_first"), F.max("i").alias("_last"), ((F.max("t") - F.min("t")) / F.nullif(F.count(F.lit(1)) - 1, F.lit(0))).alias("_h"),
+        F.min("i").alias("_first"), F.max("i").alias("_last"), ((F.max("time_s") - F.min("time_s")) / F.nullif(F.count(F.lit(1)) - 1, F.lit(0))).alias("_h"),
         *[F.min_by(v, "i").alias(f"_{v}0") for v in ("C_A", "T")], *[F.max_by(v, "i").alias(f"_{v}1") for v in ("C_A", "T")],
     )
     rows = trajectory.join(span, keys)
@@ -121,7 +121,7 @@ def verdicts(trajectory: DataFrame, low: float, high: float, width: int = DEFAUL
     rich, cold = F.greatest("_rich", "_c0"), F.least("_cold", "_t0")
     positive = reduce(lambda a, b: a & b, [F.col(i) > 0.0 for i in INPUTS])
     physical = positive & (F.col("C_A") > 0.0) & (F.col("C_A") <= rich * (1.0 + SLACK)) & (F.col("T") >= cold * (1.0 - SLACK))
-    bounded = reduce(lambda a, b: a & b, [~F.isnan(c) & (F.abs(c) < float("inf")) for c in ("C_A", "T", "t")])
+    bounded = reduce(lambda a, b: a & b, [~F.isnan(c) & (F.abs(c) < float("inf")) for c in ("C_A", "T", "time_s")])
     return rows.groupBy("case_id").agg(
         F.bool_and(bounded).alias("values_finite"), F.bool_and(physical).alias("states_physical"),
         ((F.min("T") >= low) & (F.max("T") <= high)).alias("inside_envelope"),
@@ -131,18 +131,18 @@ def verdicts(trajectory: DataFrame, low: float, high: float, width: int = DEFAUL
 def on_sensor_clock(trajectory: DataFrame, period: float) -> DataFrame:
     """The samples of a dense series that are instants of the sensor clock, with their tick.
     The clock starts at the first instant of the case; nothing is interpolated."""
-    start = trajectory.groupBy("case_id").agg(F.min("t").alias("_start"))
+    start = trajectory.groupBy("case_id").agg(F.min("time_s").alias("_start"))
     rows = trajectory.join(start, "case_id")
-    tick = nearest_tick("t", "_start", F.lit(period))
+    tick = nearest_tick("time_s", "_start", F.lit(period))
     ticked = rows.withColumn("tick", tick)
-    return ticked.where(on_clock("t", F.col("_start") + F.col("tick") * F.lit(period))).drop("_start")
+    return ticked.where(on_clock("time_s", F.col("_start") + F.col("tick") * F.lit(period))).drop("_start")
 
 
 def subsampling_problems(trajectory: DataFrame, period: float, width: int = DEFAULT_WIDTH) -> DataFrame:
     """(case, problem, n): sensor instants that are not stored, stored twice, or inputs that
     change between two of them."""
     sampled = on_sensor_clock(trajectory, period)
-    span = trajectory.groupBy("case_id").agg((F.max("t") - F.min("t")).alias("_span"))
+    span = trajectory.groupBy("case_id").agg((F.max("time_s") - F.min("time_s")).alias("_span"))
     per_tick = sampled.groupBy("case_id", "tick").agg(F.count(F.lit(1)).alias("n"))
     found = per_tick.groupBy("case_id").agg(F.count(F.lit(1)).alias("ticks"), F.count_if(F.col("n") > 1).alias("twice"))
     held = found.join(span, "case_id").select("case_id", "twice", (F.floor(F.col("_span") / period) + 1 - F.col("ticks")).alias("missing"))
@@ -178,7 +178,7 @@ def first_moves(trajectory: DataFrame, value: str) -> DataFrame:
     per = trajectory.groupBy(*keys).agg(
         F.min("i").alias("_i0"), F.max("i").alias("_i1"), F.min_by(v, "i").alias("_v0"), F.max_by(v, "i").alias("_end"), F.max(v).alias("_hi"), F.min(v).alias("_lo"),
         F.max_by("i", F.struct(v, -F.col("i"))).alias("_hi_i"), F.min_by("i", F.struct(v, "i")).alias("_lo_i"),
-        F.max_by("t", F.struct(v, -F.col("i"))).alias("_hi_t"), F.min_by("t", F.struct(v, "i")).alias("_lo_t"),
+        F.max_by("time_s", F.struct(v, -F.col("i"))).alias("_hi_t"), F.min_by("time_s", F.struct(v, "i")).alias("_lo_t"),
     )
     second = trajectory.select(*keys, F.col("i").alias("_i"), v.alias("_v1"))
     both = per.join(second, [per["case_id"] == second["case_id"], per["segment"] == second["segment"], second["_i"] == per["_i0"] + 1], "left").select(

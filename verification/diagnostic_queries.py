@@ -79,7 +79,7 @@ def cases(spark, sf):
     """Runs as trajectories: sixty samples to a segment."""
     wide = eventlog.wide_log(spark, sf)
     return wide.select(
-        F.col("run_id").alias("case_id"), "plant_id", "event_id", F.expr("sample_index div 60").alias("segment"), F.col("sample_index").alias("i"), F.col("time_s").alias("t"), "C_A", "T", *INPUTS,
+        F.col("run_id").alias("case_id"), "plant_id", "event_id", F.expr("sample_index div 60").alias("segment"), F.col("sample_index").alias("i"), "time_s", "C_A", "T", *INPUTS,
         F.when((F.col("sample_index") >= 10) & ((F.col("sample_index") - 10) % 120 < 20), "excursion").otherwise("rest").alias("phase"))
 
 
@@ -122,7 +122,7 @@ QUERIES = {
     "trajectory_ranges_and_peaks": lambda spark, sf: rounded(trajectory.ranges_and_peaks(cases(spark, sf), "C_A")),
     "trajectory_refined_peaks": lambda spark, sf: rounded(trajectory.refined_peaks(cases(spark, sf), "T")),
     "trajectory_time_above": lambda spark, sf: rounded(trajectory.time_above(cases(spark, sf), "T", 358.0)),
-    "trajectory_balance_closure": lambda spark, sf: rounded(trajectory.balance_closure(_terms(spark, sf), 0.05).drop("mass_resolution", "energy_resolution"), 5),
+    "trajectory_balance_closure": lambda spark, sf: rounded(trajectory.balance_closure(_terms(spark, sf), 0.05).drop("mass_resolution", "energy_resolution"), 7),
     "trajectory_verdicts": lambda spark, sf: trajectory.verdicts(cases(spark, sf), 340.0, 359.85),
     "trajectory_subsampling": lambda spark, sf: trajectory.on_sensor_clock(cases(spark, sf), 12.0).select("case_id", "i", "tick"),
     "trajectory_subsampling_problems": lambda spark, sf: trajectory.subsampling_problems(_thinned(spark, sf), 12.0),
@@ -183,8 +183,8 @@ SQL = {
     "trajectory_time_above": on(EVENT_LOG, """SELECT run_id AS case_id, coalesce(sum((hot + after) * 3.0::DOUBLE), 0) AS seconds_above
         FROM (SELECT run_id, ("T" > 358)::INT AS hot, lead(("T" > 358)::INT) OVER (PARTITION BY run_id ORDER BY sample_index) AS after FROM wide) GROUP BY run_id"""),
     "trajectory_balance_closure": on(EVENT_LOG, """
-        SELECT case_id, round(a, 5) AS mass_residual, round(b, 5) AS mass_scale, round(c, 5) AS energy_residual, round(d, 5) AS energy_scale, round(e, 5) AS reacted, round(g, 5) AS reaction_heating, o AS odd_segments,
-               round(a / b, 5) AS relative_mass_residual, round(c / d, 5) AS relative_energy_residual, a <= 0.05 * b AND c <= 0.05 * d AS closes
+        SELECT case_id, round(a, 7) AS mass_residual, round(b, 7) AS mass_scale, round(c, 7) AS energy_residual, round(d, 7) AS energy_scale, round(e, 7) AS reacted, round(g, 7) AS reaction_heating, o AS odd_segments,
+               round(a / b, 7) AS relative_mass_residual, round(c / d, 7) AS relative_energy_residual, a <= 0.05 * b AND c <= 0.05 * d AS closes
         FROM (SELECT case_id, sum(abs(dc - mi)) AS a, sum(ms) AS b, sum(abs(dy - ei)) AS c, sum(es) AS d, sum(re) AS e, sum(he) AS g, count(*) FILTER (odd) AS o
           FROM (SELECT case_id, segment, sum(w * (f - r)) AS mi, sum(w * (fh + rh - eh)) AS ei, sum(w * (abs(f) + abs(r))) AS ms, sum(w * (abs(fh) + abs(rh) + abs(eh))) AS es, sum(w * r) AS re, sum(w * rh) AS he,
                   arg_max(c, j) - arg_min(c, j) AS dc, arg_max(y, j) - arg_min(y, j) AS dy, any_value(n) % 2 = 1 AS odd
@@ -209,8 +209,8 @@ SQL = {
               ON substr(a.run_id, length(a.plant_id) + 2) = substr(b.run_id, length(b.plant_id) + 2) AND a.sample_index = b.sample_index WHERE a.plant_id = 'source' AND b.plant_id = 'target')
         GROUP BY GROUPING SETS ((definition), (definition, phase))"""),
     "trajectory_first_moves": on(EVENT_LOG, """
-        SELECT case_id, segment, dir AS direction, ext AS extreme, 6.0::DOUBLE * at AS extreme_t, at > i0 AND at < i1 AS inside, ve AS value_at_end, round(abs(ext - ve), 6) AS beyond_end
-        FROM (SELECT *, CASE WHEN dir > 0 THEN hi ELSE lo END AS ext, CASE WHEN dir > 0 THEN hi_i ELSE lo_i END AS at
+        SELECT case_id, segment, dir AS direction, ext AS extreme, 6.0::DOUBLE * spot AS extreme_t, spot > i0 AND spot < i1 AS inside, ve AS value_at_end, round(abs(ext - ve), 6) AS beyond_end
+        FROM (SELECT *, CASE WHEN dir > 0 THEN hi ELSE lo END AS ext, CASE WHEN dir > 0 THEN hi_i ELSE lo_i END AS spot
           FROM (SELECT *, CASE WHEN v1 > v0 THEN 1 WHEN v1 < v0 THEN -1 WHEN hi - v0 > v0 - lo THEN 1 WHEN hi - v0 < v0 - lo THEN -1 WHEN hi = v0 THEN 0 WHEN hi_i < lo_i THEN 1 ELSE -1 END AS dir
             FROM (SELECT run_id AS case_id, sample_index // 60 AS segment, min(sample_index) AS i0, max(sample_index) AS i1, arg_min(C_A, sample_index) AS v0, arg_max(C_A, sample_index) AS ve, max(C_A) AS hi, min(C_A) AS lo,
                     arg_max(sample_index, (C_A, -sample_index)) AS hi_i, arg_min(sample_index, (C_A, sample_index)) AS lo_i, max(C_A) FILTER (sample_index % 60 = 1) AS v1 FROM wide GROUP BY ALL)))"""),
