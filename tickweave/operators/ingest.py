@@ -31,30 +31,38 @@ def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def staged(offered: Tables, run_ids: list[str] | None = None) -> Tables:
-    """The rows of the offered runs and of their plants; all runs when none are named."""
+    """A staging copy of the rows of the offered runs and of their plants; of all runs when
+    none are named. What is checked is this copy, and what is appended is the same rows: an
+    offer that changes while it is read, or is expensive to work out, is read once."""
     if run_ids is None:
-        return offered
+        return Tables(**{name: cut_lineage(df) for name, df in offered.items()})
     runs = offered.operating_runs.where(F.col("run_id").isin(run_ids))
     plants = runs.select("plant_id").distinct()
 
     def of_plants(df: DataFrame) -> DataFrame:
         return df.join(plants, "plant_id", "left_semi").select(df.columns)
 
-    return Tables(
+    return staged(Tables(
         plants=of_plants(offered.plants), process_parameters=of_plants(offered.process_parameters),
         sensors=of_plants(offered.sensors), operating_runs=runs,
         measurements=offered.measurements.where(F.col("run_id").isin(run_ids)),
-    )
+    ))
 
 
 def quality_findings_by_run(tables: Tables, width: int = quality.DEFAULT_WIDTH) -> DataFrame:
-    """(run_id, branch, n) of every quality finding. A defect of a plant, a channel or a
-    parameter counts against every run of that plant."""
-    s = quality.Source.of(tables, width)
+    """(run_id, branch, n_findings) of every quality finding. A defect of a plant, a channel
+    or a parameter counts against every run of that plant."""
+    s = quality.Source.of(tables, width, shared=True)
+    conditions = quality.row_conditions()
+    decided_by_row = {name for branches in conditions.values() for name in branches}
     by_run, by_plant = [], []
+    for table, branches in conditions.items():
+        named = F.array_compact(F.array(*[F.when(c, name) for name, c in branches.items()]))
+        key, parts = ("run_id", by_run) if table == "operating_runs" else ("plant_id", by_plant)
+        parts.append(getattr(tables, table).select(key, F.explode(named).alias("branch")))
     owner = tables.sensors.select("sensor_id", "plant_id").distinct()
     for check in quality.CHECKS:
-        if check.name == "mixed_units" or check.name.startswith("absent_"):
+        if check.name in decided_by_row or check.name in ("mixed_units", "absent_measurements"):
             continue
         found = check.find(s).withColumn("branch", F.lit(check.name))
         if check.name == "unknown_channels":
@@ -68,12 +76,6 @@ def quality_findings_by_run(tables: Tables, width: int = quality.DEFAULT_WIDTH)
             by_plant.append(found.select("sensor_id", "branch").join(owner, "sensor_id").select("plant_id", "branch"))
     any_absent = reduce(lambda a, b: a | b, [F.col(c) > 0 for c in s.profile.columns if c.startswith("absent_")])
     by_run.append(s.profile.where(any_absent).select("run_id", F.lit("absent_measurements").alias("branch")))
-    for table, key, parts in (
-        ("operating_runs", "run_id", by_run), ("sensors", "plant_id", by_plant),
-        ("plants", "plant_id", by_plant), ("process_parameters", "plant_id", by_plant),
-    ):
-        broken = reduce(lambda a, b: a | b, quality.absent_fields(table).values())
-        parts.append(getattr(tables, table).where(broken).select(key, F.lit(f"absent_{table}").alias("branch")))
     runs = tables.operating_runs.select("run_id", "plant_id").distinct()
     of_plants = reduce(DataFrame.unionByName, by_plant).distinct().join(runs, "plant_id").select("run_id", "branch")
     return reduce(DataFrame.unionByName, by_run).unionByName(of_plants).groupBy("run_id", "branch").agg(
@@ -170,8 +172,9 @@ def accepted(offered: Tables, stored: Tables, report: DataFrame) -> Tables:
 
 
 def ingest(offered: Tables, stored: Tables, fail_fast: bool = False, width: int = quality.DEFAULT_WIDTH) -> tuple[DataFrame, Tables]:
-    """The report, one row per offered run, and the rows to append. The report is small and
-    read by every table to append, so its lineage is cut once."""
+    """The report, one row per offered run, and the rows to append. The offer is staged; the
+    report is small and read by every table to append, so its lineage is cut once."""
+    offered = staged(offered)
     report = gate(offered, stored, width)
     if fail_fast:
         report = stop_at_first_refusal(report)

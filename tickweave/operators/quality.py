@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from tickweave.contract import INPUT, MEASURED, NOISE_MODEL, QUALITY_GOOD, Tables
 from tickweave.functions.scalars import blank, clock_instant, differs, is_sha256, not_finite, on_clock
 from tickweave.plans.bands import DEFAULT_WIDTH, Bands
+from tickweave.session import cut_lineage
 
 TEXT_FIELDS = {
     "measurements": ("plant_id", "run_id", "sensor_id"),
@@ -60,15 +61,30 @@ def profile(measurements: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Source:
-    """The tables of one check run, the profile they share and the band width."""
+    """The tables of one check run, what the checks share, and the band width.
+
+    ``of(.., shared=True)`` is for many checks at once: the profile, one row per channel of a
+    run, and the rows that break the order of ticks or instants are worked out once and cut
+    from their lineage, so the long table is not read again by every check that needs them.
+    """
 
     tables: Tables
-    profile: DataFrame
     width: int = DEFAULT_WIDTH
+    shared: bool = False
 
     @classmethod
-    def of(cls, tables: Tables, width: int = DEFAULT_WIDTH) -> Source:
-        return cls(tables, profile(tables.measurements), width)
+    def of(cls, tables: Tables, width: int = DEFAULT_WIDTH, shared: bool = False) -> Source:
+        return cls(tables, width, shared)
+
+    @cached_property
+    def profile(self) -> DataFrame:
+        found = profile(self.tables.measurements)
+        return cut_lineage(found) if self.shared else found
+
+    @cached_property
+    def broken_steps(self) -> DataFrame:
+        found = broken_steps(self.tables.measurements, self.width)
+        return cut_lineage(found) if self.shared else found
 
 
 @dataclass(frozen=True)
@@ -181,6 +197,14 @@ def _bad_noise() -> Column:
     )
 
 
+def _bad_kind() -> Column:
+    return F.col("channel_kind").isNull() | ~F.col("channel_kind").isin(MEASURED, INPUT)
+
+
+def _input_noise() -> Column:
+    return (F.col("channel_kind") == INPUT) & (F.col("noise_model").isNotNull() | F.col("noise_std").isNotNull())
+
+
 def _mixed_units(s: Source) -> DataFrame:
     """Two levels: distinct (variable, unit) first, so the text holds each unit once."""
     units = s.tables.sensors.select("variable_name", "unit").where(F.col("unit").isNotNull()).distinct()
@@ -195,10 +219,32 @@ def _periods(s: Source) -> DataFrame:
     return used.join(runs, "run_id").join(sensors, "sensor_id").where(differs("run_period_s", "channel_period_s"))
 
 
+def _impossible_extent() -> Column:
+    return ~(F.col("end_time_s") >= F.col("start_time_s")) | ~(F.col("n_samples") >= 1) | ~(F.col("sampling_period_s") > 0)
+
+
 def _extent(s: Source) -> DataFrame:
-    r = s.tables.operating_runs
-    broken = ~(F.col("end_time_s") >= F.col("start_time_s")) | ~(F.col("n_samples") >= 1) | ~(F.col("sampling_period_s") > 0)
-    return r.where(broken).select("run_id", "start_time_s", "end_time_s", "n_samples")
+    return s.tables.operating_runs.where(_impossible_extent()).select("run_id", "start_time_s", "end_time_s", "n_samples")
+
+
+def row_conditions() -> dict[str, dict[str, Column]]:
+    """Checks that one dimension row decides by itself: table -> branch -> condition. The
+    gate evaluates them in one pass over each table."""
+    def absent(table: str) -> Column:
+        return reduce(lambda a, b: a | b, absent_fields(table).values())
+
+    return {
+        "sensors": {
+            "absent_sensors": absent("sensors"), "channel_kinds": _bad_kind(), "measured_without_noise": _bad_noise(), "inputs_with_noise": _input_noise(),
+            "channel_periods": ~(F.col("sampling_period_s") > 0), "infinite_periods": not_finite("sampling_period_s"), "infinite_noise": not_finite("noise_std"),
+        },
+        "operating_runs": {
+            "absent_operating_runs": absent("operating_runs"), "run_extents": _impossible_extent(), "content_hashes": ~is_sha256("content_sha256"),
+            "infinite_run_times": not_finite("start_time_s") | not_finite("end_time_s") | not_finite("sampling_period_s"),
+        },
+        "process_parameters": {"absent_process_parameters": absent("process_parameters"), "infinite_parameters": not_finite("value")},
+        "plants": {"absent_plants": absent("plants")},
+    }
 
 
 def _flags(s: Source) -> DataFrame:
@@ -217,22 +263,28 @@ def channel_extents(s: Source) -> DataFrame:
     return found.join(s.tables.operating_runs.select("run_id", "n_samples"), "run_id")
 
 
-def steps(s: Source) -> DataFrame:
+def steps(measurements: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame:
     """Every row with the tick and the instant of the stored row before it. Where a tick is
     stored twice the order is by instant, then value."""
-    return Bands(("run_id", "sensor_id"), "sample_index", ("time_s", "value"), s.width).scan(
-        s.tables.measurements.select("run_id", "sensor_id", "sample_index", "time_s", "value"),
+    return Bands(("run_id", "sensor_id"), "sample_index", ("time_s", "value"), width).scan(
+        measurements.select("run_id", "sensor_id", "sample_index", "time_s", "value"),
         lag={"previous_tick": "sample_index", "previous_time_s": "time_s"},
     )
 
 
-def _gaps(s: Source) -> DataFrame:
+def broken_steps(measurements: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame:
+    """Rows that follow a gap, or whose instant is not after that of the row before."""
     missing = F.col("sample_index") - F.col("previous_tick") - 1
-    return steps(s).where(missing > 0).select("run_id", "sensor_id", "previous_tick", missing.alias("missing"))
+    stepped = steps(measurements, width).withColumn("missing", missing)
+    return stepped.where((missing > 0) | ~(F.col("time_s") > F.col("previous_time_s")))
+
+
+def _gaps(s: Source) -> DataFrame:
+    return s.broken_steps.where(F.col("missing") > 0).select("run_id", "sensor_id", "previous_tick", "missing")
 
 
 def _not_increasing(s: Source) -> DataFrame:
-    return steps(s).where(~(F.col("time_s") > F.col("previous_time_s"))).select(
+    return s.broken_steps.where(~(F.col("time_s") > F.col("previous_time_s"))).select(
         "run_id", "sensor_id", "sample_index", "time_s", "previous_time_s"
     )
 
@@ -342,14 +394,13 @@ CHECKS: tuple[Check, ...] = (
           _infinite("operating_runs", ("run_id",), ("start_time_s", "end_time_s", "sampling_period_s")),
           "run_id", n_rows="n_rows", run="run_id"),
     Check("metadata", "channel_kinds", "channel kind is not measured or input",
-          _sensors_where(lambda: F.col("channel_kind").isNull() | ~F.col("channel_kind").isin(MEASURED, INPUT), "channel_kind"),
+          _sensors_where(_bad_kind, "channel_kind"),
           "sensor_id", "coalesce(channel_kind, 'NULL')"),
     Check("metadata", "measured_without_noise", "measured channel without a valid noise model and level",
           _sensors_where(_bad_noise, "noise_model", "noise_std"), "sensor_id",
           "concat(coalesce(noise_model, 'NULL'), ' / ', coalesce(cast(noise_std as string), 'NULL'))"),
     Check("metadata", "inputs_with_noise", "known input presented with noise",
-          _sensors_where(lambda: (F.col("channel_kind") == INPUT)
-                         & (F.col("noise_model").isNotNull() | F.col("noise_std").isNotNull()), "noise_model", "noise_std"),
+          _sensors_where(_input_noise, "noise_model", "noise_std"),
           "sensor_id", "concat(coalesce(noise_model, 'NULL'), ' / ', coalesce(cast(noise_std as string), 'NULL'))"),
     Check("metadata", "channel_periods", "sampling period is not positive",
           _sensors_where(lambda: ~(F.col("sampling_period_s") > 0), "sampling_period_s"), "sensor_id",
@@ -397,7 +448,7 @@ def report(
     tables: Tables, checks: Sequence[Check] = CHECKS, width: int = DEFAULT_WIDTH, source: Source | None = None
 ) -> DataFrame:
     """All findings of ``checks``: check family, problem, item, detail, rows, run."""
-    s = source or Source.of(tables, width)
+    s = source or Source.of(tables, width, shared=True)
     parts = [
         c.find(s).select(
             F.lit(c.family).alias("check"),
@@ -415,7 +466,7 @@ def report(
 
 def report_counts(tables: Tables, checks: Sequence[Check] = CHECKS, width: int = DEFAULT_WIDTH) -> DataFrame:
     """Findings per check; a check without any is listed with zero."""
-    s = Source.of(tables, width)
+    s = Source.of(tables, width, shared=True)
     parts = [
         c.find(s).agg(F.count(F.lit(1)).alias("n_findings")).select(
             F.lit(c.family).alias("check"), F.lit(c.problem).alias("problem"), "n_findings"

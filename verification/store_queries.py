@@ -41,7 +41,7 @@ def _changed_content(spark, sf):
 def _gate(spark, sf):
     """Six fates at once: a broken run, changed content, a plant that conflicts, a run known
     from another data set, a run already there, and new runs."""
-    offered = digests.recorded_runs(log(spark, sf))
+    offered = digests.recorded_runs(ingest.staged(log(spark, sf)))
     pick = F.col("run_id")
     held = offered.operating_runs.where(pick.contains(".e5.") | pick.contains(".e6."))
     stored = Tables(
@@ -57,13 +57,13 @@ def _gate(spark, sf):
 
 def _gate_report(spark, sf):
     offered, stored = _gate(spark, sf)
-    return ingest.gate(offered, stored)
+    return ingest.gate(ingest.staged(offered), ingest.staged(stored))
 
 
 def _ingest_twice(spark, sf):
     """Ingest into an empty store, ingest again: everything is already there, nothing grows."""
     root = folder(spark, "store")
-    offered = digests.recorded_runs(log(spark, sf))
+    offered = digests.recorded_runs(ingest.staged(log(spark, sf)))
     first, rows = ingest.ingest(offered, store.read_store(spark, root))
     store.append(rows, root, "one")
     held = store.read_store(spark, root)
@@ -75,7 +75,7 @@ def _ingest_twice(spark, sf):
 
 def _stored_rows(spark, sf):
     root = folder(spark, "store")
-    offered = digests.recorded_runs(log(spark, sf))
+    offered = digests.recorded_runs(ingest.staged(log(spark, sf)))
     _, rows = ingest.ingest(offered, store.read_store(spark, root))
     store.append(rows, root, "one")
     return ingest.row_counts(store.read_store(spark, root))
@@ -83,14 +83,14 @@ def _stored_rows(spark, sf):
 
 def _publish(spark, sf):
     root = folder(spark, "published")
-    tables = log(spark, sf)
+    tables = ingest.staged(log(spark, sf))
     statuses = [store.publish(tables, root, "events")[0], store.publish(tables, root, "events")[0], store.publish(_touched(spark, sf), root, "events")[0]]
     return spark.createDataFrame(list(enumerate(statuses)), "attempt bigint, status string")
 
 
 def _published(spark, sf):
     root = folder(spark, "published")
-    store.publish(log(spark, sf), root, "events")
+    store.publish(ingest.staged(log(spark, sf)), root, "events")
     return root, store.read_published(spark, root, "events")
 
 
@@ -181,7 +181,7 @@ def _document_findings(spark, sf):
 def _mandatory(spark, sf):
     """The mandatory checks over the event log, end to end."""
     root, back = _published(spark, sf)
-    tables = log(spark, sf)
+    tables = ingest.staged(log(spark, sf))
     recorded = digests.recorded_runs(tables)
     aligned = series.aligned_series(back)
     exported = store.export_rows(back)
@@ -204,7 +204,7 @@ QUERIES = {
     "integrity_units_not_si": lambda spark, sf: integrity.not_in_si(eventlog.registry(spark, sf).sensors, units_dimension(spark)).select("sensor_id", "unit"),
     "integrity_misnamed_channels": lambda spark, sf: integrity.misnamed_channels(eventlog.registry(spark, sf).sensors),
     "integrity_broken_positions": lambda spark, sf: integrity.broken_positions(eventlog.registry(spark, sf).sensors),
-    "integrity_plants_without_run": lambda spark, sf: integrity.plants_without(eventlog.registry(spark, sf).plants, eventlog.registry(spark, sf).operating_runs),
+    "integrity_plants_without_run": lambda spark, sf: integrity.plants_without(eventlog.registry(spark, sf).plants, eventlog.registry(spark, sf).operating_runs.where("n_samples > 450")),
     "integrity_foreign_dataset_runs": lambda spark, sf: integrity.foreign_dataset_runs(eventlog.registry(spark, sf).operating_runs, "1-URGENT"),
     "integrity_broken_run_rows": lambda spark, sf: integrity.broken_run_rows(eventlog.registry(spark, sf).operating_runs),
     "integrity_row_agreement": lambda spark, sf: integrity.row_agreement(eventlog.planted(spark, sf), quality.profile(eventlog.planted(spark, sf).measurements)),
@@ -242,7 +242,7 @@ SQL = {
     "integrity_misnamed_channels": on(REGISTRY, "SELECT sensor_id, plant_id, variable_name FROM sensors WHERE sensor_id <> plant_id || '.' || variable_name"),
     "integrity_broken_positions": on(REGISTRY, """SELECT plant_id, channel_kind, count(*) AS n_channels, count(DISTINCT channel_index) AS n_positions, min(channel_index) AS first, max(channel_index) AS last
         FROM sensors GROUP BY ALL HAVING list_sort(list(channel_index)) IS DISTINCT FROM range(count(*))::INT[] OR count(channel_index) < count(*)"""),
-    "integrity_plants_without_run": on(REGISTRY, "SELECT DISTINCT p.plant_id FROM plants p ANTI JOIN operating_runs r USING (plant_id)"),
+    "integrity_plants_without_run": on(REGISTRY, "SELECT DISTINCT p.plant_id FROM plants p ANTI JOIN (SELECT * FROM operating_runs WHERE n_samples > 450) r USING (plant_id)"),
     "integrity_foreign_dataset_runs": on(REGISTRY, "SELECT run_id, dataset_id FROM operating_runs WHERE dataset_id <> '1-URGENT'"),
     "integrity_broken_run_rows": on(REGISTRY, """
         SELECT * FROM (SELECT run_id, NOT coalesce(isfinite(start_time_s) AND end_time_s >= start_time_s AND sampling_period_s > 0 AND n_samples > 0, false) AS impossible_extent,
