@@ -68,10 +68,10 @@ def noise_statistics(errors: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame
 def correlations(rows: DataFrame, keys: list[str], x: str = "x", y: str = "y") -> DataFrame:
     """Pearson correlation per group and its z-score; a constant series has none."""
     found = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.corr(x, y).alias("_r"), (F.min(x) == F.max(x)).alias("_cx"), (F.min(y) == F.max(y)).alias("_cy")
+        F.count(F.lit(1)).alias("n"), F.covar_pop(x, y).alias("_c"), F.stddev_pop(x).alias("_sx"), F.stddev_pop(y).alias("_sy"), (F.min(x) == F.max(x)).alias("_cx"), (F.min(y) == F.max(y)).alias("_cy")
     )
     constant = F.col("_cx") | F.col("_cy")
-    r = F.when(~constant, F.col("_r"))
+    r = F.when(~constant, F.col("_c") / F.nullif(F.col("_sx") * F.col("_sy"), F.lit(0.0)))
     return found.select(*keys, "n", r.alias("r"), (r * F.sqrt("n")).alias("z"), F.when(constant, "constant series").alias("problem"))
 
 

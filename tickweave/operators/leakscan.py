@@ -73,19 +73,23 @@ def free_columns(df: DataFrame, kinds: tuple[type, ...], structural: Sequence[st
     return [f.name for f in df.schema if isinstance(f.dataType, kinds) and f.name not in structural]
 
 
+def _cells(df: DataFrame, cells: list[tuple[str, str]], name: str, condition) -> DataFrame:
+    """(column, name, n): rows that meet the condition of each (column, name), in one pass."""
+    if not cells:
+        return df.sparkSession.createDataFrame([], f"`column` string, {name} string, n bigint")
+    counts = df.agg(*[F.count_if(condition(c, k)).alias(f"n{i}") for i, (c, k) in enumerate(cells)])
+    entries = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(k).alias(name), F.col(f"n{i}").alias("n")) for i, (c, k) in enumerate(cells)])
+    return counts.select(F.inline(entries)).where(F.col("n") > 0)
+
+
 def hidden_parameters(df: DataFrame, secrets: dict[str, float]) -> DataFrame:
     """(column, label, n): free floating columns that hold a hidden parameter to a relative
     1e-12. Declared secrets are a few literals: one pass, one aggregate, no join."""
     bad = [k for k, v in secrets.items() if v == 0.0 or v != v or abs(v) == float("inf")]
     if bad:
         raise ValueError(f"these hidden values cannot be searched for: {bad}")
-    columns = free_columns(df, (T.DoubleType, T.FloatType))
-    cells = [(c, k) for c in columns for k in secrets]
-    counts = df.agg(
-        *[F.count_if(F.abs(F.col(c) - secrets[k]) <= F.lit(RELATIVE_TOLERANCE * abs(secrets[k]))).alias(f"n{i}") for i, (c, k) in enumerate(cells)]
-    )
-    entries = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(k).alias("label"), F.col(f"n{i}").alias("n")) for i, (c, k) in enumerate(cells)])
-    return counts.select(F.inline(entries)).where(F.col("n") > 0)
+    cells = [(c, k) for c in free_columns(df, (T.DoubleType, T.FloatType)) for k in secrets]
+    return _cells(df, cells, "label", lambda c, k: F.abs(F.col(c) - secrets[k]) <= F.lit(RELATIVE_TOLERANCE * abs(secrets[k])))
 
 
 def hidden_states(df: DataFrame, states: DataFrame) -> DataFrame:
@@ -99,21 +103,15 @@ def hidden_states(df: DataFrame, states: DataFrame) -> DataFrame:
 
 
 def hidden_integers(df: DataFrame, secrets: dict[str, int]) -> DataFrame:
-    columns = free_columns(df, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
-    cells = [(c, k) for c in columns for k in secrets]
-    counts = df.agg(*[F.count_if(F.col(c) == F.lit(secrets[k])).alias(f"n{i}") for i, (c, k) in enumerate(cells)])
-    entries = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(k).alias("label"), F.col(f"n{i}").alias("n")) for i, (c, k) in enumerate(cells)])
-    return counts.select(F.inline(entries)).where(F.col("n") > 0)
+    cells = [(c, k) for c in free_columns(df, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)) for k in secrets]
+    return _cells(df, cells, "label", lambda c, k: F.col(c) == F.lit(secrets[k]))
 
 
 def forbidden_text(df: DataFrame, words: Sequence[str] = FORBIDDEN_IN_TEXT) -> DataFrame:
     """(column, word, n): string columns whose values mention a forbidden text, whole values
     searched, any case."""
-    columns = free_columns(df, (T.StringType,))
-    cells = [(c, w) for c in columns for w in words]
-    counts = df.agg(*[F.count_if(F.contains(F.lower(c), F.lit(w.lower()))).alias(f"n{i}") for i, (c, w) in enumerate(cells)])
-    entries = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(w).alias("word"), F.col(f"n{i}").alias("n")) for i, (c, w) in enumerate(cells)])
-    return counts.select(F.inline(entries)).where(F.col("n") > 0)
+    cells = [(c, w) for c in free_columns(df, (T.StringType,)) for w in words]
+    return _cells(df, cells, "word", lambda c, w: F.contains(F.lower(c), F.lit(w.lower())))
 
 
 def _walk(document: str, node: object, trail: str, field: str, out: list) -> None:
