@@ -1,6 +1,7 @@
 """Canonical text of a value: its kind, its length, its content. No two different rows share
-a text; a double is written exactly (hexadecimal), so 0.0 and -0.0 differ and nothing is
-rounded."""
+a text. A double is written as the 64-bit mix of its bits, which is one-to-one on eight
+bytes and does not depend on how a runtime prints numbers; the two zeros, which the mix does
+not tell apart, are written out. So nothing is rounded and 0.0 and -0.0 differ."""
 
 from __future__ import annotations
 
@@ -14,7 +15,8 @@ from pyspark.sql import types as T
 def encoded(field: T.StructField) -> Column:
     c = F.col(f"`{field.name}`")
     if isinstance(field.dataType, T.DoubleType | T.FloatType):
-        text = F.concat(F.lit("F"), F.format_string("%a", c.cast("double")))
+        x = c.cast("double")
+        text = F.concat(F.lit("F"), F.when(x == 0.0, x.cast("string")).otherwise(F.when(x.isNotNull(), F.xxhash64(x).cast("string"))))
     elif isinstance(field.dataType, T.IntegralType):
         text = F.concat(F.lit("I"), c.cast("string"))
     elif isinstance(field.dataType, T.StringType):

@@ -1,14 +1,13 @@
-"""Content identity. The digest of a set of rows is a tree of SHA-256 hashes over the hashes
-of its rows: it does not depend on row order, files or partitions, repeated rows count, and
-no level gathers more than a bounded number of hashes, however long a run is.
-
-    row   -> hash of its canonical text
-    leaf  -> (first six hex digits) hash of the sorted "row hash : copies" entries
-    node  -> (first three hex digits) hash of the sorted leaves
-    root  -> hash of the version header and the sorted nodes
-
-A sequential hash over a whole run would have to stream it through one task; it is not
-offered.
+"""Content identity. The digest of a set of rows is the SHA-256 of the number of rows and of
+the sums of the words of their hashes: each row is hashed by itself (SHA-256 of its canonical
+text), the hash is folded into twelve words of at most twenty-two bits, and the words are
+summed over the rows. A sum does not depend on order, files or partitions, counts repeated rows, and merges:
+every task adds up its own rows and sends one row per run, however long the run is. The sums
+are exact in 64 bits for up to 2**41 rows to a run.
+
+The digest tells content apart that changed by accident or by a new version. It is not a
+defence against someone who searches for rows with equal sums. A sequential hash over a
+whole run would have to stream it through one task and is not offered.
 """
 
 from __future__ import annotations
@@ -22,30 +21,25 @@ from tickweave.contract import SCHEMAS, Tables
 from tickweave.functions.encoding import row_hash
 from tickweave.functions.scalars import differs
 
-TABLE_ENCODING, RUN_ENCODING = "table-tree/v1", "run-tree/v1"
+TABLE_ENCODING, RUN_ENCODING = "table-rows/v1", "run-rows/v1"
+_MIXES = 4  # 64-bit mixes of a row hash, three words each
+_PIECES = ((0, 22), (22, 21), (43, 21))  # (first bit, bits)
 
 
-def tree_digest(df: DataFrame, keys: Sequence[str], columns: Sequence[str], header: str) -> DataFrame:
-    """One digest per ``keys`` over ``columns``. Copies of a row are counted before anything
-    is gathered, so a row stored a billion times is one entry."""
+def rows_digest(df: DataFrame, keys: Sequence[str], columns: Sequence[str], header: str) -> DataFrame:
+    """One digest per ``keys`` over ``columns``: one pass, one partial aggregate."""
     keys = list(keys)
-
-    def fold(rows: DataFrame, by: list[str], entry: str) -> DataFrame:
-        joined = F.array_join(F.array_sort(F.collect_list(entry)), "\n")
-        return rows.groupBy(*by).agg(F.sum("n").alias("n"), joined.alias("_text"))
-
     hashed = df.select(*keys, row_hash(df.schema, columns).alias("_row"))
-    counted = hashed.groupBy(*keys, "_row").agg(F.count(F.lit(1)).alias("n"))
-    entries = counted.select(
-        *keys, "n", F.concat_ws(":", "_row", F.col("n").cast("string")).alias("_entry"), F.substring("_row", 1, 6).alias("_leaf")
-    )
-    leaves = fold(entries, [*keys, "_leaf"], "_entry").select(
-        *keys, "n", F.sha2(F.col("_text").cast("binary"), 256).alias("_entry"), F.substring("_leaf", 1, 3).alias("_node")
+    mixed = hashed.select(*keys, *[F.xxhash64("_row", F.lit(i)).alias(f"_m{i}") for i in range(_MIXES)])
+    words = [
+        F.shiftrightunsigned(F.col(f"_m{i}"), first).bitwiseAND(F.lit((1 << bits) - 1).cast("long")) for i in range(_MIXES) for first, bits in _PIECES
+    ]
+    names = [f"_w{i}" for i in range(len(words))]
+    summed = mixed.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_rows"), *[F.coalesce(F.sum(w), F.lit(0)).alias(n) for n, w in zip(names, words, strict=True)]
     )
-    nodes = fold(leaves, [*keys, "_node"], "_entry").select(*keys, "n", F.sha2(F.col("_text").cast("binary"), 256).alias("_entry"))
-    root = fold(nodes, keys, "_entry")
-    digest = F.sha2(F.concat_ws("\n", F.lit(header), F.coalesce("_text", F.lit(""))).cast("binary"), 256)
-    return root.select(*keys, F.coalesce("n", F.lit(0)).alias("n_rows"), digest.alias("content_sha256"))
+    parts = [F.lit(header), F.col("n_rows").cast("string"), *[F.col(n).cast("string") for n in names]]
+    return summed.select(*keys, "n_rows", F.sha2(F.concat_ws("\n", *parts).cast("binary"), 256).alias("content_sha256"))
 
 
 def run_digests(tables: Tables) -> DataFrame:
@@ -56,7 +50,7 @@ def run_digests(tables: Tables) -> DataFrame:
     )
     rows = tables.measurements.join(channels, "sensor_id", "left")
     columns = [c for c in rows.columns if c != "run_id"]
-    return tree_digest(rows, ["run_id"], sorted(columns), RUN_ENCODING)
+    return rows_digest(rows, ["run_id"], sorted(columns), RUN_ENCODING)
 
 
 def table_digests(tables: Tables) -> DataFrame:
@@ -65,7 +59,7 @@ def table_digests(tables: Tables) -> DataFrame:
     for name, df in tables.items():
         if name == "measurements":
             continue
-        one = tree_digest(df, [], SCHEMAS[name].names, f"{TABLE_ENCODING} {name}").select(
+        one = rows_digest(df, [], SCHEMAS[name].names, f"{TABLE_ENCODING} {name}").select(
             F.lit(name).alias("table_name"), "n_rows", "content_sha256"
         )
         parts = one if parts is None else parts.unionByName(one)

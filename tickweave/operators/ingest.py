@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tickweave.contract import SCHEMAS, Tables, conform
 from tickweave.functions.scalars import differs
 from tickweave.operators import quality
-from tickweave.operators.digests import run_digests, tree_digest
+from tickweave.operators.digests import run_digests, rows_digest
 from tickweave.session import cut_lineage
 
 INGESTED, PRESENT = "ingested", "already_present"
@@ -116,8 +116,8 @@ def gate(offered: Tables, stored: Tables, width: int = quality.DEFAULT_WIDTH) ->
     plant_conflict = _conflicting_plants(offered, stored).withColumn("f_plant", F.lit(True))
     unit_conflict = _unit_conflicts(offered, stored).withColumn("f_unit", F.lit(True))
     names = SCHEMAS["operating_runs"].names
-    offered_row = tree_digest(offered.operating_runs, ["run_id"], names, "row").select("run_id", F.col("content_sha256").alias("offered_row"))
-    stored_row = tree_digest(stored.operating_runs, ["run_id"], names, "row").select("run_id", F.col("content_sha256").alias("stored_row"))
+    offered_row = rows_digest(offered.operating_runs, ["run_id"], names, "row").select("run_id", F.col("content_sha256").alias("offered_row"))
+    stored_row = rows_digest(stored.operating_runs, ["run_id"], names, "row").select("run_id", F.col("content_sha256").alias("stored_row"))
     owner = stored.operating_runs.groupBy("run_id").agg(F.first("dataset_id").alias("stored_dataset"))
     # only runs offered again are read back from the store
     again = runs.select("run_id").distinct()
