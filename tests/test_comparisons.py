@@ -31,7 +31,7 @@ def test_sign_test_values():
     assert sign_test_p(0, 0) == 1.0 and sign_test_p(10, 10) == 2.0**-10 and sign_test_p(9, 10) == 11 / 1024 and sign_test_p(0, 5) == 1.0
 
 
-def reference_verdict(summary, order, alpha, delta, minimum):
+def labels_by_loops(summary, order, alpha, delta, minimum):
     """The fixed-sequence rule worked out by loops, for random patterns."""
     tested, rejected = dict.fromkeys(order, False), {b: {} for b in order}
     for d in ("candidate", "comparator"):
@@ -71,7 +71,7 @@ def test_ordered_family_on_random_patterns(spark):
         by.setdefault(r["comparison"], {})[r["budget"]] = r
     for c, *_ in names:
         rows = [r for r in decisions if r["comparison"] == c]
-        assert [r["label"] for r in rows] == reference_verdict(by[c], order, 0.1, 0.5, 6)
+        assert [r["label"] for r in rows] == labels_by_loops(by[c], order, 0.1, 0.5, 6)
         gate = rows[0]["counts_for"]
         expected = "supported" if gate == "candidate" else "contradicted" if gate == "comparator" else "difference below the relevance margin" if rows[0]["direction"] else "no confirmatory decision"
         assert verdicts[c]["verdict"] == expected

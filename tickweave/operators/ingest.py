@@ -145,7 +145,7 @@ def gate(offered: Tables, stored: Tables, width: int = quality.DEFAULT_WIDTH) ->
 
 
 def stop_at_first_refusal(report: DataFrame) -> DataFrame:
-    """The reference order: runs by name, and nothing after the first refusal is taken."""
+    """Runs in the order of their names; nothing after the first refusal is taken."""
     first = report.where(F.col("status") == "refused").agg(F.min("run_id").alias("_stop"))
     return report.join(F.broadcast(first), how="cross").select(
         "run_id", "plant_id", "refused_by",

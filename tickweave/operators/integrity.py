@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickweave.contract import KNOWN_PARAMETERS, SCHEMAS, Tables, constant, units_dimension
+from tickweave.contract import KNOWN_PARAMETERS, SCHEMAS, Tables, units_dimension
 from tickweave.functions.scalars import blank, differs, finite, sensor_id, valid_identifier
 
 
@@ -122,13 +122,12 @@ def end_points(tables: Tables) -> DataFrame:
 def known_parameters(parameters: DataFrame, plants: DataFrame) -> DataFrame:
     """(plant, parameter) that is missing, repeated, unknown, not finite or not in its SI
     unit, against the expected list of names and units."""
-    expected = constant(parameters.sparkSession, KNOWN_PARAMETERS, "parameter string, expected_unit string")
+    expected = F.array(*[F.struct(F.lit(n).alias("parameter"), F.lit(u).alias("expected_unit")) for n, u in KNOWN_PARAMETERS])
     given = parameters.groupBy("plant_id", "parameter").agg(
         F.count(F.lit(1)).alias("n"), F.min("unit").alias("unit"), F.max("unit").alias("_unit"),
         F.count_if(~finite("value")).alias("not_finite"),
     )
-    # expected is a constant of eight rows; this multiplies the plants by eight, nothing more
-    wanted = plants.select("plant_id").distinct().join(expected, how="cross")
+    wanted = plants.select("plant_id").distinct().select("plant_id", F.inline(expected))
     both = wanted.join(given, ["plant_id", "parameter"], "full_outer")
     problem = (
         F.when(F.col("n").isNull(), "missing").when(F.col("expected_unit").isNull(), "unknown").when(F.col("n") > 1, "repeated")

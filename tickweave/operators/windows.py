@@ -55,9 +55,10 @@ def nominal_inputs(parameters: DataFrame) -> DataFrame:
 def run_preconditions(tables: Tables, aligned: DataFrame) -> DataFrame:
     """(run_id, problem): runs on which no window is formed."""
     spark = aligned.sparkSession
-    expected = constant(spark, [(v, k, i, u) for v, k, i, u, _ in CHANNELS], "variable_name string, channel_kind string, channel_index int, unit string")
+    names = ("variable_name", "channel_kind", "channel_index", "unit")
+    expected = F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(names, c[:4], strict=True)]) for c in CHANNELS])
     own = tables.sensors.select("plant_id", "variable_name", "channel_kind", "channel_index", "unit")
-    wanted = own.select("plant_id").distinct().join(expected, how="cross")  # six constant rows per plant
+    wanted = own.select("plant_id").distinct().select("plant_id", F.inline(expected))
     keys = ["plant_id", "variable_name", "channel_kind", "channel_index", "unit"]
     plants = wanted.join(own, keys, "left_anti").select("plant_id").unionByName(own.join(wanted, keys, "left_anti").select("plant_id")).distinct()
     runs = tables.operating_runs
