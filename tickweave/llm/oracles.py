@@ -17,4 +17,15 @@ select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, c
 from pieces left join hits using (r) left join named using (r)
 """
 
-SQL = {"op7_benchmark_decontamination": _OP7}
+_OP8 = r"""
+with pieces as (select doc_id, row_number() over () as r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+starts as (select r, doc_id, i, md5(array_to_string(w[i:i+12], ' ')) as k from (select r, doc_id, w, unnest(range(1, len(w) - 11)) as i from pieces where len(w) >= 13 and doc_id is not null)),
+firsts as (select k, min(doc_id) as first from starts group by k),
+gone as (select distinct r, unnest(range(i, i + 13)) as i from starts join firsts using (k) where first < doc_id),
+kept as (select r, doc_id, len(w) as n_words, unnest(w) as word, unnest(range(1, len(w) + 1)) as i from pieces where len(w) > 0)
+select p.doc_id, len(p.w)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from pieces p left join (select r, count(*) filter (gone.i is not null) as n_removed, string_agg(word, ' ' order by kept.i) filter (gone.i is null) as kept
+    from kept left join gone using (r, i) group by r) using (r)
+"""
+
+SQL = {"op7_benchmark_decontamination": _OP7, "op8_substring_dedup": _OP8}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination
+from . import decontamination, substrings
 from .oracles import SQL as SQL
 
 
@@ -17,4 +17,8 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontamination.digest(decontamination.occurrences(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(substrings.repeats_removed(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("op")}
