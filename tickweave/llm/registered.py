@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, substrings
+from . import bpe, decontamination, substrings
 from .oracles import SQL as SQL
 
 
@@ -13,6 +13,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = bpe.load()
+    return bpe.digest(bpe.decoded(bpe.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), own), own))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(decontamination.occurrences(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
