@@ -28,4 +28,16 @@ from pieces p left join (select r, count(*) filter (gone.i is not null) as n_rem
     from kept left join gone using (r, i) group by r) using (r)
 """
 
-SQL = {"op7_benchmark_decontamination": _OP7, "op8_substring_dedup": _OP8}
+_OP9 = r"""
+with recursive pieces as (select doc_id, row_number() over () as r,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+shingles as (select r, array_to_string(s, ' ') as s from (select r, unnest(case when len(w) < 5 then [w] else list_transform(range(1, len(w) - 3), lambda i: w[i:i+4]) end) as s from pieces where len(w) > 0) group by all),
+sizes as (select r, count(*) as n from shingles group by r),
+shared as (select x.r as a, y.r as b, count(*) as k from shingles x join shingles y on x.s = y.s and x.r <> y.r group by all),
+links as (select a, b from shared join sizes p on p.r = a join sizes q on q.r = b where 100 * k >= 80 * (p.n + q.n - k)),
+reach(a, b) as (select r, r from pieces union select reach.a, links.b from reach join links on links.a = reach.b)
+select p.doc_id, coalesce(n, 0)::bigint as n_shingles, q.component_id
+from pieces p left join sizes using (r) join (select reach.a as r, min(doc_id) as component_id from reach join pieces on pieces.r = reach.b group by 1) q using (r)
+"""
+
+SQL = {"op7_benchmark_decontamination": _OP7, "op8_substring_dedup": _OP8, "op9_ngram_jaccard_join": _OP9}

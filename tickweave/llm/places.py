@@ -61,9 +61,11 @@ def joined(blobs) -> Places:
 
 def dealt(ids: np.ndarray, tags: np.ndarray, rows: np.ndarray, at: np.ndarray, keys: np.ndarray | None, part: np.ndarray):
     """A blob for each part: (part, blob); rows must rise."""
+    if not len(part):
+        return
     order = np.argsort(part, kind="stable")
     part = part[order]
-    edges = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
+    edges = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
     for first, last in zip(edges, np.append(edges[1:], len(part)), strict=True):
         one = order[first:last]
         yield int(part[first]), pack(ids, tags, rows[one], at[one], None if keys is None else keys[one])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, substrings
+from . import bpe, decontamination, jaccard, substrings
 from .oracles import SQL as SQL
 
 
@@ -23,7 +23,11 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.digest(substrings.repeats_removed(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return substrings.digest(substrings.repeats_removed(table(spark, sf_dir, "documents").select("doc_id", "text"), joined=True))
+
+
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("op")}
