@@ -40,4 +40,19 @@ select p.doc_id, coalesce(n, 0)::bigint as n_shingles, q.component_id
 from pieces p left join sizes using (r) join (select reach.a as r, min(doc_id) as component_id from reach join pieces on pieces.r = reach.b group by 1) q using (r)
 """
 
-SQL = {"op7_benchmark_decontamination": _OP7, "op8_substring_dedup": _OP8, "op9_ngram_jaccard_join": _OP9}
+_OP10 = r"""
+with pieces as (select doc_id, row_number() over () as r, hex(encode(coalesce(text, ''))) as t from documents),
+starts as (select r, i, md5(substr(t, 2 * i + 1, 400)) as k from (select r, t, unnest(range(0, length(t) // 2 - 199)) as i from pieces where length(t) >= 400)),
+twice as (select k from starts group by k having count(*) > 1),
+marks as (select r, i, max(i) over (partition by r order by i rows between unbounded preceding and 1 preceding) as before from starts where k in (select k from twice)),
+numbered as (select r, i, sum(case when before is null or before + 200 < i then 1 else 0 end) over (partition by r order by i) as span from marks),
+spans as (select r, span, min(i) as a, max(i) + 200 as b from numbered group by all),
+cuts as (select r, a, b, lag(b, 1, 0) over (partition by r order by a) as kept_from from spans),
+kept as (select r, count(*) as n_spans, sum(b - a)::bigint as n_removed, max(b) as last, string_agg(substr(t, 2 * kept_from + 1, 2 * (a - kept_from)), '' order by a) as head
+    from cuts join pieces using (r) group by r)
+select doc_id, (length(t) // 2)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
+    sha256(unhex(coalesce(head || substr(t, 2 * last + 1), t))) as kept_sha256
+from pieces left join kept using (r)
+"""
+
+SQL = {"op7_benchmark_decontamination": _OP7, "op8_substring_dedup": _OP8, "op9_ngram_jaccard_join": _OP9, "op10_suffix_array_dedup": _OP10}

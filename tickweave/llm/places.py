@@ -52,6 +52,11 @@ def unpack(blob: bytes) -> Places:
     return Places(ids, tags, counts, sums - np.repeat(before, counts) - 1, keys)
 
 
+def count(blob: bytes) -> int:
+    """Number of places in a blob."""
+    return int(np.frombuffer(blob, np.int64, 1, 8)[0])
+
+
 def joined(blobs) -> Places:
     parts = [unpack(b) for b in blobs]
     if not parts:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, jaccard, substrings
+from . import bpe, decontamination, jaccard, substrings, suffixarrays
 from .oracles import SQL as SQL
 
 
@@ -30,4 +30,8 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixarrays.digest(suffixarrays.repeats_removed(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("op")}
