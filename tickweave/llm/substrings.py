@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import places
-from .spark_tools import written
+from .spark_tools import squeezed, unsqueezed, written
 from .textbytes import SPACED, U, Powers, mixed, slices, utf8, words
 
 WINDOW = 13
@@ -128,7 +128,7 @@ def _subtrees(table: pa.Table, blocks: int) -> pa.Table:
     return pa.table({"block": pa.array([o[1] for o in out], pa.int32()), "blob": pa.array([o[2] for o in out], pa.binary())})
 
 
-def _kept(left: pa.Table, right: pa.Table, window: int) -> pa.Table:
+def _kept(left: pa.Table, right: pa.Table, window: int, joined: bool) -> pa.Table:
     """Counts and the kept words of each document of a block."""
     got = places.joined(right["blob"].to_pylist())
     ends = np.cumsum(got.counts)
@@ -136,10 +136,10 @@ def _kept(left: pa.Table, right: pa.Table, window: int) -> pa.Table:
     for key, a, b in zip(zip(got.ids.tolist(), got.tags.tolist(), strict=True), (ends - got.counts).tolist(), ends.tolist(), strict=True):
         lists.setdefault(key, []).append(got.at[a:b])
     total, removed, kept = [], [], []
-    row = left["row"].combine_chunks()
-    data, offsets = utf8(row.field("text"))
-    for key, tag, first, last in zip(row.field("doc_id").cast(pa.int64()).to_pylist(), left["tag"].to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-        own = data[first:last].tobytes().split()
+    keys = left["row"].combine_chunks().field("doc_id").cast(pa.int64()).to_pylist()
+    for key, tag, packed in zip(keys, left["tag"].to_pylist(), left["packed"].to_pylist(), strict=True):
+        text = unsqueezed(packed)
+        own = text.split() if text else []
         starts = lists.get((key, tag))
         total.append(len(own))
         if starts:
@@ -152,14 +152,15 @@ def _kept(left: pa.Table, right: pa.Table, window: int) -> pa.Table:
             kept.append(b" ".join(compress(own, stay.tolist())).decode())
         else:
             removed.append(0)
-            kept.append(b" ".join(own).decode())
-    return pa.table({"row": row, "n_words": pa.array(total, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.string())})
+            kept.append(b" ".join(own).decode() if joined else text and text.decode())
+    return pa.table({"row": left["row"], "n_words": pa.array(total, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "text": pa.array(kept, pa.string())})
 
 
-def repeats_removed(docs: DataFrame, window: int = WINDOW, group_suffixes: int = GROUP_SUFFIXES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """For each row of ``docs``: row (a struct of all its columns), n_words, n_removed and kept, the kept words joined by a space.
+def repeats_removed(docs: DataFrame, window: int = WINDOW, joined: bool = False, group_suffixes: int = GROUP_SUFFIXES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """For each row of ``docs``: row (a struct of its columns but the text), n_words, n_removed and text, the kept words joined by a space.
 
-    Two scans, a shuffle of nine bytes for each suffix, and one of the texts to meet the places found in them.
+    A text that loses nothing stays as it is, or is joined likewise if ``joined``. Two scans, a shuffle of nine bytes for
+    each suffix, and one of the compressed texts to meet the places found in them.
     """
     tag = F.xxhash64("doc_id", "text", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())).bitwiseAND(0xFFFFFFFF).alias("tag")
     named = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), tag, "text")
@@ -167,19 +168,20 @@ def repeats_removed(docs: DataFrame, window: int = WINDOW, group_suffixes: int =
     groups, blocks = -(-suffixes // group_suffixes) or 1, -(-size // block_bytes) or 1
     heavy = cells > max(1, group_suffixes // 4)
     leaves = named.mapInArrow(lambda b: _leaves(b, window, heavy, groups, blocks), "part int, block int, blob binary")
-    found = leaves.repartition(groups, "part").groupBy("part").applyInArrow(lambda t: _subtrees(t, blocks), "block int, blob binary")
-    names = docs.columns
-    whole = docs.select(F.struct(*names).alias("row"), tag).withColumn("block", F.pmod("tag", F.lit(blocks)).cast("int"))
-    schema = f"row {whole.schema['row'].dataType.simpleString()}, n_words long, n_removed long, kept string"
+    found = leaves.repartitionById(groups, "part").groupBy("part").applyInArrow(lambda t: _subtrees(t, blocks), "block int, blob binary")
     found = written(found, "repeats")
-    return whole.repartition(blocks, "block").groupBy("block").cogroup(found.repartition(blocks, "block").groupBy("block")).applyInArrow(lambda a, b: _kept(a, b, window), schema)
+    whole = squeezed(docs.select(F.struct(*(c for c in docs.columns if c != "text")).alias("row"), tag, "text")).withColumn("block", F.pmod("tag", F.lit(blocks)).cast("int"))
+    schema = f"row {whole.schema['row'].dataType.simpleString()}, n_words long, n_removed long, text string"
+    sides = whole.repartitionById(blocks, "block").groupBy("block"), found.repartitionById(blocks, "block").groupBy("block")
+    return sides[0].cogroup(sides[1]).applyInArrow(lambda a, b: _kept(a, b, window, joined), schema)
 
 
 def digest(found: DataFrame) -> DataFrame:
-    return found.select("row.doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+    """Of what ``repeats_removed`` returns with ``joined``."""
+    return found.select("row.doc_id", "n_words", "n_removed", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
 def clean(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with the repeated words taken out of the texts; texts without repeats, null ones too, stay as they are."""
     found = repeats_removed(docs, window)
-    return found.select(*(F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("row.text")).alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))
+    return found.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))
