@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, jaccard, substrings, suffixarrays
+from . import bpe, decontamination, jaccard, quality, substrings, suffixarrays, toxicity
 from .oracles import SQL as SQL
 
 
@@ -13,11 +13,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.judged(docs, quality.fitted(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = bpe.load()
     return bpe.digest(bpe.decoded(bpe.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), own), own))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.judged(docs, toxicity.fitted(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(decontamination.occurrences(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 

@@ -93,6 +93,7 @@ class Words:
     ends: np.ndarray
     hashes: np.ndarray
     rows: np.ndarray
+    heads: tuple[np.ndarray, ...] = ()
 
     def row_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.rows) - 1), np.diff(self.rows))
@@ -104,8 +105,8 @@ class Words:
         return first, powers.hashes(powers.sums(self.hashes), first, first + n)
 
 
-def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, powers: Powers, limit: int = SLICE_BYTES) -> Words:
-    """Of the rows between the offsets, by a table of letters."""
+def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, powers: Powers, limit: int = SLICE_BYTES, heads: tuple[int, ...] = ()) -> Words:
+    """Of the rows between the offsets, by a table of letters. ``heads`` asks for hashes of the first so many bytes of the words, too."""
     parts, at, rows = [], int(offsets[0]), offsets
     while at < offsets[-1]:
         to = int(offsets[-1])
@@ -121,10 +122,11 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, powers: Powe
         before[0], before[1:], after[-1], after[:-1] = False, inside[:-1], False, inside[1:]
         before[cuts], after[cuts - 1] = False, False
         first, last = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-        parts.append((first + at, last + at, powers.hashes(powers.sums(value.astype(U)), first, last)))
+        sums = powers.sums(value.astype(U))
+        parts.append((first + at, last + at, powers.hashes(sums, first, last), *(powers.hashes(sums, first, np.minimum(first + n, last)) for n in heads)))
         at = to
-    starts, ends, hashes = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, t) for i, t in enumerate((np.int64, np.int64, U)))
-    return Words(data, starts, ends, hashes, np.searchsorted(starts, offsets))
+    starts, ends, hashes, *firsts = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, t) for i, t in enumerate((np.int64, np.int64, U, *(U for _ in heads))))
+    return Words(data, starts, ends, hashes, np.searchsorted(starts, offsets), tuple(firsts))
 
 
 def packed_steps(steps: np.ndarray) -> np.ndarray:
