@@ -55,4 +55,12 @@ select doc_id, (length(t) // 2)::bigint as n_bytes, coalesce(n_removed, 0)::bigi
 from pieces left join kept using (r)
 """
 
-SQL = {"op7_benchmark_decontamination": _OP7, "op8_substring_dedup": _OP8, "op9_ngram_jaccard_join": _OP9, "op10_suffix_array_dedup": _OP10}
+_OP2 = r"""
+with vectors as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+    where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scores as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint as score from vectors q join vectors c on q.vec_id <> c.vec_id and len(q.v) = len(c.v) where q.vec_id % 50 = 0),
+ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) as n from scores)
+select query_id, n::int as rank, vec_id, score from ranked where n <= 5
+"""
+
+SQL = {"op2_exact_topk": _OP2, "op7_benchmark_decontamination": _OP7, "op8_substring_dedup": _OP8, "op9_ngram_jaccard_join": _OP9, "op10_suffix_array_dedup": _OP10}
