@@ -63,4 +63,25 @@ ranked as (select *, row_number() over (partition by query_id order by score des
 select query_id, n::int as rank, vec_id, score from ranked where n <= 5
 """
 
-SQL = {"op2_exact_topk": _OP2, "op7_benchmark_decontamination": _OP7, "op8_substring_dedup": _OP8, "op9_ngram_jaccard_join": _OP9, "op10_suffix_array_dedup": _OP10}
+_OP1 = r"""
+with parsed as (select page_id, html, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) as path from pages),
+rules(rule, said, h, p) as (values ('com/', 'allow', 'com', '/'), ('example.com/en/', 'block', 'example.com', '/en/'), ('www.example.com/en/', 'allow', 'www.example.com', '/en/'),
+    ('net/es/', 'block', 'net', '/es/'), ('net/fr/', 'block', 'net', '/fr/')),
+named as (select *, (select max_by(rule, length(rule)) from rules where (host = h or ends_with(host, '.' || h)) and starts_with(path, p)) as rule from parsed),
+ruled as (select n.*, said from named n left join rules using (rule)),
+seeds as (select distinct said as kind, host from ruled where said is not null and host <> ''),
+links as (select distinct host as src, translate(d, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as dst from (select host,
+    unnest(regexp_extract_all(html, '<[aA]\s[^>]*?[hH][rR][eE][fF]\s*=\s*["'']?(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#"''\s>]+)', 1)) as d from parsed where host <> '')),
+edges as (select 'allow' as kind, src as host, dst as goal from links where src <> dst union all select 'block', dst, src from links where src <> dst),
+parts as (select *, 100 * count(*) over (partition by kind, host) as parts from edges),
+base as (select kind, host, 1000000000000 * 15 // (100 * count(*) over (partition by kind)) as score from seeds),
+scores0 as (select * from base),
+ROUNDS
+net as (select host, sum(case when kind = 'block' then score else -score end) as net from scores20 group by host)
+select page_id, host, path, rule, coalesce(said, case when net > 0 then 'block' else 'allow' end) as verdict from ruled left join net using (host)
+""".replace("ROUNDS", "".join(f"""scores{i + 1} as (select kind, host, sum(score)::bigint as score from (select * from base union all
+    select kind, goal, score * 85 // parts from parts join scores{i} using (kind, host)) group by all),
+""" for i in range(20)))
+
+SQL = {"op1_url_filters": _OP1, "op2_exact_topk": _OP2, "op7_benchmark_decontamination": _OP7, "op8_substring_dedup": _OP8, "op9_ngram_jaccard_join": _OP9, "op10_suffix_array_dedup": _OP10}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, jaccard, quality, substrings, suffixarrays, topk, toxicity
+from . import bpe, decontamination, jaccard, quality, substrings, suffixarrays, topk, toxicity, urlfilter
 from .oracles import SQL as SQL
 
 
@@ -13,6 +13,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judged(table(spark, sf_dir, "pages"))
+
+
 def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.usable(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     return topk.nearest(vectors.where("id % 50 = 0"), vectors)
