@@ -105,10 +105,11 @@ def provenance_problems(provenances: DataFrame) -> DataFrame:
 
 def selections(records: DataFrame) -> DataFrame:
     """The configuration kept per family: the lowest criterion among those that did not fail,
-    the first declared on a tie. A family whose every configuration failed has none."""
+    the first declared on a tie. A family whose every configuration failed has none. A record
+    written twice counts once."""
     ok = F.col("failure").isNull()
     best = F.min_by(F.when(ok, F.col("key")), F.when(ok, F.struct("criterion", "index")))
-    chosen = records.where(F.col("kind") == TRAINING).groupBy("family_key").agg(
+    chosen = records.where(F.col("kind") == TRAINING).distinct().groupBy("family_key").agg(
         F.count(F.lit(1)).alias("n_tried"), F.count("failure").alias("n_failed"), best.alias("selected"),
         F.min(F.when(ok, F.col("criterion"))).alias("criterion"), F.sum("seconds").alias("seconds"),
     )

@@ -18,6 +18,8 @@ from tickweave.session import cut_lineage
 INGESTED, PRESENT = "ingested", "already_present"
 # In the order in which the gates are passed: the first that fails decides the status.
 REFUSALS = ("quality", "content_changed", "plant_conflict", "dataset_conflict", "run_conflict", "unit_conflict")
+# Rows that name a run the offer doesn't list.
+UNLISTED = "run_not_listed"
 
 
 def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -84,7 +86,8 @@ def quality_findings_by_run(tables: Tables, width: int = quality.DEFAULT_WIDTH)
 
 
 def _conflicting_plants(offered: Tables, stored: Tables) -> DataFrame:
-    """Known plants whose plant, parameter or channel rows differ from the stored ones."""
+    """Known plants whose plant, parameter or channel rows differ from the stored ones, and
+    plants that claim a channel of another plant in the store."""
     known = stored.plants.select("plant_id").distinct()
     parts = []
     for name in ("plants", "process_parameters", "sensors"):
@@ -93,6 +96,8 @@ def _conflicting_plants(offered: Tables, stored: Tables) -> DataFrame:
         own = a.join(known, "plant_id", "left_semi").select(SCHEMAS[name].names).distinct()
         theirs = b.join(offered_plants, "plant_id", "left_semi").select(SCHEMAS[name].names).distinct()
         parts.append(symmetric_difference(own, theirs).select("plant_id"))
+    owners = stored.sensors.select("sensor_id", F.col("plant_id").alias("owner")).distinct()
+    parts.append(offered.sensors.join(owners, "sensor_id").where(differs("plant_id", "owner")).select("plant_id"))
     return reduce(DataFrame.unionByName, parts).distinct()
 
 
@@ -105,9 +110,15 @@ def _unit_conflicts(offered: Tables, stored: Tables) -> DataFrame:
     return new.join(stands, "variable_name").where(differs("unit", "stands")).select("plant_id").distinct()
 
 
+def unlisted_runs(offered: Tables) -> DataFrame:
+    """(run_id, n_rows): measurements of runs that the offer doesn't list."""
+    rows = offered.measurements.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_rows"))
+    return rows.join(offered.operating_runs.select("run_id").distinct(), "run_id", "left_anti")
+
+
 def gate(offered: Tables, stored: Tables, width: int = quality.DEFAULT_WIDTH) -> DataFrame:
     """(run_id, plant_id, status, refused_by): every gate is evaluated for all runs; the
-    first that fails decides."""
+    first that fails decides. A run that only measurements name is refused, too."""
     runs = offered.operating_runs.groupBy("run_id", "plant_id").agg(
         F.first("dataset_id").alias("dataset_id"), F.first("content_sha256").alias("recorded")
     )
@@ -138,10 +149,13 @@ def gate(offered: Tables, stored: Tables, width: int = quality.DEFAULT_WIDTH) ->
         "unit_conflict": ~known & F.col("f_unit"),
     }
     refused = F.coalesce(*[F.when(failed[g], F.lit(g)) for g in REFUSALS])
-    return joined.select(
+    judged = joined.select(
         "run_id", "plant_id", refused.alias("refused_by"),
         F.when(refused.isNotNull(), "refused").when(known, PRESENT).otherwise(INGESTED).alias("status"),
     )
+    return judged.unionByName(unlisted_runs(offered).select(
+        "run_id", F.lit(None).cast("string").alias("plant_id"), F.lit(UNLISTED).alias("refused_by"), F.lit("refused").alias("status")
+    ))
 
 
 def stop_at_first_refusal(report: DataFrame) -> DataFrame:

@@ -129,7 +129,9 @@ def _walk(document: str, node: object, trail: str, field: str, out: list) -> Non
             continue
         elif isinstance(here, int):
             small = -(2**63) <= here < 2**63
-            out.append((document, path, name, "integer", str(here), float(here), here if small else None))
+            # a number of more digits than Python turns into text is told by its size alone
+            text = str(here) if here.bit_length() < 10_000 else f"an integer of {here.bit_length()} bits"
+            out.append((document, path, name, "integer", text, float(here) if here.bit_length() < 1024 else None, here if small else None))
         elif isinstance(here, float):
             out.append((document, path, name, "float", repr(here), here, None))
         else:
@@ -138,16 +140,19 @@ def _walk(document: str, node: object, trail: str, field: str, out: list) -> Non
 
 def walk_documents(documents: DataFrame) -> DataFrame:
     """Keys and scalar leaves of JSON documents (document, json), to any depth. Each document
-    is walked by itself inside the tasks; a text that is not JSON gives one ``invalid`` row."""
+    is walked by itself inside the tasks; a text that is not JSON, or is nested or long beyond
+    what the parser takes, gives one ``invalid`` row with the whole text, which is searched as text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out: list = []
             for document, text in zip(batch["document"], batch["json"], strict=True):
                 try:
-                    _walk(document, json.loads(text), "", "", out)
-                except (ValueError, TypeError):
-                    out.append((document, "", "", "invalid", None, None, None))
+                    found: list = []
+                    _walk(document, json.loads(text), "", "", found)
+                    out += found
+                except (ValueError, TypeError, RecursionError, OverflowError):
+                    out.append((document, "", "", "invalid", text, None, None))
             frame = pd.DataFrame(out, columns=[c.split()[0] for c in LEAF_SCHEMA.split(", ")])
             frame["integer"] = frame["integer"].astype("Int64")
             yield frame
@@ -162,7 +167,7 @@ def document_findings(leaves: DataFrame, parameters: dict[str, float], integers:
     names = forbidden_names(leaves.where(F.col("kind") == "key").withColumn("name", F.col("text")))
     parts = [names.select("document", "trail", F.concat(F.lit("name "), "name", F.lit(" contains "), "word").alias("finding"))]
     words = F.filter(F.array(*[F.lit(w) for w in FORBIDDEN_IN_TEXT]), lambda w: F.contains(F.lower("text"), F.lower(w)))
-    parts.append(leaves.where((F.col("kind") == "text") & free).select("document", "trail", F.explode(words).alias("w")).select("document", "trail", F.concat(F.lit("text mentions "), "w").alias("finding")))
+    parts.append(leaves.where(F.col("kind").isin("text", "invalid") & free).select("document", "trail", F.explode(words).alias("w")).select("document", "trail", F.concat(F.lit("text mentions "), "w").alias("finding")))
     floats = leaves.where((F.col("kind") == "float") & free)
 
     def labelled(rows: DataFrame, secrets: dict, match) -> DataFrame:

@@ -17,6 +17,8 @@ CANDIDATE, COMPARATOR = "candidate", "comparator"
 BOTH, ONLY_CANDIDATE, ONLY_COMPARATOR, NEITHER = (
     "both completed", "only the candidate completed", "only the comparator completed", "both failed",
 )
+ABSENT = "a model lacks a replicate"
+UNDECLARED, WITHOUT_RESULTS, REFUSED = "a budget that is not declared", "a declared budget without results", "refused"
 RELEVANT, BELOW_MARGIN = "relevant", "below the relevance margin"
 NOT_ESTABLISHED, NOT_COMPUTABLE = "magnitude not established", "magnitude not computable"
 SUPPORTED, CONTRADICTED, BUDGET_DEPENDENT = "supported", "contradicted", "budget-dependent"
@@ -77,24 +79,26 @@ def paired_outcome(first: Column, second: Column) -> Column:
 def pairs(scores: DataFrame, comparisons: DataFrame) -> DataFrame:
     """One row per comparison, budget and replicate. ``comparisons``: (comparison, candidate,
     comparator), declared. The two models of a comparison meet on (comparison, budget,
-    replicate); models are never paired beyond what is declared."""
-    a = scores.join(comparisons, scores["model"] == comparisons["candidate"]).select("comparison", "budget", "replicate", F.col("score").alias("a"))
-    b = scores.join(comparisons, scores["model"] == comparisons["comparator"]).select("comparison", "budget", "replicate", F.col("score").alias("b"))
+    replicate); models are never paired beyond what is declared. A replicate that one of them
+    lacks keeps its row, of the kind ``ABSENT``; no decision is made on its comparison."""
+    a = scores.join(comparisons, scores["model"] == comparisons["candidate"]).select("comparison", "budget", "replicate", F.col("score").alias("a"), F.lit(True).alias("has_a"))
+    b = scores.join(comparisons, scores["model"] == comparisons["comparator"]).select("comparison", "budget", "replicate", F.col("score").alias("b"), F.lit(True).alias("has_b"))
     order = paired_outcome(F.col("a"), F.col("b"))
+    met = F.col("has_a").isNotNull() & F.col("has_b").isNotNull()
     kind = (
-        F.when(F.col("a").isNull() & F.col("b").isNull(), NEITHER).when(F.col("b").isNull(), ONLY_CANDIDATE)
+        F.when(~met, ABSENT).when(F.col("a").isNull() & F.col("b").isNull(), NEITHER).when(F.col("b").isNull(), ONLY_CANDIDATE)
         .when(F.col("a").isNull(), ONLY_COMPARATOR).otherwise(BOTH)
     )
-    return a.join(b, ["comparison", "budget", "replicate"]).select(
+    return a.join(b, ["comparison", "budget", "replicate"], "full").select(
         "comparison", "budget", "replicate", kind.alias("kind"),
-        F.when(order == "first", CANDIDATE).when(order == "second", COMPARATOR).alias("winner"), (F.col("b") - F.col("a")).alias("difference"),
+        F.when(met & (order == "first"), CANDIDATE).when(met & (order == "second"), COMPARATOR).alias("winner"), (F.col("b") - F.col("a")).alias("difference"),
     )
 
 
 def paired_counts(paired: DataFrame) -> DataFrame:
     return paired.groupBy("comparison").agg(
         F.count_if(F.col("winner") == CANDIDATE).alias("first_wins"), F.count_if(F.col("winner") == COMPARATOR).alias("second_wins"),
-        F.count_if(F.col("winner").isNull()).alias("ties"), F.count_if(F.col("kind") == NEITHER).alias("both_failed"),
+        F.count_if(F.col("winner").isNull() & (F.col("kind") != ABSENT)).alias("ties"), F.count_if(F.col("kind") == NEITHER).alias("both_failed"),
     )
 
 
@@ -103,7 +107,8 @@ def budget_summary(paired: DataFrame) -> DataFrame:
     keys = ["comparison", "budget"]
     counts = paired.groupBy(*keys).agg(
         F.count_if(F.col("winner") == CANDIDATE).alias("wins"), F.count_if(F.col("winner") == COMPARATOR).alias("losses"),
-        F.count_if(F.col("winner").isNull()).alias("ties"), F.count("difference").alias("n_both"), F.count(F.lit(1)).alias("replicates"),
+        F.count_if(F.col("winner").isNull() & (F.col("kind") != ABSENT)).alias("ties"), F.count("difference").alias("n_both"), F.count(F.lit(1)).alias("replicates"),
+        F.count_if(F.col("kind") == ABSENT).alias("absent"),
     )
     trials = F.col("wins") + F.col("losses")
     middle = grouped_median(paired, keys, "difference", "median_difference")
@@ -124,8 +129,26 @@ def _margin(delta: float) -> float:
     return float(delta)
 
 
+def _refusal(summary: DataFrame, budgets: list[int]) -> DataFrame:
+    """``position`` of each budget among the declared ones, 0 for others, and ``refused``: why no
+    decision is made on its comparison. The budgets of a comparison are few, so a window over
+    them is small."""
+    position = F.array_position(F.array(*[F.lit(int(b)).cast("long") for b in budgets]), F.col("budget").cast("long"))
+    own = Window.partitionBy("comparison")
+    rows = summary.withColumn("position", position)
+    problem = (
+        F.when(F.max(F.col("position") == 0).over(own), UNDECLARED)
+        .when(F.count_if(F.col("position") > 0).over(own) < len(budgets), WITHOUT_RESULTS)
+        .when(F.max(F.col("absent") > 0).over(own), ABSENT)
+    )
+    return rows.withColumn("refused", problem)
+
+
 def _decided(tested: DataFrame, delta: float, minimum: int) -> DataFrame:
-    """Direction, magnitude, what the budget counts for, and its label."""
+    """Direction, magnitude, what the budget counts for, and its label. Nothing is decided
+    where the comparison is refused."""
+    for name in ("rejects_candidate", "rejects_comparator", "tested"):
+        tested = tested.withColumn(name, F.col("refused").isNull() & F.col(name))
     direction = F.when(F.col("rejects_candidate"), CANDIDATE).when(F.col("rejects_comparator"), COMPARATOR)
     oriented = F.when(F.col("direction") == CANDIDATE, F.col("median_difference")).otherwise(-F.col("median_difference"))
     magnitude = F.when(
@@ -134,7 +157,7 @@ def _decided(tested: DataFrame, delta: float, minimum: int) -> DataFrame:
         .when(oriented >= delta, RELEVANT).otherwise(BELOW_MARGIN),
     )
     label = (
-        F.when(~F.col("tested"), "not tested").when(F.col("direction").isNull(), "no decision")
+        F.when(F.col("refused").isNotNull(), F.concat(F.lit("refused: "), "refused")).when(~F.col("tested"), "not tested").when(F.col("direction").isNull(), "no decision")
         .otherwise(F.concat(F.col("direction"), F.lit(" better, "), F.col("magnitude")))
     )
     decided = tested.withColumn("direction", direction).withColumn("magnitude", magnitude)
@@ -143,14 +166,13 @@ def _decided(tested: DataFrame, delta: float, minimum: int) -> DataFrame:
 
 def ordered_decisions(summary: DataFrame, order: dict[int, int] | list[int], alpha_family: float, delta: float, minimum_complete: int) -> DataFrame:
     """Fixed-sequence test per direction at half the level: a budget is tested in a direction
-    only if every budget before it was rejected. The budgets of a comparison are declared,
-    so a window over them is small."""
+    only if every budget before it was rejected. A comparison whose budgets are not exactly
+    those of the order, or that lacks a replicate, is refused as a whole."""
     level, margin = _level(alpha_family) / 2, _margin(delta)
     order = list(order)
     if not order or len(set(order)) != len(order) or minimum_complete < 1:
         raise ValueError(f"budgets must be distinct and given, and the minimum at least 1: {order!r}, {minimum_complete!r}")
-    position = F.array_position(F.array(*[F.lit(int(b)).cast("long") for b in order]), F.col("budget").cast("long"))
-    rows = summary.withColumn("position", position).where(F.col("position") > 0)
+    rows = _refusal(summary, order)
     w = Window.partitionBy("comparison").orderBy("position")
     earlier, upto = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     for d in (CANDIDATE, COMPARATOR):
@@ -176,20 +198,23 @@ def ordered_verdicts(decisions: DataFrame) -> DataFrame:
 
     grouped = rows.groupBy("comparison").agg(
         F.max(F.when(first, F.col("counts_for"))).alias("_counts"), F.max(F.when(first, F.col("direction"))).alias("_direction"),
-        listed(F.col("_run")).alias("_supported"), listed(first).alias("_gate"),
+        listed(F.col("_run")).alias("_supported"), listed(first).alias("_gate"), F.max("refused").alias("_refused"),
     )
     verdict = (
-        F.when(F.col("_counts") == CANDIDATE, SUPPORTED).when(F.col("_counts") == COMPARATOR, CONTRADICTED)
+        F.when(F.col("_refused").isNotNull(), REFUSED).when(F.col("_counts") == CANDIDATE, SUPPORTED).when(F.col("_counts") == COMPARATOR, CONTRADICTED)
         .when(F.col("_direction").isNotNull(), BELOW).otherwise(NO_DECISION)
     )
-    budgets = F.when(verdict == SUPPORTED, F.col("_supported")).when(verdict == NO_DECISION, "").otherwise(F.col("_gate"))
+    budgets = F.when(verdict == SUPPORTED, F.col("_supported")).when(verdict.isin(NO_DECISION, REFUSED), "").otherwise(F.col("_gate"))
     return grouped.select("comparison", verdict.alias("verdict"), budgets.alias("budgets"))
 
 
-def unordered_decisions(summary: DataFrame, n_budgets: int, alpha_family: float, delta: float, minimum_complete: int) -> DataFrame:
-    """Every budget in both directions, by Bonferroni."""
-    level, margin = _level(alpha_family) / (2 * n_budgets), _margin(delta)
-    tested = summary.select(
+def unordered_decisions(summary: DataFrame, budgets: list[int], alpha_family: float, delta: float, minimum_complete: int) -> DataFrame:
+    """Every declared budget in both directions, by Bonferroni; refused like an ordered family."""
+    budgets = list(budgets)
+    if not budgets or len(set(budgets)) != len(budgets):
+        raise ValueError(f"budgets must be distinct and given: {budgets!r}")
+    level, margin = _level(alpha_family) / (2 * len(budgets)), _margin(delta)
+    tested = _refusal(summary, budgets).select(
         "*", (F.col("p_candidate") <= level).alias("rejects_candidate"), (F.col("p_comparator") <= level).alias("rejects_comparator"), F.lit(True).alias("tested")
     )
     return _decided(tested, margin, minimum_complete)
@@ -203,10 +228,11 @@ def unordered_verdicts(decisions: DataFrame) -> DataFrame:
     grouped = decisions.groupBy("comparison").agg(
         listed(F.col("counts_for") == CANDIDATE).alias("_for"), listed(F.col("counts_for") == COMPARATOR).alias("_against"),
         listed(F.col("direction").isNotNull()).alias("_detected"),
+        F.max("refused").alias("_refused"),
     )
     some, against, detected = F.col("_for") != "", F.col("_against") != "", F.col("_detected") != ""
     verdict = (
-        F.when(some & against, BUDGET_DEPENDENT).when(some, SUPPORTED).when(against, CONTRADICTED).when(detected, BELOW).otherwise(NO_DECISION)
+        F.when(F.col("_refused").isNotNull(), REFUSED).when(some & against, BUDGET_DEPENDENT).when(some, SUPPORTED).when(against, CONTRADICTED).when(detected, BELOW).otherwise(NO_DECISION)
     )
     budgets = (
         F.when(some & against, F.concat_ws(",", "_for", "_against")).when(some, F.col("_for")).when(against, F.col("_against")).otherwise(F.col("_detected"))

@@ -142,10 +142,13 @@ def subsampling_problems(trajectory: DataFrame, period: float, width: int = DEFA
     """(case, problem, n): sensor instants that are not stored, stored twice, or inputs that
     change between two of them."""
     sampled = on_sensor_clock(trajectory, period)
-    span = trajectory.groupBy("case_id").agg((F.max("time_s") - F.min("time_s")).alias("_span"))
+    span = trajectory.groupBy("case_id").agg(F.min("time_s").alias("_start"), F.max("time_s").alias("_end"))
+    # the last instant of the clock that the case reaches; a quotient alone may fall one short of it
+    about = F.floor((F.col("_end") - F.col("_start")) / period)
+    reached = F.when(F.col("_start") + (about + 1) * F.lit(period) <= F.col("_end"), about + 1).when(F.col("_start") + about * F.lit(period) <= F.col("_end"), about).otherwise(about - 1)
     per_tick = sampled.groupBy("case_id", "tick").agg(F.count(F.lit(1)).alias("n"))
-    found = per_tick.groupBy("case_id").agg(F.count(F.lit(1)).alias("ticks"), F.count_if(F.col("n") > 1).alias("twice"))
-    held = found.join(span, "case_id").select("case_id", "twice", (F.floor(F.col("_span") / period) + 1 - F.col("ticks")).alias("missing"))
+    found = per_tick.groupBy("case_id").agg(F.count(F.lit(1)).alias("ticks"), F.max("tick").alias("last"), F.count_if(F.col("n") > 1).alias("twice"))
+    held = found.join(span, "case_id").select("case_id", "twice", (F.greatest(reached, "last") + 1 - F.col("ticks")).alias("missing"))
     stepped = Bands(("case_id",), "i", (), width).scan(trajectory, lag={"_u": F.struct(*INPUTS)})
     changed = stepped.where(F.col("_u").isNotNull() & ~concordance([F.col(c) for c in INPUTS], [F.col(f"_u.{c}") for c in INPUTS])).select("case_id", "i")
     between = changed.join(sampled.select("case_id", "i"), ["case_id", "i"], "left_anti").groupBy("case_id").agg(F.count(F.lit(1)).alias("between"))
@@ -161,10 +164,11 @@ def phase_differences(first: DataFrame, second: DataFrame, keys: list[str], valu
     d = first.select(*keys, "i", "phase", F.col(value).alias("_a")).join(b, [*keys, "i"]).withColumn("d", F.col("_b") - F.col("_a"))
     sets = [[F.col(k) for k in keys], [F.col(k) for k in keys] + [F.col("phase")]]
     grouped = d.groupingSets(sets, *[F.col(k) for k in keys], F.col("phase")).agg(
+        F.grouping_id().alias("_grain"),
         F.count(F.lit(1)).alias("n"), F.max(F.abs("d")).alias("largest"), root_mean_square("d").alias("rms"), F.avg(F.when(F.col("d") > 0, 1.0).otherwise(0.0)).alias("share_above"),
     )
     return grouped.select(
-        *keys, F.coalesce("phase", F.lit("whole run")).alias("phase"), "n", "largest", "rms", "share_above",
+        *keys, F.when(F.col("_grain") == 0, F.col("phase")).otherwise("whole run").alias("phase"), "n", "largest", "rms", "share_above",
         (F.col("largest") / sigma).alias("largest_in_sigmas"), (F.col("rms") / sigma).alias("rms_in_sigmas"),
     )
 

@@ -26,14 +26,16 @@ def local_session(cpus: int = 8, app: str = "tickweave") -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``. Only where none is set, as
-    in a local test, a temporary folder is made and set for the session."""
+    """The folder the cluster names in ``spark.checkpoint.dir``. Where none is set, as in a
+    local test, a local master gets a temporary folder; a cluster has to name one."""
     named = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if named:
         return named.rstrip("/")
     existing = spark.sparkContext.getCheckpointDir()
     if existing:
         return existing
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError(f"{CHECKPOINT_KEY} is not set, and executors of {spark.sparkContext.master} do not share a local folder")
     made = tempfile.mkdtemp(prefix="spark-tickweave-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(made)
     return spark.sparkContext.getCheckpointDir() or made

@@ -1,5 +1,7 @@
 """Outcomes, paired comparisons and campaign accounting."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from tickweave.contract import constant
@@ -34,7 +36,22 @@ def ordered(spark, sf):
 
 
 def unordered(spark, sf):
-    return outcomes.unordered_decisions(summary(spark, sf), 5, 0.9, 0.02, 5)
+    return outcomes.unordered_decisions(summary(spark, sf), sorted(ORDER), 0.9, 0.02, 5)
+
+
+def _refused(spark, sf):
+    """Three families that cannot be decided: a replicate lost, a budget of the order without
+    results, and a result for a budget that nobody declared."""
+    declared = constant(spark, PAIRS, "comparison string, candidate string, comparator string")
+    lost = outcomes.budget_summary(outcomes.pairs(scores(spark, sf).where("NOT (model = 'N' AND replicate = 4 AND budget = 5)"), declared))
+    cases = [("lost", lost, ORDER), ("longer order", summary(spark, sf), [80, *ORDER]), ("shorter order", summary(spark, sf), ORDER[:3])]
+    parts = []
+    for name, found, order in cases:
+        for kind, made in (("ordered", outcomes.ordered_decisions(found, order, 0.6, 0.02, 5)), ("unordered", outcomes.unordered_decisions(found, order, 0.9, 0.02, 5))):
+            verdicts = outcomes.ordered_verdicts(made) if kind == "ordered" else outcomes.unordered_verdicts(made)
+            rows = made.where(F.col("refused").isNotNull()).join(verdicts, "comparison")
+            parts.append(rows.select(F.lit(name).alias("case"), F.lit(kind).alias("kind"), "comparison", "budget", "tested", "label", "verdict"))
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 DECISION = ["comparison", "budget", "tested", "direction", "magnitude", "counts_for", "label"]
@@ -138,6 +155,7 @@ QUERIES = {
     "compare_budget_summary": lambda spark, sf: rounded(summary(spark, sf), 9),
     "compare_ordered_decisions": lambda spark, sf: ordered(spark, sf).select(DECISION),
     "compare_ordered_verdicts": lambda spark, sf: outcomes.ordered_verdicts(ordered(spark, sf)),
+    "compare_refused_families": _refused,
     "compare_unordered_decisions": lambda spark, sf: unordered(spark, sf).select(DECISION),
     "compare_unordered_verdicts": lambda spark, sf: outcomes.unordered_verdicts(unordered(spark, sf)),
     "compare_family_problems": lambda spark, sf: outcomes.family_problems(
@@ -157,7 +175,7 @@ QUERIES = {
     "campaign_combine_problems": lambda spark, sf: campaign.combine_problems(tasks(spark, sf), records(spark, sf)),
     "campaign_compatibility": lambda spark, sf: campaign.compatibility(_provenances(spark, sf)),
     "campaign_provenance_problems": lambda spark, sf: campaign.provenance_problems(_provenances(spark, sf)),
-    "campaign_selections": lambda spark, sf: rounded(campaign.selections(records(spark, sf).where("replicate % 31 <> 0"))),
+    "campaign_selections": lambda spark, sf: rounded(campaign.selections(records(spark, sf))),
     "campaign_blocked_tasks": lambda spark, sf: campaign.blocked_tasks(tasks(spark, sf), records(spark, sf)),
     "campaign_run_summary": lambda spark, sf: rounded(campaign.run_summary(records(spark, sf))),
     "campaign_identity_collisions": lambda spark, sf: campaign.identity_collisions(_identities(spark, sf)),
@@ -241,13 +259,18 @@ SQL = {
     "compare_pairs": _q(_SCORES, "SELECT * FROM paired"),
     "compare_paired_counts": _q(_SCORES, """SELECT comparison, sum(wins)::BIGINT AS first_wins, sum(losses)::BIGINT AS second_wins, sum(ties)::BIGINT AS ties,
         any_value(f) AS both_failed FROM summary JOIN (SELECT comparison, count(*) FILTER (kind = 'both failed') AS f FROM paired GROUP BY ALL) USING (comparison) GROUP BY comparison"""),
-    "compare_budget_summary": _q(_SCORES, "SELECT comparison, budget, wins, losses, ties, n_both, replicates, round(median_difference, 9) AS median_difference, round(p_candidate, 9) AS p_candidate, round(p_comparator, 9) AS p_comparator FROM summary"),
+    "compare_budget_summary": _q(_SCORES, "SELECT comparison, budget, wins, losses, ties, n_both, replicates, 0::BIGINT AS absent, round(median_difference, 9) AS median_difference, round(p_candidate, 9) AS p_candidate, round(p_comparator, 9) AS p_comparator FROM summary"),
     "compare_ordered_decisions": _q(_SCORES + _ORDERED, f"SELECT {_COLUMNS} FROM decisions"),
     "compare_ordered_verdicts": _q(_SCORES + _ORDERED, """
         SELECT comparison, CASE gc WHEN 'candidate' THEN 'supported' WHEN 'comparator' THEN 'contradicted' ELSE CASE WHEN gd IS NULL THEN 'no confirmatory decision' ELSE 'difference below the relevance margin' END END AS verdict,
                CASE WHEN gc = 'candidate' THEN prefix WHEN gd IS NULL THEN '' ELSE '10' END AS budgets
         FROM (SELECT comparison, max(counts_for) FILTER (position = 1) AS gc, max(direction) FILTER (position = 1) AS gd, coalesce(string_agg(budget::VARCHAR, ',' ORDER BY position) FILTER (good), '') AS prefix
               FROM (SELECT *, bool_and(coalesce(counts_for = 'candidate', false)) OVER (PARTITION BY comparison ORDER BY position) AS good FROM decisions) GROUP BY comparison)"""),
+    "compare_refused_families": _q(_SCORES, """
+        SELECT "case", kind, comparison, budget, false AS tested, 'refused: ' || why AS label, 'refused' AS verdict
+        FROM (SELECT DISTINCT comparison, budget FROM paired), (VALUES ('ordered'), ('unordered')) k(kind),
+             (VALUES ('lost', 'a model lacks a replicate'), ('longer order', 'a declared budget without results'), ('shorter order', 'a budget that is not declared')) v("case", why)
+        WHERE "case" <> 'lost' OR contains(comparison, 'N')"""),
     "compare_unordered_decisions": _q(_SCORES + _UNORDERED, f"SELECT {_COLUMNS} FROM decisions"),
     "compare_unordered_verdicts": _q(_SCORES + _UNORDERED, """
         SELECT comparison, CASE WHEN f <> '' AND a <> '' THEN 'budget-dependent' WHEN f <> '' THEN 'supported' WHEN a <> '' THEN 'contradicted' WHEN d <> '' THEN 'difference below the relevance margin' ELSE 'no confirmatory decision' END AS verdict,
@@ -295,7 +318,7 @@ SQL = {
     "campaign_selections": _q(_TASKS, """
         SELECT family_key, count(*) AS n_tried, count(failure) AS n_failed, arg_min(key, criterion * 100 + idx) FILTER (failure IS NULL) AS selected, min(criterion) FILTER (failure IS NULL) AS criterion,
                sum(seconds) AS seconds, CASE WHEN count(*) = count(failure) THEN 'every configuration failed' END AS failure
-        FROM (SELECT * FROM records WHERE kind = 'training' AND replicate % 31 <> 0) r GROUP BY family_key"""),
+        FROM (SELECT DISTINCT * FROM records WHERE kind = 'training') r GROUP BY family_key"""),
     "campaign_blocked_tasks": _q(_TASKS, """
         SELECT t.key, t.start_key, CASE WHEN r.key IS NULL THEN 'waiting' WHEN f IS NULL THEN 'ready' ELSE 'blocked' END AS state, 'not trained, since its start failed: ' || f AS failure
         FROM tasks t LEFT JOIN (SELECT key, max(failure) AS f FROM records GROUP BY key) r ON r.key = t.start_key WHERE kind = 'training'"""),

@@ -107,7 +107,16 @@ def _thinned(spark, sf):
     return cases(spark, sf).where("event_id % 499 <> 0 OR i = 0").withColumn("q", F.when(F.col("i") == 33, 0.003).otherwise(F.col("q")))
 
 
+def _late_clocks(spark, sf):
+    """Cases whose clock starts at one second with a tenth of a second to a tick; every seventh
+    sample is absent, and each case ends on a tick that a quotient of times falls short of."""
+    i = F.col("event_id") % 40
+    rows = eventlog.table(spark, sf, "events").select(F.expr("event_id div 40").alias("case_id"), i.alias("i"), (F.lit(1.0) + F.lit(0.1) * i).alias("time_s"), *[F.lit(1.0).alias(c) for c in INPUTS])
+    return trajectory.subsampling_problems(rows.where("i % 7 <> 1 AND i <= 2 + case_id % 30"), 0.1)
+
+
 QUERIES = {
+    "trajectory_late_clocks": _late_clocks,
     "noise_statistics": lambda spark, sf: rounded(diagnostics.noise_statistics(_errors(spark, sf))),
     "noise_series_problems": lambda spark, sf: diagnostics.series_problems(
         _errors(spark, sf).where("NOT (run_id LIKE '%.e1.%' AND sample_index >= 99)").withColumn("error", F.when(F.col("run_id").contains(".e2.") & (F.col("sample_index") == 5), float("inf")).otherwise(F.col("error")))
@@ -158,6 +167,9 @@ flat AS (SELECT run_id AS case_id, any_value(plant_id) AS plant_id, max("T") AS
 refined AS (SELECT case_id, plant_id, peak, peak_t, CASE WHEN h > peak THEN h ELSE peak END AS refined_peak, CASE WHEN h > peak THEN tv ELSE peak_t END AS refined_t FROM flat LEFT JOIN best USING (case_id))"""
 
 SQL = {
+    "trajectory_late_clocks": """
+        SELECT case_id, 'missing' AS problem, max(i) + 1 - count(*) AS n FROM (SELECT event_id // 40 AS case_id, event_id % 40 AS i FROM events)
+        WHERE i % 7 <> 1 AND i <= 2 + case_id % 30 GROUP BY case_id HAVING n > 0""",
     "noise_statistics": on(EVENT_LOG + _ERR, """SELECT run_id, variable_name, n, round(sigma, 6) AS sigma, round(mean, 6) AS mean, round(mean_z, 6) AS mean_z, round(rms, 6) AS rms, round(spread_z, 6) AS spread_z,
         round(lag_one, 6) AS lag_one, round(lag_one_z, 6) AS lag_one_z, round(b1, 6) AS beyond_one_sigma, round(b1_z, 6) AS beyond_one_sigma_z, round(b2, 6) AS beyond_two_sigma, round(b2_z, 6) AS beyond_two_sigma_z, round(top, 6) AS largest_in_sigmas FROM stats"""),
     "noise_series_problems": on(EVENT_LOG, """SELECT run_id, v AS variable_name, p AS problem FROM operating_runs, (VALUES ('C_A'), ('T')) x(v), (VALUES ('.e1.', 'too few samples'), ('.e2.', 'not finite'), ('.e3.', 'noise level not positive')) y(e, p)

@@ -60,6 +60,41 @@ def _gate_report(spark, sf):
     return ingest.gate(ingest.staged(offered), ingest.staged(stored))
 
 
+def _gate_conflicts(spark, sf):
+    """A new plant whose channel another plant of the store owns, and measurements of a run
+    that the offer doesn't list."""
+    tables = ingest.staged(log(spark, sf))
+    of = lambda df, plant: df.where(F.col("plant_id") == plant)
+    claimed = lambda df: df.withColumn("sensor_id", F.when(F.col("sensor_id") == "target.T", "source.T").otherwise(F.col("sensor_id")))
+    target = Tables(**{name: of(df, "target") for name, df in tables.items()})
+    offered = digests.recorded_runs(target.with_(sensors=claimed(target.sensors), measurements=claimed(target.measurements)))
+    offered = offered.with_(operating_runs=offered.operating_runs.where(~F.col("run_id").contains(".e3.")))
+    stored = Tables(**{name: of(df, "source") for name, df in tables.items()})
+    return offered, stored
+
+
+def _conflicts_report(spark, sf):
+    return ingest.gate(*_gate_conflicts(spark, sf))
+
+
+def _first_refusal(spark, sf):
+    """The gate that stops at the first refusal."""
+    offered, stored = _gate(spark, sf)
+    return ingest.ingest(ingest.staged(offered), ingest.staged(stored), fail_fast=True)[0]
+
+
+def _broken_documents(spark, sf):
+    """Documents that no walk ends well on: an integer of 400 digits, a text cut short, and nesting
+    deeper than the parser goes; beside them sound ones."""
+    k = F.expr("event_id div 500 % 4")
+    rows = table(spark, sf, "events").where("event_id % 500 = 0")
+    text = (
+        F.when(k == 0, F.concat(F.lit('{"k": '), F.repeat(F.lit("9"), 400), F.lit("}"))).when(k == 1, '{"note": "UA_ref')
+        .when(k == 2, F.repeat(F.lit("["), 100_000)).otherwise('{"a": [1, {"b": true}]}')
+    )
+    return rows.select(F.col("event_id").cast("string").alias("document"), text.alias("json"))
+
+
 def _ingest_twice(spark, sf):
     """Ingest into an empty store, ingest again: everything is already there, nothing grows."""
     root = folder(spark, "store")
@@ -216,6 +251,11 @@ QUERIES = {
     "integrity_null_counts": lambda spark, sf: integrity.null_counts(eventlog.planted(spark, sf).measurements, "measurements"),
     "integrity_pre_publish": lambda spark, sf: integrity.pre_publish(eventlog.registry(spark, sf)),
     "ingest_gate": _gate_report,
+    "ingest_gate_conflicts": _conflicts_report,
+    "ingest_first_refusal": _first_refusal,
+    "ingest_unlisted_runs": lambda spark, sf: ingest.unlisted_runs(_gate_conflicts(spark, sf)[0]),
+    "leak_broken_document_walk": lambda spark, sf: leakscan.walk_documents(_broken_documents(spark, sf)).select("document", "trail", "field", "kind", F.left("text", F.lit(20)).alias("start"), "integer"),
+    "leak_broken_document_findings": lambda spark, sf: leakscan.document_findings(leakscan.walk_documents(_broken_documents(spark, sf)), {}, {"one": 1}),
     "ingest_twice": _ingest_twice,
     "ingest_stored_rows": _stored_rows,
     "ingest_quality_by_run": lambda spark, sf: ingest.quality_findings_by_run(eventlog.planted(spark, sf)).where("branch IN ('gaps', 'missing_channels', 'quality_flags')"),
@@ -275,6 +315,17 @@ SQL = {
     "ingest_gate": on(EVENT_LOG, """
         SELECT run_id, plant_id, CASE WHEN contains(run_id, '.e1.') THEN 'quality' WHEN contains(run_id, '.e2.') THEN 'content_changed' WHEN run_id LIKE 'source%.e6.%' THEN 'dataset_conflict' END AS refused_by,
                CASE WHEN refused_by IS NOT NULL THEN 'refused' WHEN run_id LIKE 'source%.e5.%' THEN 'already_present' ELSE 'ingested' END AS status FROM operating_runs"""),
+    "ingest_gate_conflicts": on(EVENT_LOG, """
+        SELECT run_id, CASE WHEN NOT contains(run_id, '.e3.') THEN plant_id END AS plant_id, CASE WHEN contains(run_id, '.e3.') THEN 'run_not_listed' ELSE 'plant_conflict' END AS refused_by, 'refused' AS status
+        FROM operating_runs WHERE plant_id = 'target'"""),
+    "ingest_unlisted_runs": on(EVENT_LOG, "SELECT run_id, count(*) AS n_rows FROM measurements WHERE run_id LIKE 'target%.e3.%' GROUP BY run_id"),
+    "leak_broken_document_walk": """
+        SELECT event_id::VARCHAR AS document, trail, field, kind, start, "integer" FROM events, (VALUES
+            (0, '', 'k', 'key', 'k', NULL), (0, '/k', 'k', 'integer', repeat('9', 20), NULL), (1, '', '', 'invalid', '{"note": "UA_ref', NULL), (2, '', '', 'invalid', repeat('[', 20), NULL),
+            (3, '', 'a', 'key', 'a', NULL), (3, '/a[0]', 'a', 'integer', '1', 1::BIGINT), (3, '/a[1]', 'b', 'key', 'b', NULL)) v(k, trail, field, kind, start, "integer")
+        WHERE event_id % 500 = 0 AND event_id // 500 % 4 = k""",
+    "leak_broken_document_findings": """SELECT event_id::VARCHAR AS document, trail, finding FROM events, (VALUES (1, '', 'text mentions UA_ref'), (3, '/a[0]', 'holds one')) v(k, trail, finding)
+        WHERE event_id % 500 = 0 AND event_id // 500 % 4 = k""",
     "ingest_twice": on(EVENT_LOG, "SELECT 'first' AS pass, 'ingested' AS status, count(*) AS n_runs FROM operating_runs UNION ALL SELECT 'again', 'already_present', count(*) FROM operating_runs"),
     "ingest_stored_rows": on(EVENT_LOG, " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in SCHEMAS)),
     "ingest_quality_by_run": on(PLANTED, """
@@ -309,3 +360,5 @@ SQL = {
         UNION ALL SELECT event_id::VARCHAR, CASE WHEN event_id % 50 = 0 THEN '/run/props/k' ELSE '/k' END, 'holds the answer' FROM events WHERE props = '{"k": 42}'""",
     "report_verdict": "SELECT 6::BIGINT AS n_checks, 6::BIGINT AS n_passed, true AS ok",
 }
+SQL["ingest_first_refusal"] = SQL["ingest_gate"].rstrip().replace("SELECT run_id, plant_id, CASE", """SELECT run_id, plant_id, refused_by, CASE WHEN run_id <= min(run_id) FILTER (status = 'refused') OVER () THEN status ELSE 'not_reached' END AS status
+        FROM (SELECT run_id, plant_id, CASE""", 1) + ")"

@@ -95,6 +95,24 @@ def _with_log(step):
     return lambda spark, sf: step(Log(spark, sf))
 
 
+def _with_gaps(log):
+    """Predictions of which one model lacks every third excursion."""
+    data, _, predictions = log.predictions()
+    return data, predictions.where("NOT (model = 'fail' AND excursion % 3 = 2)")
+
+
+def _refused_models(spark, sf):
+    data, predictions = _with_gaps(Log(spark, sf))
+    return scoring.refused_models(scoring.coverage(predictions, data))
+
+
+def _scores_complete(spark, sf):
+    log = Log(spark, sf)
+    data, predictions = _with_gaps(log)
+    roles = constant(spark, ROLES, "model string, role string")
+    return rounded(scoring.evaluate_complete(scoring.errors(predictions, data, log.sigmas), roles, scoring.coverage(predictions, data)))
+
+
 def _disagreement(spark, sf):
     log = Log(spark, sf)
     data, _, predictions = log.predictions()
@@ -125,6 +143,8 @@ QUERIES = {
         log.windows.withColumn("q", F.when(F.col("excursion") == 2, 0.002).otherwise(F.col("q"))), log.nominal, log.tables.operating_runs))),
     "score_prediction_coverage": _coverage,
     "score_evaluate": _scores,
+    "score_refused_models": _refused_models,
+    "score_evaluate_complete": _scores_complete,
     "score_normalised_rms": lambda spark, sf: rounded(scoring.normalised_rms(Log(spark, sf).errors(), ["model", "run_id"])),
     "score_pooling_problems": _with_log(lambda log: scoring.pooling_problems(
         log.errors().withColumn("sigma_T", F.when(F.col("excursion") == 3, 0.0).otherwise(F.col("sigma_T"))), log.windows)),
@@ -261,12 +281,13 @@ SQL = {
         f"CASE model WHEN 'hold' THEN 'held out' WHEN 'lag1' THEN 'selection' ELSE 'fitting' END AS role FROM errs GROUP BY {k}"
         for g, r, x, p, k in (("pooled", "NULL", "NULL", "NULL", "model"), ("phase", "NULL", "NULL", "phase", "model, phase"),
                               ("window", "run_id", "excursion", "NULL", "model, run_id, excursion")))),
+    "score_refused_models": on(CLEAN + _PREDICTED, "SELECT 'fail' AS model, 'readings without a prediction' AS problem, count(*) AS n FROM scored WHERE excursion % 3 = 2 HAVING n > 0"),
     "score_normalised_rms": on(CLEAN + _PREDICTED, "SELECT model, run_id, round(sqrt(avg((ec * ec / 25 + et * et * 4) / 2)), 6) AS j FROM errs GROUP BY ALL"),
     "score_pooling_problems": on(CLEAN + _PREDICTED, """SELECT model, problem FROM (SELECT DISTINCT model FROM errs WHERE excursion = 3),
         (VALUES ('noise level not positive and finite'), ('unequal noise levels')) v(problem)"""),
     "score_leave_one_run_out": on(CLEAN, """SELECT r.run_id, count(w.run_id) AS n_windows, count(DISTINCT w.run_id) AS n_runs FROM operating_runs r
         LEFT JOIN (SELECT w.run_id, o.plant_id FROM windows w JOIN operating_runs o USING (run_id)) w ON w.plant_id = r.plant_id AND w.run_id <> r.run_id GROUP BY r.run_id"""),
-    "score_largest_disagreement": on(CLEAN + _PREDICTED, """SELECT 'hold' AS model, count(*) AS n, round(max(abs(a.c_hat - b.c_hat)) / 5, 6) AS largest_C_A, round(max(abs(a.t_hat - b.t_hat)) * 2, 6) AS largest_T
+    "score_largest_disagreement": on(CLEAN + _PREDICTED, """SELECT 'hold' AS model, count(*) AS n, 0::BIGINT AS only_first, 0::BIGINT AS only_second, round(max(abs(a.c_hat - b.c_hat)) / 5, 6) AS largest_C_A, round(max(abs(a.t_hat - b.t_hat)) * 2, 6) AS largest_T
         FROM predictions a JOIN predictions b USING (run_id, excursion, sample_index) WHERE a.model = 'hold' AND b.model = 'lag1' HAVING count(*) > 0"""),
     "physics_bound_violations": on(CLEAN + _PREDICTED + """
         , so_far AS (SELECT run_id, excursion, sample_index + 1 AS sample_index, max(C_Af) OVER w AS rich, min(least(T_f, T_c)) OVER w AS cold
@@ -284,3 +305,4 @@ SQL = {
         count(*) FILTER (abs(heat) <= heat_bound) AS heat_flow_within_bound FROM implied GROUP BY run_id"""),
     "physics_unrepresentable_terms": on(EVENT_LOG, "SELECT run_id, sample_index, 'rate' AS term FROM wide WHERE sample_index > 0 AND sample_index % 50 = 0"),
 }
+SQL["score_evaluate_complete"] = f"SELECT * FROM ({SQL['score_evaluate']}) WHERE model <> 'fail'"
