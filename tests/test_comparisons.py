@@ -85,7 +85,7 @@ def test_levels_and_margins_outside_their_domain(spark):
             outcomes.ordered_decisions(summary, [2], alpha, 0.0, 1)
     for delta in (-1.0, math.inf, math.nan):
         with pytest.raises(ValueError):
-            outcomes.unordered_decisions(summary, 1, 0.05, delta, 1)
+            outcomes.unordered_decisions(summary, [2], 0.05, delta, 1)
     with pytest.raises(ValueError):
         outcomes.ordered_decisions(summary, [2, 2], 0.05, 0.0, 1)
 
@@ -131,3 +131,14 @@ def test_selection_takes_the_first_declared_on_a_tie(spark):
     records = spark.createDataFrame(rows, "family_key string, kind string, index int, key string, criterion double, failure string, seconds double")
     got = {r["family_key"]: (r["selected"], r["n_failed"], r["seconds"], r["failure"]) for r in campaign.selections(records).collect()}
     assert got == {"f": ("f/1", 1, 4.0, None), "g": (None, 1, 2.0, "every configuration failed")}
+
+
+def test_a_family_that_lacks_something_is_refused(spark):
+    given = {"A": {2: [1.0, 2.0], 5: [1.0, 1.0]}, "B": {2: [3.0], 5: [2.0, 2.0]}}
+    paired = outcomes.pairs(scores(spark, given), comparison(spark))
+    assert sorted((r["budget"], r["replicate"], r["kind"]) for r in paired.where("kind = 'a model lacks a replicate'").collect()) == [(2, 1, "a model lacks a replicate")]
+    summary = outcomes.budget_summary(paired)
+    for budgets, why in (([2, 5], "a model lacks a replicate"), ([2, 5, 10], "a declared budget without results"), ([5], "a budget that is not declared")):
+        for decided, verdicts in ((outcomes.ordered_decisions(summary, budgets, 0.1, 0.0, 1), outcomes.ordered_verdicts), (outcomes.unordered_decisions(summary, budgets, 0.1, 0.0, 1), outcomes.unordered_verdicts)):
+            assert {r["label"] for r in decided.collect()} == {f"refused: {why}"}
+            assert [r["verdict"] for r in verdicts(decided).collect()] == ["refused"]

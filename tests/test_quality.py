@@ -1,105 +1,80 @@
-"""Every defect put in on purpose is found by its own check; valid oddities are not."""
-
-import copy
-import math
+"""Each check against a log with one thing wrong, and against logs that only look wrong."""
 
 import pytest
-from plants import TWO_PLANTS, delete, rows_of, tables_of, update
+from plants import NORTH, SOUTH, altered, doubled, log, without
 
 from tickweave.operators import quality
 
-RUN = "target.p3.e0.x1.n0"
-one_t = lambda r: r["sample_index"] == 1 and r["sensor_id"] == "target.T"
-target_run = lambda r: r["run_id"] == RUN
-sensor = lambda name: lambda r: r["sensor_id"] == name
-
-
-def again(table, where):
-    return lambda rows: rows[table].append(dict(next(r for r in rows[table] if where(r))))
-
-
-def put(table, where, **values):
-    return lambda rows: update(rows, table, where, **values)
-
-
-def drop(table, where):
-    return lambda rows: delete(rows, table, where)
-
-
-DEFECTS = [
-    (again("measurements", one_t), "duplicate_measurements"),
-    (again("operating_runs", target_run), "duplicate_runs"),
-    (again("sensors", sensor("target.T")), "duplicate_channels"),
-    (put("sensors", sensor("target.T_f"), variable_name="T_c"), "duplicate_variables"),
-    (put("sensors", sensor("target.T_f"), channel_index=0), "duplicate_positions"),
-    (again("plants", lambda r: r["plant_id"] == "target"), "duplicate_plants"),
-    (again("process_parameters", lambda r: r["parameter"] == "density"), "duplicate_parameters"),
-    (put("measurements", one_t, run_id="target.p3.e9.x1.n0"), "unknown_runs"),
-    (put("measurements", one_t, sensor_id="target.pH"), "unknown_channels"),
-    (put("measurements", one_t, sensor_id="source.T"), "foreign_channel_rows"),
-    (put("measurements", one_t, plant_id="source"), "foreign_run_rows"),
-    (put("operating_runs", target_run, plant_id="nowhere"), "runs_without_plant"),
-    (put("sensors", sensor("target.T"), plant_id="nowhere"), "channels_without_plant"),
-    (put("process_parameters", lambda r: r["parameter"] == "density", plant_id="nowhere"), "parameters_without_plant"),
-    (put("measurements", one_t, value=None), "absent_measurements"),
-    (put("operating_runs", target_run, description="   "), "absent_operating_runs"),
-    (put("sensors", sensor("target.T"), unit=""), "absent_sensors"),
-    (put("plants", lambda r: True, name=None), "absent_plants"),
-    (put("process_parameters", lambda r: r["parameter"] == "density", unit=" "), "absent_process_parameters"),
-    (put("measurements", one_t, value=math.nan), "infinite_values"),
-    (put("measurements", one_t, value=-math.inf), "infinite_values"),
-    (put("measurements", one_t, time_s=math.inf), "infinite_times"),
-    (put("process_parameters", lambda r: r["plant_id"] == "target", value=math.inf), "infinite_parameters"),
-    (put("sensors", sensor("target.T"), sampling_period_s=math.nan), "infinite_periods"),
-    (put("sensors", sensor("target.T"), noise_std=math.inf), "infinite_noise"),
-    (put("operating_runs", target_run, end_time_s=math.inf), "infinite_run_times"),
-    (put("sensors", sensor("target.q"), channel_kind="disturbance"), "channel_kinds"),
-    (put("sensors", sensor("target.T"), noise_std=None), "measured_without_noise"),
-    (put("sensors", sensor("target.T"), noise_std=-0.5), "measured_without_noise"),
-    (put("sensors", sensor("target.T_c"), noise_model="additive_gaussian", noise_std=0.0), "inputs_with_noise"),
-    (put("sensors", sensor("target.T"), sampling_period_s=0.0), "channel_periods"),
-    (put("sensors", sensor("target.C_A"), unit="mol/L"), "mixed_units"),
-    (put("sensors", sensor("target.T"), sampling_period_s=60.0), "run_channel_periods"),
-    (put("operating_runs", target_run, n_samples=0), "run_extents"),
-    (put("operating_runs", target_run, content_sha256="not-a-hash"), "content_hashes"),
-    (put("operating_runs", target_run, content_sha256="0" * 64 + "\n"), "content_hashes"),
-    (put("measurements", one_t, quality_flag=3), "quality_flags"),
-    (put("operating_runs", target_run, n_samples=5), "row_counts"),
-    (drop("measurements", lambda r: target_run(r) and r["sample_index"] == 3), "tick_ranges"),
-    (drop("measurements", lambda r: target_run(r) and r["sample_index"] == 2), "gaps"),
-    (put("measurements", lambda r: target_run(r) and r["sample_index"] == 2, time_s=12.25), "off_clock"),
-    (put("measurements", lambda r: target_run(r) and r["sample_index"] == 2, time_s=3.0), "time_not_increasing"),
-    (put("operating_runs", target_run, end_time_s=24.0), "last_instants"),
-    (drop("measurements", target_run), "empty_runs"),
-    (drop("measurements", lambda r: r["sensor_id"] == "target.T_c" and r["sample_index"] == 1), "missing_channels"),
-]
-
-
-@pytest.mark.parametrize(("defect", "name"), DEFECTS, ids=[f"{i}-{d[1]}" for i, d in enumerate(DEFECTS)])
-def test_every_planted_defect_is_found(spark, defect, name):
-    rows = copy.deepcopy(rows_of(TWO_PLANTS))
-    defect(rows)
-    assert quality.findings(tables_of(spark, rows), name, width=2).count() > 0
-
-
-def test_every_check_has_a_planted_defect():
-    assert {c.name for c in quality.CHECKS} == {name for _, name in DEFECTS}
-
-
-def test_clean_and_odd_but_valid_rows_give_no_finding(spark):
-    rows = rows_of(TWO_PLANTS)
-    update(rows, "measurements", lambda r: r["sensor_id"] == "target.C_A" and r["sample_index"] == 1, value=-12.5)
-    update(rows, "measurements", one_t, value=1.0e6)
-    late = math.nextafter(18.0, math.inf)
-    update(rows, "measurements", lambda r: target_run(r) and r["sample_index"] == 3, time_s=late)
-    update(rows, "operating_runs", target_run, end_time_s=late)
-    assert quality.failed_checks(tables_of(spark, rows), width=3).collect() == []
-
-
-def test_a_gap_says_where(spark):
-    rows = rows_of(TWO_PLANTS)
-    delete(rows, "measurements", lambda r: r["sensor_id"] == "target.T" and r["sample_index"] in (1, 2))
-    found = quality.report(tables_of(spark, rows), [quality.BY_NAME["gaps"]], width=1).collect()
-    assert [(r["problem"], r["item"], r["detail"]) for r in found] == [
-        ("gap: ticks missing between two rows", f"{RUN} / target.T", "2 missing after tick 0")
-    ]
+COLD = "sensor_id = 'south.T_c'"
+FIFTH = f"run_id = '{SOUTH}' AND sample_index = 5"
+#: What is done to the log, by the check that has to notice it.
+WRONG = {
+    "duplicate_measurements": doubled("measurements", f"{FIFTH} AND {COLD}"),
+    "duplicate_runs": doubled("operating_runs", "n_samples > 7"),
+    "duplicate_channels": doubled("sensors", "sensor_id = 'north.C_Af'"),
+    "duplicate_variables": altered("sensors", "sensor_id = 'north.q'", variable_name="'C_Af'"),
+    "duplicate_positions": altered("sensors", "sensor_id = 'north.T'", channel_index="0"),
+    "duplicate_plants": doubled("plants", "plant_id = 'north'"),
+    "duplicate_parameters": doubled("process_parameters", "plant_id = 'south' AND parameter = 'reactor_volume'"),
+    "unknown_runs": altered("measurements", "sample_index = 0 AND plant_id = 'north'", run_id="'north.p3.e77.x2.n0'"),
+    "unknown_channels": altered("measurements", f"{FIFTH} AND {COLD}", sensor_id="'south.level'"),
+    "foreign_channel_rows": altered("measurements", f"{FIFTH} AND {COLD}", sensor_id="'north.T_c'"),
+    "foreign_run_rows": altered("measurements", "sample_index = 4 AND plant_id = 'north'", plant_id="'south'"),
+    "runs_without_plant": altered("operating_runs", "n_samples < 7", plant_id="'attic'"),
+    "channels_without_plant": altered("sensors", "sensor_id = 'south.q'", plant_id="'attic'"),
+    "parameters_without_plant": altered("process_parameters", "plant_id = 'north' AND unit = 'kg/m^3'", plant_id="'attic'"),
+    "absent_measurements": altered("measurements", "sample_index = 1", quality_flag="NULL"),
+    "absent_operating_runs": altered("operating_runs", "true", dataset_id="' '"),
+    "absent_sensors": altered("sensors", COLD, variable_name="NULL"),
+    "absent_plants": altered("plants", "plant_id = 'south'", process_type="''"),
+    "absent_process_parameters": altered("process_parameters", "plant_id = 'north'", value="NULL"),
+    "infinite_values": altered("measurements", FIFTH, value="double('-Infinity')"),
+    "infinite_times": altered("measurements", "sample_index = 2", time_s="double('NaN')"),
+    "infinite_parameters": altered("process_parameters", "parameter = 'reactor_volume'", value="double('NaN')"),
+    "infinite_periods": altered("sensors", "sensor_id = 'north.C_A'", sampling_period_s="double('Infinity')"),
+    "infinite_noise": altered("sensors", "sensor_id = 'north.C_A'", noise_std="double('Infinity')"),
+    "infinite_run_times": altered("operating_runs", "n_samples < 7", start_time_s="double('-Infinity')"),
+    "channel_kinds": altered("sensors", "sensor_id = 'south.C_Af'", channel_kind="'output'"),
+    "measured_without_noise": altered("sensors", "sensor_id = 'south.C_A'", noise_model="NULL"),
+    "inputs_with_noise": altered("sensors", "sensor_id = 'north.q'", noise_std="0.25"),
+    "channel_periods": altered("sensors", "sensor_id = 'north.T_f'", sampling_period_s="-6.0"),
+    "mixed_units": altered("sensors", "sensor_id = 'south.T_f'", unit="'degF'"),
+    "run_channel_periods": altered("sensors", "sensor_id = 'south.T_f'", sampling_period_s="12.0"),
+    "run_extents": altered("operating_runs", "n_samples > 7", end_time_s="start_time_s - 6.0"),
+    "content_hashes": altered("operating_runs", "n_samples > 7", content_sha256="repeat('AB', 32)"),
+    "quality_flags": altered("measurements", "sample_index = 3 AND plant_id = 'south'", quality_flag="1"),
+    "row_counts": altered("operating_runs", "n_samples > 7", n_samples="n_samples + 2"),
+    "tick_ranges": without("measurements", f"run_id = '{SOUTH}' AND sample_index = 8"),
+    "gaps": without("measurements", f"run_id = '{SOUTH}' AND sample_index BETWEEN 3 AND 4"),
+    "off_clock": altered("measurements", "sample_index = 4", time_s="time_s + 0.5"),
+    "time_not_increasing": altered("measurements", "sample_index = 4", time_s="time_s - 6.0"),
+    "last_instants": altered("operating_runs", "n_samples > 7", end_time_s="end_time_s - 6.0"),
+    "empty_runs": without("measurements", f"run_id = '{NORTH}'"),
+    "missing_channels": without("measurements", f"{FIFTH} AND sensor_id IN ('south.q', 'south.T')"),
+}
+
+
+def test_every_check_is_tried():
+    assert {c.name for c in quality.CHECKS} == set(WRONG)
+
+
+@pytest.mark.parametrize("name", list(WRONG))
+def test_a_wrong_log_is_noticed(spark, name):
+    assert quality.findings(WRONG[name](log(spark)), name, width=3).count() > 0
+
+
+@pytest.mark.parametrize("harmless", [
+    altered("measurements", "sensor_id = 'south.T'", value="value - 700.0"),
+    altered("measurements", "sensor_id = 'north.q'", value="9.9e12"),
+    altered("process_parameters", "true", value="-value"),
+    altered("sensors", "noise_std IS NOT NULL", noise_std="0.0"),
+    altered("operating_runs", "true", description="'a, b'"),
+])
+def test_a_log_that_only_looks_wrong_passes(spark, harmless):
+    assert quality.failed_checks(harmless(log(spark)), width=4).collect() == []
+
+
+def test_where_the_ticks_are_missing_is_told(spark):
+    tables = without("measurements", "sensor_id = 'south.C_A' AND sample_index IN (2, 3, 6)")(log(spark))
+    found = quality.report(tables, [quality.BY_NAME["gaps"]], width=2).orderBy("detail").collect()
+    assert [(r["item"], r["detail"]) for r in found] == [(f"{SOUTH} / south.C_A", "1 missing after tick 5"), (f"{SOUTH} / south.C_A", "2 missing after tick 1")]

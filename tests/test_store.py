@@ -1,120 +1,114 @@
-import copy
 import json
 import uuid
 
 import pytest
-from plants import TWO_PLANTS, delete, rows_of, tables_of, update
+from plants import NORTH, SOUTH, altered, doubled, log, without
 
 from tickweave.contract import SCHEMAS, Tables, units_dimension
 from tickweave.operators import digests, ingest, integrity, leakscan, report
 from tickweave.session import shared_folder
 from tickweave.sources import store
 
+HOT = "sensor_id = 'south.T' AND sample_index = 7"
+SHORT = "south.p3.e8.x2.n0"
+
 
 def folder(spark):
     return f"{shared_folder(spark)}/test-{uuid.uuid4().hex}"
 
 
-def offered(spark, runs=TWO_PLANTS, change=None, dataset="small"):
-    rows = copy.deepcopy(rows_of(runs, dataset))
-    if change:
-        change(rows)
-    return digests.recorded_runs(ingest.staged(tables_of(spark, rows)))
+def offered(spark, change=lambda tables: tables, lengths=None):
+    return digests.recorded_runs(ingest.staged(change(log(spark, lengths))))
 
 
 def status(frame):
     return {r["run_id"]: (r["status"], r["refused_by"]) for r in frame.collect()}
 
 
-def digest(spark, rows):
-    return {r["run_id"]: r["content_sha256"] for r in digests.run_digests(tables_of(spark, rows)).collect()}
-
-
-def test_digest_ignores_order_and_sees_every_bit(spark):
-    rows = rows_of(TWO_PLANTS)
-    first = digest(spark, rows)
-    shuffled = copy.deepcopy(rows)
-    shuffled["measurements"].reverse()
-    assert digest(spark, shuffled) == first
-    for change in (
-        lambda r: update(r, "measurements", lambda m: m["sensor_id"] == "target.T" and m["sample_index"] == 0, value=-0.0),
-        lambda r: update(r, "measurements", lambda m: m["sensor_id"] == "target.T" and m["sample_index"] == 0, value=0.0),
-        lambda r: update(r, "sensors", lambda s: s["sensor_id"] == "target.T", noise_std=0.6),
-        lambda r: r["measurements"].append(dict(r["measurements"][-1])),
-    ):
-        changed = copy.deepcopy(rows)
-        change(changed)
-        found = digest(spark, changed)
-        assert found["source.p3.e0.x1.n0"] == first["source.p3.e0.x1.n0"] and found["target.p3.e0.x1.n0"] != first["target.p3.e0.x1.n0"]
-    zero, minus = copy.deepcopy(rows), copy.deepcopy(rows)
-    at = lambda m: m["sensor_id"] == "target.T" and m["sample_index"] == 0
-    update(zero, "measurements", at, value=0.0)
-    update(minus, "measurements", at, value=-0.0)
-    assert digest(spark, zero) != digest(spark, minus)
-
-
-def test_gate_accepts_then_is_idempotent_then_conflicts(spark):
+def digest(tables):
+    return {r["run_id"]: r["content_sha256"] for r in digests.run_digests(tables).collect()}
+
+
+@pytest.mark.parametrize("change", [
+    altered("measurements", HOT, value="value + 1e-12"), altered("measurements", HOT, time_s="time_s + 1e-9"), altered("sensors", "sensor_id = 'south.C_A'", noise_std="noise_std * 2"),
+    doubled("measurements", HOT), without("measurements", HOT),
+])
+def test_a_digest_sees_what_changed_and_in_which_run(spark, change):
+    tables = log(spark)
+    before, after = digest(tables), digest(change(tables))
+    assert after[NORTH] == before[NORTH] and after[SOUTH] != before[SOUTH]
+
+
+def test_a_digest_is_blind_to_order_but_not_to_the_sign_of_zero(spark):
+    tables = log(spark)
+    turned = tables.with_(measurements=tables.measurements.orderBy("value", "sensor_id").repartition(3))
+    assert digest(turned) == digest(tables)
+    zeros = [digest(altered("measurements", HOT, value=text)(tables))[SOUTH] for text in ("0.0D", "-0.0D * 1")]
+    assert zeros[0] != digest(tables)[SOUTH]
+
+
+def test_a_store_takes_runs_once_and_keeps_what_it_has(spark):
     root = folder(spark)
     first, rows = ingest.ingest(offered(spark), store.read_store(spark, root))
-    assert set(status(first).values()) == {("ingested", None)}
-    store.append(rows, root, "one")
+    assert status(first) == {NORTH: ("ingested", None), SOUTH: ("ingested", None)}
+    store.append(rows, root, "first")
     held = store.read_store(spark, root)
-    assert {n: df.count() for n, df in held.items()} == {"plants": 2, "process_parameters": 16, "sensors": 12, "operating_runs": 2, "measurements": 48}
+    assert {n: df.count() for n, df in held.items()} == {"plants": 2, "process_parameters": 16, "sensors": 12, "operating_runs": 2, "measurements": 6 * (6 + 9)}
     again, nothing = ingest.ingest(offered(spark), held)
-    assert set(status(again).values()) == {("already_present", None)} and nothing.measurements.isEmpty()
-    other = lambda r: update(r, "measurements", lambda m: m["sensor_id"] == "target.T" and m["sample_index"] == 1, value=1.0)
-    assert status(ingest.gate(offered(spark, change=other), held)) == {"source.p3.e0.x1.n0": ("already_present", None), "target.p3.e0.x1.n0": ("refused", "run_conflict")}
-    assert set(status(ingest.gate(offered(spark, dataset="other"), held)).values()) == {("refused", "dataset_conflict")}
-    noisy = lambda r: update(r, "sensors", lambda s: s["sensor_id"] == "target.T", noise_std=0.7)
-    assert status(ingest.gate(offered(spark, change=noisy), held))["target.p3.e0.x1.n0"] == ("refused", "plant_conflict")
+    assert set(status(again).values()) == {("already_present", None)} and nothing.operating_runs.isEmpty()
+    refusals = {
+        "run_conflict": altered("measurements", HOT, value="value + 0.5"), "plant_conflict": altered("sensors", "sensor_id = 'south.T'", noise_std="noise_std + 1"),
+        "dataset_conflict": altered("operating_runs", "plant_id = 'south'", dataset_id="'revised'"),
+    }
+    for word, change in refusals.items():
+        assert status(ingest.gate(offered(spark, change), held)) == {NORTH: ("already_present", None), SOUTH: ("refused", word)}
 
 
-def test_gate_refuses_only_the_runs_that_fail(spark):
-    runs = {**TWO_PLANTS, "target.p3.e1.x1.n0": {"T": [350.0] * 3}}
-    gap = lambda r: delete(r, "measurements", lambda m: m["run_id"] == "target.p3.e1.x1.n0" and m["sample_index"] == 1)
+def test_what_the_offer_itself_gets_wrong(spark):
     empty = Tables(**{n: spark.createDataFrame([], s) for n, s in SCHEMAS.items()})
-    found = ingest.gate(offered(spark, runs, gap), empty)
-    assert status(found) == {"source.p3.e0.x1.n0": ("ingested", None), "target.p3.e0.x1.n0": ("ingested", None), "target.p3.e1.x1.n0": ("refused", "quality")}
-    stopped = ingest.stop_at_first_refusal(found.replace("source.p3.e0.x1.n0", "z.p3.e0.x1.n0"))
-    assert {r["run_id"]: r["status"] for r in stopped.collect()}["z.p3.e0.x1.n0"] == "not_reached"
-    units = lambda r: update(r, "sensors", lambda s: s["sensor_id"] == "target.C_A", unit="mol/L")
-    assert status(ingest.gate(offered(spark, change=units), empty)) == {"source.p3.e0.x1.n0": ("ingested", None), "target.p3.e0.x1.n0": ("refused", "unit_conflict")}
-    late = offered(spark)
-    changed = late.with_(operating_runs=late.operating_runs.replace("small", "small"), measurements=late.measurements.replace(22.0, 23.0, subset=["value"]))
-    assert status(ingest.gate(changed, empty))["target.p3.e0.x1.n0"] == ("refused", "content_changed")
-
-
-def test_publish_is_immutable_and_verified(spark):
-    root = folder(spark)
-    tables = ingest.staged(tables_of(spark, rows_of(TWO_PLANTS)))
-    assert store.publish(tables, root, "small")[0] == "created"
-    assert store.publish(tables, root, "small")[0] == "already_present"
-    rows = rows_of(TWO_PLANTS)
-    update(rows, "measurements", lambda m: m["sensor_id"] == "target.T" and m["sample_index"] == 1, value=0.5)
-    state, differences = store.publish(ingest.staged(tables_of(spark, rows)), root, "small")
-    assert state == "conflict" and ("target.p3.e0.x1.n0", "hash differs") in {tuple(r) for r in differences.collect()}
-    back = store.read_published(spark, root, "small")
+    holed = offered(spark, without("measurements", f"run_id = '{SHORT}' AND sample_index = 2"), {NORTH: 6, SOUTH: 9, SHORT: 4})
+    found = ingest.gate(holed, empty)
+    assert status(found) == {NORTH: ("ingested", None), SOUTH: ("ingested", None), SHORT: ("refused", "quality")}
+    ahead = ingest.stop_at_first_refusal(found.replace(NORTH, "west.p3.e4.x2.n0"))
+    assert {r["run_id"]: r["status"] for r in ahead.collect()} == {SOUTH: "ingested", SHORT: "refused", "west.p3.e4.x2.n0": "not_reached"}
+    assert status(ingest.gate(offered(spark, altered("sensors", "sensor_id = 'south.C_A'", unit="'g/L'")), empty))[SOUTH] == ("refused", "unit_conflict")
+    recorded = offered(spark)
+    assert status(ingest.gate(altered("measurements", HOT, value="value - 1")(recorded), empty)) == {NORTH: ("ingested", None), SOUTH: ("refused", "content_changed")}
+
+
+def test_a_claimed_channel_and_an_unlisted_run_are_refused(spark):
+    stored = Tables(**{n: df.where("plant_id = 'north'") for n, df in log(spark).items()})
+    claim = lambda t: Tables(**{n: df.where("plant_id = 'south'") for n, df in altered("measurements", "sensor_id = 'south.q'", sensor_id="'north.q'")(altered("sensors", "sensor_id = 'south.q'", sensor_id="'north.q'")(t)).items()})
+    offer = without("operating_runs", f"run_id = '{SHORT}'")(offered(spark, claim, {NORTH: 6, SOUTH: 9, SHORT: 4}))
+    assert status(ingest.gate(offer, stored)) == {SOUTH: ("refused", "plant_conflict"), SHORT: ("refused", "run_not_listed")}
+    assert [tuple(r) for r in ingest.unlisted_runs(offer).collect()] == [(SHORT, 24)]
+
+
+def test_a_published_set_stays_as_it_was(spark):
+    root, tables = folder(spark), ingest.staged(log(spark))
+    assert [store.publish(tables, root, "formulas")[0] for _ in range(2)] == ["created", "already_present"]
+    state, differences = store.publish(ingest.staged(altered("measurements", HOT, value="0.5")(log(spark))), root, "formulas")
+    assert state == "conflict" and (SOUTH, "hash differs") in {tuple(r) for r in differences.collect()}
+    back = store.read_published(spark, root, "formulas")
     assert ingest.symmetric_difference(back.measurements, tables.measurements).isEmpty()
-    listed = store.manifest_files(spark, root, "small")
-    found = store.list_files(spark, f"{root}/small").where("path NOT LIKE '%/manifest/%'")
-    assert store.file_agreement(listed, found).isEmpty()
-    assert {r["problem"] for r in store.file_agreement(listed.limit(2), found).collect()} == {"unexpected"}
-    runs, _ = store.read_manifest(spark, root, "small")
+    listed = store.manifest_files(spark, root, "formulas")
+    there = store.list_files(spark, f"{root}/formulas").where("path NOT LIKE '%/manifest/%'")
+    assert store.file_agreement(listed, there).isEmpty()
+    assert [r["problem"] for r in store.file_agreement(listed.limit(3), there).select("problem").distinct().collect()] == ["unexpected"]
+    runs, _ = store.read_manifest(spark, root, "formulas")
     assert digests.changed_runs(runs, digests.run_digests(back)).isEmpty()
     with pytest.raises(ValueError, match="schema"):
-        store.read_contract_table(spark, "plants", [r["path"] for r in listed.where("table_name = 'sensors'").collect()])
+        store.read_contract_table(spark, "operating_runs", [r["path"] for r in listed.where("table_name = 'plants'").collect()])
 
 
-def test_export_holds_complete_runs_in_order(spark):
-    rows = rows_of({**TWO_PLANTS, "target.p3.e1.x1.n0": {"T": [350.0] * 3}})
-    delete(rows, "measurements", lambda m: m["run_id"] == "target.p3.e1.x1.n0" and m["sample_index"] == 1 and m["sensor_id"] == "target.q")
-    tables, path = tables_of(spark, rows), folder(spark)
+def test_an_export_leaves_incomplete_runs_out(spark):
+    tables, path = without("measurements", f"run_id = '{SHORT}' AND sensor_id = 'south.T_f' AND sample_index = 2")(log(spark, {NORTH: 6, SOUTH: 9, SHORT: 4})), folder(spark)
     store.write_export(tables, path)
     exported = spark.read.parquet(path)
-    assert exported.columns == list(store.EXPORT_COLUMNS) and {r["run_id"] for r in exported.select("run_id").distinct().collect()} == set(TWO_PLANTS)
-    listed = tables.operating_runs.where("run_id NOT LIKE '%e1%'").selectExpr("run_id", "n_samples as rows", "start_time_s", "end_time_s")
+    assert exported.columns == list(store.EXPORT_COLUMNS) and {r["run_id"] for r in exported.select("run_id").distinct().collect()} == {NORTH, SOUTH}
+    listed = tables.operating_runs.where(f"run_id <> '{SHORT}'").selectExpr("run_id", "n_samples as rows", "start_time_s", "end_time_s")
     assert integrity.exported_runs(exported, listed).isEmpty()
-    assert {tuple(r) for r in integrity.exported_runs(exported.where("sample_index <> 3"), listed).select("problem").distinct().collect()} == {("number of rows",), ("ticks do not run from 0",), ("end points",)}
+    assert {r["problem"] for r in integrity.exported_runs(exported.where("sample_index > 0"), listed).collect()} == {"number of rows", "ticks do not run from 0", "end points"}
 
 
 def test_units(spark):
@@ -125,34 +119,27 @@ def test_units(spark):
     assert [r["unit"] for r in integrity.unknown_units(df, units).collect()] == ["furlong"]
 
 
-def test_known_parameters(spark):
-    rows = rows_of(TWO_PLANTS)
-    update(rows, "process_parameters", lambda p: p["plant_id"] == "target" and p["parameter"] == "density", unit="g/L")
-    update(rows, "process_parameters", lambda p: p["plant_id"] == "target" and p["parameter"] == "heat_capacity", parameter="extra")
-    tables = tables_of(spark, rows)
+def test_parameters_that_are_not_as_known(spark):
+    tables = altered("process_parameters", "plant_id = 'north' AND parameter = 'density'", parameter="'viscosity'")(log(spark))
+    tables = altered("process_parameters", "plant_id = 'south' AND parameter = 'reactor_volume'", unit="'L'")(tables)
     assert {tuple(r) for r in integrity.known_parameters(tables.process_parameters, tables.plants).collect()} == {
-        ("target", "density", "not in its SI unit"), ("target", "heat_capacity", "missing"), ("target", "extra", "unknown")}
-
-
-def test_leaks_of_each_kind_are_found(spark):
-    secrets, integers = {"alpha of target": 0.002}, {"the master seed": 7}
-    states = spark.createDataFrame([(355.1686663655008,)], "value double")
-    tables = tables_of(spark, rows_of(TWO_PLANTS))
-    clean = tables.measurements.where("value <> 0.002")
-    assert leakscan.table_findings(clean, secrets, integers, states).isEmpty()
-    leaked = clean.replace(44.0, 355.1686663655008, subset=["value"])
-    assert {r["finding"] for r in leakscan.table_findings(leaked, secrets, integers, states).collect()} == {"equals a hidden state"}
-    assert {r["finding"] for r in leakscan.table_findings(tables.measurements, secrets, integers, states).collect()} == {"holds alpha of target"}
-    names = leakscan.column_names(spark, {"m": clean.withColumnRenamed("value", "true_value")})
-    assert [(r["name"], r["word"]) for r in leakscan.forbidden_names(names).collect()] == [("true_value", "true")]
-    documents = spark.createDataFrame(
-        [("a", json.dumps({"runs": [{"rows": 7, "value": 0.002}], "n": 7, "note": "see TRUE_physics", "Peak": None})), ("b", "{broken")], "document string, json string")
-    leaves = leakscan.walk_documents(documents)
-    found = {(r["trail"], r["finding"]) for r in leakscan.document_findings(leaves, secrets, integers, states).collect()}
-    assert found == {("/runs[0]/value", "holds alpha of target"), ("/n", "holds the master seed"), ("/note", "text mentions true_physics"), ("", "name Peak contains peak")}
-    assert [r["document"] for r in leaves.where("kind = 'invalid'").collect()] == ["b"]
-    with pytest.raises(ValueError):
-        leakscan.hidden_parameters(clean, {"zero": 0.0})
+        ("south", "reactor_volume", "not in its SI unit"), ("north", "density", "missing"), ("north", "viscosity", "unknown")}
+
+
+def test_secrets_are_found_in_tables_and_documents(spark):
+    secrets, integers, states = {"the slope": 0.0037}, {"the draw": 8191}, spark.createDataFrame([(123.456789012345,)], "value double")
+    rows = log(spark).measurements
+    assert leakscan.table_findings(rows, secrets, integers, states).isEmpty()
+    for text, finding in (("123.456789012345D", "equals a hidden state"), ("0.0037D", "holds the slope")):
+        hidden = rows.selectExpr("plant_id", "run_id", "sensor_id", "sample_index", "time_s", f"IF({HOT}, {text}, value) AS value", "quality_flag")
+        assert {r["finding"] for r in leakscan.table_findings(hidden, secrets, integers, states).collect()} == {finding}
+    made = {"log": [{"draws": 8191, "gain": 0.0037}, {"Seed": 1}], "remark": "from ua_REF", "deep": None}
+    documents = [("sound", json.dumps(made)), ("cut", '{"remark": "UA_ref'), ("huge", "9" * 5000), ("deep", "[" * 200_000)]
+    leaves = leakscan.walk_documents(spark.createDataFrame(documents, "document string, json string"))
+    found = {(r["document"], r["trail"], r["finding"]) for r in leakscan.document_findings(leaves, secrets, integers, states).collect()}
+    assert found == {("sound", "/log[0]/draws", "holds the draw"), ("sound", "/log[0]/gain", "holds the slope"), ("sound", "/log[1]", "name Seed contains seed"),
+                     ("sound", "/remark", "text mentions UA_ref"), ("cut", "", "text mentions UA_ref")}
+    assert {"cut", "deep"} <= {r["document"] for r in leaves.where("kind = 'invalid'").collect()}
 
 
 def test_parquet_metadata_and_fingerprints(spark):

@@ -1,5 +1,5 @@
 import pytest
-from plants import rows_of, tables_of
+from plants import log
 from pyspark.sql import functions as F
 
 from tickweave.contract import INPUTS, constant
@@ -58,7 +58,7 @@ def test_a_step_run_has_one_window_of_four_phases(spark):
         "hold transient": (1, 50), "hold settled": (51, 100), "recovery transient": (101, 150), "recovery settled": (151, 200)}
 
 
-def test_tick_coded_readings_show_the_rows_of_a_window(spark):
+def test_which_rows_a_window_takes(spark):
     df, _, ex = found(spark, {"target.p3.a": p3(2)})
     data = windows.window_data(windows.window_ticks(windows.find_windows(ex)), df).where("excursion = 1")
     spans = {r["role"]: (r["a"], r["b"], r["n"]) for r in data.groupBy("role").agg(F.min("C_A").alias("a"), F.max("C_A").alias("b"), F.count("*").alias("n")).collect()}
@@ -125,7 +125,6 @@ def test_bounds_use_the_inputs_before_the_instant(spark):
 
 
 def test_run_preconditions(spark):
-    rows = rows_of({"target.p3.a": {"T": [350.0] * 5}, "source.steady.b": {"T": [350.0] * 5}})
-    df = wide(spark, {"target.p3.a": [NOMINAL] * 5, "source.steady.b": [NOMINAL] * 5}).where("NOT (run_id = 'target.p3.a' AND sample_index = 2)")
-    got = {tuple(r) for r in windows.run_preconditions(tables_of(spark, rows), df).collect()}
-    assert got == {("target.p3.a", "not consecutive ticks"), ("source.steady.b", "no layout")}
+    tables = log(spark, {"south.p3.e1": 7, "north.steady.e1": 7}, start=0.0)
+    df = wide(spark, {"south.p3.e1": [NOMINAL] * 7, "north.steady.e1": [NOMINAL] * 7}).where("NOT (run_id = 'south.p3.e1' AND sample_index = 4)")
+    assert {tuple(r) for r in windows.run_preconditions(tables, df).collect()} == {("south.p3.e1", "not consecutive ticks"), ("north.steady.e1", "no layout")}
