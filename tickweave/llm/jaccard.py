@@ -10,6 +10,9 @@ Answer-level skipping: the members of a list are first held against one hub. A s
 hub's answers: it shares its group, and no pair within a group is looked at again. A second round takes only pairs of
 sets in different groups, so large groups of near copies cost one comparison a member and list, not all pairs.
 
+Before the sets of a pair are fetched, the parities of their elements in a few hundred cells bound from below in how
+many elements they differ; only pairs within the bound travel.
+
 Equal sets are one node (known by a 64-bit digest and the size), so exact copies are not compared at all.
 
 Nulls: a null or empty text has no set and is linked with nothing, it is its own group. A row with a null doc_id takes
@@ -33,6 +36,8 @@ SHINGLE, PERCENT = 5, 80
 #: Cells of the count of elements, and how many times the mean (and how many at least) make one overfull.
 _CELL_BITS, _OVERFULL, _LEAST = 20, 4, 64
 _PARTS, _SEEN_BITS = 16, 25
+#: Hubs, the nearest by parities, that a set is held against in the first round.
+_HUBS, _DRAWS = 8, 16
 GROUP_ENTRIES = 1 << 20
 
 
@@ -60,16 +65,37 @@ def _survey(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatc
             if sizes.sum():
                 np.add.at(cells, (np.concatenate(sets) >> U(64 - _CELL_BITS)).astype(np.int64), 1)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(digests, pa.int64(), mask=sizes == 0), pa.nulls(b - a, pa.int32()), pa.nulls(b - a, pa.binary())],
-                names=["doc_id", "n_shingles", "set", "part", "cells"],
+                [batch.column(0).slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(digests, pa.int64(), mask=sizes == 0), pa.array([_parity(x) for x in sets], pa.binary()), pa.nulls(b - a, pa.int32()), pa.nulls(b - a, pa.binary())],
+                names=["doc_id", "n_shingles", "set", "parity", "part", "cells"],
             )
     parts = [(i, np.minimum(c, 65535).astype(np.uint16).tobytes()) for i, c in enumerate(np.split(cells, _PARTS)) if c.any()]
     yield pa.RecordBatch.from_arrays(
-        [pa.nulls(len(parts), pa.int64()), pa.nulls(len(parts), pa.int64()), pa.nulls(len(parts), pa.int64()), pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.binary())],
-        names=["doc_id", "n_shingles", "set", "part", "cells"],
+        [*(pa.nulls(len(parts), pa.int64()) for _ in range(3)), pa.nulls(len(parts), pa.binary()), pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.binary())],
+        names=["doc_id", "n_shingles", "set", "parity", "part", "cells"],
     )
 
 
+def _parity(elements: np.ndarray) -> bytes:
+    """For each of about two cells an element, whether it holds an odd number of elements."""
+    cells = 1 << min(15, max(6, int(2 * len(elements)).bit_length()))
+    return np.packbits(np.bincount((elements & U(cells - 1)).astype(np.int64), minlength=cells) & 1, bitorder="little").tobytes()
+
+
+def _possible(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs whose parities differ in no more cells than the sets may differ in elements, with the share of these."""
+    for batch in batches:
+        stay = []
+        for x, y, n in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            while len(x) > len(y):
+                x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+            while len(y) > len(x):
+                y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+            stay.append(1000 * int(np.bitwise_count(x ^ y).sum()) * (100 + percent) // (n * (100 - percent)))
+        far = pa.array(stay, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), far], names=["a", "b", "far"]).filter(pa.array(np.array(stay) <= 1000))
+
+
 def _merged_cells(table: pa.Table, size, joined) -> pa.Table:
     total = None
     for blob in table["cells"]:
@@ -134,8 +160,12 @@ def _stretch(hubs: list[np.ndarray], blobs: list[bytes]) -> tuple[list[np.ndarra
     counts = np.diff(np.append(heads, len(element)))
     hub = np.repeat(heads, counts)
     tell = (np.repeat(counts, counts) > 1) & ~said
-    out = [pa.array(x[tell].view(np.int64)) for x in (element, own, size, at, own[hub], size[hub])]
-    return [element[heads], own[heads], size[heads], at[heads], said[heads] | (counts > 1)], pa.RecordBatch.from_arrays(out, names=["element", "set", "size", "at", "hub", "hub_size"])
+    # in about _DRAWS of a set's lists a second hub, drawn by a hash, so that it meets several of those that are near it
+    lot = mixed(own.view(U) ^ element)
+    drawn = np.lexsort((lot, element))[hub]
+    drawn = np.where(lot % (size // 5 + 1).astype(U) < U(_DRAWS), drawn, hub)
+    out = [pa.array(x[tell].view(np.int64)) for x in (element, own, size, at, own[hub], size[hub], own[drawn], size[drawn])]
+    return [element[heads], own[heads], size[heads], at[heads], said[heads] | (counts > 1)], pa.RecordBatch.from_arrays(out, names=["element", "set", "size", "at", "hub", "hub_size", "drawn", "drawn_size"])
 
 
 def _across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -157,23 +187,36 @@ def _pairs_of(table: pa.Table, percent: int, most: int = 1 << 20) -> Iterator[pa
     if not table.num_rows:
         return
     element, own, size, at, group = (table[c].to_numpy() for c in ("element", "set", "size", "at", "grp"))
+    # an overlap needs at least percent / (100 + percent) of both sizes: the longest partner that what is left allows
+    longest = np.minimum(100 * size // percent, (100 + percent) * (size - at) // percent - size)
     heads = np.flatnonzero(np.append(True, element[1:] != element[:-1]))
     counts = np.diff(np.append(heads, len(element)))
-    mixed_lists = np.minimum.reduceat(group, heads) != np.maximum.reduceat(group, heads)
-    for head, n in zip(heads[mixed_lists].tolist(), counts[mixed_lists].tolist(), strict=True):
-        s, o, g, left = size[head : head + n], own[head : head + n], group[head : head + n], (size - at)[head : head + n]
-        # an overlap needs at least percent / (100 + percent) of both sizes: the longest partner that what is left allows
-        longest = np.minimum(100 * s // percent, (100 + percent) * left // percent - s)
-        names, which, sizes = np.unique(g, return_inverse=True, return_counts=True)
+    several = np.minimum.reduceat(group, heads) != np.maximum.reduceat(group, heads)
+    short = np.flatnonzero(np.repeat(several & (counts <= 64), counts))
+    tall = int(size.max()) + 1
+    key = np.repeat(np.arange(len(heads)), counts) * tall + size
+    reach = np.searchsorted(key, key[short] - size[short] + np.minimum(longest[short], tall - 1), "right") - short - 1
+    reach = np.maximum(reach, 0)
+    for cut in np.split(np.arange(len(short)), np.searchsorted(np.cumsum(reach), np.arange(most, int(reach.sum()) + 1, most))):
+        n = reach[cut]
+        i = np.repeat(short[cut], n)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        yield _told(own, i, j, (group[i] != group[j]) & (longest[j] >= size[i]))
+    for head, n in zip(heads[several & (counts > 64)].tolist(), counts[several & (counts > 64)].tolist(), strict=True):
+        span = slice(head, head + n)
+        _, which, sizes = np.unique(group[span], return_inverse=True, return_counts=True)
         small = which != sizes.argmax()
-        for i in np.flatnonzero(small).tolist():  # members of the largest group meet only those outside it
-            to = int(np.searchsorted(s, longest[i], "right"))
-            low = int(np.searchsorted(s, -(-percent * s[i] // 100)))
+        for i in (np.flatnonzero(small) + head).tolist():  # members of the largest group meet only those outside it
+            to = head + int(np.searchsorted(size[span], longest[i], "right"))
+            low = head + int(np.searchsorted(size[span], -(-percent * size[i] // 100)))
             j = np.arange(low, to)
-            j = j[(g[j] != g[i]) & (longest[j] >= s[i]) & ((j > i) | ~small[j])]
-            if len(j):
-                a, b = np.minimum(o[i], o[j]), np.maximum(o[i], o[j])
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            yield _told(own, np.full(len(j), i), j, (group[j] != group[i]) & (longest[j] >= size[i]) & ((j > i) | ~small[j - head]))
+
+
+def _told(own: np.ndarray, i: np.ndarray, j: np.ndarray, stay: np.ndarray) -> pa.RecordBatch:
+    x, y = own[i[stay]], own[j[stay]]
+    pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0) if len(x) else np.zeros((0, 2), np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
 def _chosen(batches: Iterator[pa.RecordBatch], n: int, seen: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -213,6 +256,12 @@ def _verified(texts: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataF
     return met.where(100 * both >= percent * (F.size("left") + F.size("right") - both)).select("a", "b")
 
 
+def _close(pairs: DataFrame, parities: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that the parities of their sets leave possible, and how ``far`` these are apart."""
+    met = pairs.join(parities.toDF("a", "x", "n"), "a").join(parities.toDF("b", "y", "m"), "b")
+    return met.select("a", "b", "x", "y", (F.col("n") + F.col("m")).alias("n")).mapInArrow(lambda b: _possible(b, percent), "a long, b long, far long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """The smallest node of each linked node's component, by passing smaller labels on and jumping along them."""
     edges = written(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), "edges")
@@ -230,8 +279,9 @@ def components(links: DataFrame) -> DataFrame:
 def groups(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, group_entries: int = GROUP_ENTRIES) -> DataFrame:
     """For each row of ``docs`` (doc_id, text): doc_id, n_shingles and component_id, the smallest doc_id it is linked with directly or on a way."""
     texts = docs.select("text").where("text is not null")
-    survey = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda b: _survey(b, n), "doc_id long, n_shingles long, set long, part int, cells binary"), "survey")
-    rows = survey.where("part is null").drop("part", "cells")
+    survey = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda b: _survey(b, n), "doc_id long, n_shingles long, set long, parity binary, part int, cells binary"), "survey")
+    rows = survey.where("part is null").drop("part", "cells", "parity")
+    parities = survey.where("set is not null").groupBy("set").agg(F.first("parity").alias("parity"), F.first("n_shingles").alias("n"))
     counted = survey.where("part is not null").select("part", "cells").groupBy("part").applyInArrow(lambda t: _merged_cells(t, np.uint16, np.add), "part int, cells binary")
     cells = {r.part: np.frombuffer(r.cells, np.int64) for r in counted.collect()}
     cells = np.concatenate([cells.get(i, np.zeros((1 << _CELL_BITS) // _PARTS, np.int64)) for i in range(_PARTS)])
@@ -239,16 +289,24 @@ def groups(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, group_entr
     total = rows.agg(F.sum(F.expr(f"n_shingles - ceil({percent} * n_shingles / 100.0) + 1"))).first()[0] or 0
     parts = -(-int(total) // group_entries) or 1
     entries = texts.mapInArrow(lambda b: _entries(b, n, percent, last, parts), "part int, blob binary")
-    lists = written(entries.repartitionById(parts, "part").select("blob").mapInArrow(_lists, "element long, set long, size long, at long, hub long, hub_size long"), "lists")
-    near = F.expr(f"100 * least(size, hub_size) >= {percent} * greatest(size, hub_size)")
-    pairs = written(lists.where("set <> hub").where(near).select(F.least("set", "hub").alias("a"), F.greatest("set", "hub").alias("b")).distinct(), "pairs")
+    lists = written(entries.repartitionById(parts, "part").select("blob").mapInArrow(_lists, "element long, set long, size long, at long, hub long, hub_size long, drawn long, drawn_size long"), "lists")
+    hubs = lists.select("set", "size", F.explode(F.array_distinct(F.array(F.struct(F.col("hub").alias("id"), F.col("hub_size").alias("n")), F.struct(F.col("drawn").alias("id"), F.col("drawn_size").alias("n"))))).alias("hub"))
+    near = F.expr(f"100 * least(size, hub.n) >= {percent} * greatest(size, hub.n)")
+    met = hubs.where("set <> hub.id").where(near).select(F.col("set").alias("a"), F.col("hub.id").alias("b")).distinct()
+    best = _close(met, parities, percent).groupBy("a").agg(F.slice(F.array_sort(F.collect_list(F.struct("far", "b"))), 1, _HUBS).alias("hubs")).select("a", F.explode("hubs.b").alias("b"))
+    pairs = written(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     links = written(_verified(texts, pairs, n, percent), "links")
     labels = components(links)
     grouped = lists.join(labels.withColumnRenamed("node", "set"), "set", "left").select("element", "set", "size", "at", F.coalesce("label", "set").alias("grp"))
-    more = grouped.repartition("element").sortWithinPartitions("element", "size").mapInArrow(lambda b: _across(b, percent), "a long, b long").distinct()
-    more = written(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
+    across = grouped.repartition("element").sortWithinPartitions("element", "size").mapInArrow(lambda b: _across(b, percent), "a long, b long").distinct()
+    more = written(_close(across.join(pairs, ["a", "b"], "left_anti"), parities, percent).select("a", "b"), "pairs")
     if more.limit(1).count():
-        labels = components(links.union(_verified(texts, more, n, percent)))
+        # links between groups: their groups' labels are joined
+        of_a, of_b = labels.toDF("a", "x"), labels.toDF("b", "y")
+        between = _verified(texts, more, n, percent).join(of_a, "a", "left").join(of_b, "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
+        further = components(between).toDF("label", "further")
+        alone = further.join(labels, "label", "left_anti").select(F.col("label").alias("node"), F.col("further").alias("label"))
+        labels = written(labels.join(further, "label", "left").select("node", F.coalesce("further", "label").alias("label")).union(alone), "labels")
     named = rows.join(labels.withColumnRenamed("node", "set"), "set", "left").withColumn("label", F.coalesce("label", "set"))
     firsts = named.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return named.join(firsts, "label", "left").select("doc_id", "n_shingles", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
