@@ -27,14 +27,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def wide_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per (run, tick) with the six channels side by side."""
+def wide_log(spark: SparkSession, sf_dir: str, minutes: int = 60) -> DataFrame:
+    """One row per (run, tick) with the six channels side by side. Ticks are numbered in bands
+    of so many minutes, so a denser log takes narrower bands, not larger tasks."""
     events = table(spark, sf_dir, "events").select(
         (F.col("user_id") % RUN_GROUPS).alias("r"),
-        F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date")).cast("long").alias("day"),
+        (F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date")).cast("long") * 1440 + F.hour("ts") * 60 + F.minute("ts")).alias("minute"),
         "ts", "event_id", "value",
     )
-    numbered = Bands(("r",), "day", ("ts", "event_id"), width=1).scan(
+    numbered = Bands(("r",), "minute", ("ts", "event_id"), width=minutes).scan(
         events, running={"ordinal": ("sum", F.lit(1).cast("long"))}
     )
     k = F.expr("r div 2")
