@@ -47,7 +47,7 @@ def column_names(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame
 def parquet_metadata(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """(place, name, text): key-value metadata of Parquet footers, file level and column
     level. The footers are read on the executors, one file list split over tasks."""
-    listed = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, min(len(paths), 1024)))
+    listed = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)))
 
     def footers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import pyarrow.fs as pafs
@@ -98,8 +98,8 @@ def hidden_states(df: DataFrame, states: DataFrame) -> DataFrame:
     columns = free_columns(df, (T.DoubleType,))
     entries = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in columns])
     long = df.select(F.inline(entries)).where(F.col("value").isNotNull() & ~F.isnan("value"))
-    counted = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    return counted.join(states.select("value").distinct(), "value", "left_semi").groupBy("column").agg(F.sum("n").alias("n"))
+    # most readings differ, so they meet the secrets before anything is counted
+    return long.join(states.select("value").distinct(), "value", "left_semi").groupBy("column").agg(F.count(F.lit(1)).alias("n"))
 
 
 def hidden_integers(df: DataFrame, secrets: dict[str, int]) -> DataFrame:

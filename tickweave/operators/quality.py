@@ -336,6 +336,7 @@ def _missing_channels(s: Source) -> DataFrame:
 
 _RUN_SENSOR = "concat(run_id, ' / ', sensor_id)"
 
+# The names and problem texts of the checks.
 CHECKS: tuple[Check, ...] = (
     Check("duplicates", "duplicate_measurements", "measurement stored more than once",
           _repeated("measurements", ("run_id", "sensor_id", "sample_index")),
