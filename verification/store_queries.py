@@ -355,6 +355,12 @@ SQL = {
         i AS (SELECT 'l_orderkey' AS "column", l_orderkey AS v FROM lineitem UNION ALL SELECT 'l_suppkey', l_suppkey FROM lineitem)
         SELECT "column", 'holds a discount' AS finding, count(*) AS n FROM f WHERE abs(v - 0.07) < 1e-12 GROUP BY ALL UNION ALL SELECT "column", 'holds a price', count(*) FROM f WHERE v = 44473.56::DOUBLE GROUP BY ALL
         UNION ALL SELECT "column", 'equals a hidden state', count(*) FROM f SEMI JOIN s ON s.value = f.v GROUP BY ALL UNION ALL SELECT "column", 'holds a seed', count(*) FROM i WHERE v = 17 GROUP BY ALL""",
+    "leak_document_walk": """
+        SELECT event_id::VARCHAR AS document, trail, field, kind FROM events, (VALUES (false, '', 'k', 'key'), (false, '/k', 'k', 'integer'),
+            (true, '', 'run', 'key'), (true, '/run', 'Seed', 'key'), (true, '/run/Seed', 'Seed', 'integer'), (true, '/run', 'rows', 'key'), (true, '/run/rows', 'rows', 'integer'),
+            (true, '/run', 'list', 'key'), (true, '/run/list[0]', 'value', 'key'), (true, '/run/list[0]/value', 'value', 'float'), (true, '/run/list[1]', 'list', 'text'),
+            (true, '/run', 'props', 'key'), (true, '/run/props', 'k', 'key'), (true, '/run/props/k', 'k', 'integer')) v(wrapped, trail, field, kind)
+        WHERE (event_id % 50 = 0) = wrapped""",
     "leak_document_findings": """
         SELECT event_id::VARCHAR AS document, trail, finding FROM events, (VALUES ('/run', 'name Seed contains seed'), ('/run/list[0]/value', 'holds alpha'), ('/run/list[1]', 'text mentions UA_ref')) v(trail, finding) WHERE event_id % 50 = 0
         UNION ALL SELECT event_id::VARCHAR, CASE WHEN event_id % 50 = 0 THEN '/run/props/k' ELSE '/k' END, 'holds the answer' FROM events WHERE props = '{"k": 42}'""",
