@@ -36,8 +36,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def bpe_encoding_and_decoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their number of tokens, their ids and what the ids decode to."""
-    own, columns = bpe.load(), docs.columns
-    made = bpe.decoded(bpe.encoded(docs.select(F.struct(*columns).alias("doc"), "text"), own), own)
+    made = bpe.transcoded(docs.select(F.struct(*docs.columns).alias("doc"), "text"))
     return made.select("row.doc.*", F.expr("cast(octet_length(ids) / 4 as long)").alias("n_tokens"), "ids", "decoded")
 
 

@@ -16,6 +16,7 @@ from __future__ import annotations
 import codecs
 import json
 import re
+import struct
 import unicodedata
 from collections.abc import Iterable, Iterator
 
@@ -130,11 +131,16 @@ class _Table(dict):
         self.bpe = bpe
 
     def __missing__(self, word: str) -> bytes:
-        ids = b"".join(np.array(part, "<u4").tobytes() for part in self.bpe.word(word))
-        if len(word) <= _LONG:
-            if len(self) >= _TABLE:
-                self.clear()
-            self[word] = ids
+        if len(word) > _LONG:
+            return b"".join(np.array(part, "<u4").tobytes() for part in self.bpe.word(word))
+        raw = word.encode()
+        symbols = [self.bpe.first[b] for b in raw]
+        symbols[-1] = self.bpe.last[raw[-1]]
+        ids = self.bpe.merged(symbols)
+        ids = struct.pack(f"<{len(ids)}I", *ids)
+        if len(self) >= _TABLE:
+            self.clear()
+        self[word] = ids
         return ids
 
 
@@ -247,6 +253,19 @@ def decoded(ids: DataFrame, bpe: Bpe | None = None, plain: bool = True) -> DataF
     return ids.select("row", "ids").mapInArrow(lambda batches: _decode(batches, own.value, plain), f"row {ids.schema['row'].dataType.simpleString()}, ids binary, decoded string")
 
 
+def _both(batches: Iterator[pa.RecordBatch], bpe: Bpe) -> Iterator[pa.RecordBatch]:
+    # a slice at a time, so that the vocabulary is held once by a task
+    for batch in _encode(batches, bpe):
+        yield from _decode(iter([batch]), bpe, True)
+
+
+def transcoded(docs: DataFrame, bpe: Bpe | None = None) -> DataFrame:
+    """``encoded`` and ``decoded`` in one pass: ``row``, ``ids`` and the text that the ids stand for."""
+    own = docs.sparkSession.sparkContext.broadcast(bpe or load())
+    rows = docs.select(F.struct(*(c for c in docs.columns if c != "text")).alias("row"), "text")
+    return rows.mapInArrow(lambda batches: _both(batches, own.value), f"row {rows.schema['row'].dataType.simpleString()}, ids binary, decoded string")
+
+
 def digest(texts: DataFrame) -> DataFrame:
     return texts.select(
         "row.doc_id", F.expr("cast(octet_length(ids) / 4 as long)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256")

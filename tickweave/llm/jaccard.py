@@ -35,10 +35,10 @@ from .textbytes import SPACED_LOWER, U, Powers, mixed, slices, utf8, words
 SHINGLE, PERCENT = 5, 80
 #: Cells of the count of elements, and how many times the mean (and how many at least) make one overfull.
 _CELL_BITS, _OVERFULL, _LEAST = 20, 4, 64
-_PARTS, _SEEN_BITS = 16, 25
+_PARTS, _SEEN_BITS = 16, 23
 #: Hubs, the nearest by parities, that a set is held against in the first round.
 _HUBS, _DRAWS = 8, 16
-GROUP_ENTRIES = 1 << 20
+GROUP_ENTRIES = 1 << 19
 
 
 def shingle_sets(data, offsets, powers: Powers, n: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -127,7 +127,7 @@ def _entries(batches: Iterator[pa.RecordBatch], n: int, percent: int, last: np.n
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary())], names=["part", "blob"])
 
 
-def _lists(batches, most: int = 1 << 21):
+def _lists(batches, most: int = 1 << 19):
     """Entries of elements that two sets or more have, each with the hub of its list: the first set seen of the element.
 
     The blobs of a group are taken in stretches of bounded size; of what came before only a hub for each element stays.
@@ -245,7 +245,7 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verified(texts: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Pairs whose sets overlap enough. Only sets that are asked for travel: 4 MB of bits tell them from most others."""
+    """Pairs whose sets overlap enough. Only sets that are asked for travel: 1 MB of bits tells them from most others."""
     size = (1 << _SEEN_BITS) // _PARTS
     bits = {r.part: r.cells for r in pairs.mapInArrow(_asked, "part int, cells binary").groupBy("part").applyInArrow(lambda t: _merged_cells(t, np.uint8, np.bitwise_or), "part int, cells binary").collect()}
     seen = np.concatenate([np.unpackbits(np.frombuffer(bits[i], np.uint8)).astype(bool) if i in bits else np.zeros(size, bool) for i in range(_PARTS)])

@@ -28,8 +28,7 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = bpe.load()
-    return bpe.digest(bpe.decoded(bpe.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), own), own))
+    return bpe.digest(bpe.transcoded(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

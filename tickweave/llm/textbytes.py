@@ -15,7 +15,7 @@ import pyarrow as pa
 
 U = np.uint64
 _BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
