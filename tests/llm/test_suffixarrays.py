@@ -1,9 +1,11 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from tickweave.llm import suffixarrays
+from tickweave.llm import places, suffixarrays
+from tickweave.llm.textbytes import Powers
 
 
 def removed_by_hand(rows, n):
@@ -53,6 +55,23 @@ def test_long_texts_are_taken_in_pieces(spark, monkeypatch):
     assert (windows[0] == np.arange(len(text) - 199)).all() and (windows[1] == windows[0]).all()
 
 
+@pytest.mark.parametrize("alone", [0, 60, 300])
+def test_one_phrase_before_many_texts_is_split(spark, monkeypatch, alone):
+    draw = random.Random(5)
+    phrase, tails = "".join(draw.choices("abcdefgh é", k=160)), ["".join(draw.choices("abcdefgh é", k=150)) for _ in range(150)]
+    rows = [(i, "".join([*draw.choices("xyzé", k=20), phrase, tails[i % 150], *draw.choices("abcdefgh é", k=100)])) for i in range(300)]
+    kinds = "doc_id long, text string"
+    docs = spark.createDataFrame(rows[alone:], kinds).coalesce(1).union(spark.createDataFrame(rows[:alone], kinds).repartition(30))
+    held, written = {}, suffixarrays.written
+    monkeypatch.setattr(suffixarrays, "written", lambda df, name: held.setdefault(name, written(df, name)))
+    got = suffixarrays.repeats_removed(docs, 200, 1 << 19, 20_000).selectExpr("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept")
+    assert sorted(((*r[:4], bytes(r[4])) for r in got.collect()), key=str) == removed_by_hand(rows, 200)
+    anchors = {r["tag"]: suffixarrays.runs(np.frombuffer(r["text"].encode(), np.uint8), np.array([0, len(r["text"].encode())]), Powers(), 200)[3] for r in docs.selectExpr("xxhash64(doc_id, text) as tag", "text").collect()}
+    asked = places.joined([r["blob"] for r in held["runs"].where(f"kind = {suffixarrays._ASKED}").collect()])
+    pieces = Counter(anchors[tag][at] for tag, at in zip(asked.each(asked.tags).tolist(), asked.at.tolist(), strict=True))
+    assert max(pieces.values(), default=0) * 285 <= 20_000
+
+
 def test_no_rows(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert suffixarrays.digest(suffixarrays.repeats_removed(docs)).count() == 0

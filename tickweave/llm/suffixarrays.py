@@ -9,8 +9,10 @@ transformed. From the intervals of the 32-byte strings on, breadth-first backwar
 longer at a time. An interval whose end no shorter string has marked proves the common prefix there to be as long as the string was, so
 common prefixes come by increasing value, and the search ends at ``length``: what is still unmarked is at least as long.
 
-Pieces that many documents have travel once for each slice of the scan. A group of anchors is bounded, unless very many
-different texts surround one anchor.
+Pieces that many documents have travel once for each slice of the scan. An anchor that very many different texts surround is
+split: equal windows have their anchor in the same place, so the windows of its pieces are dealt by their own hashes
+instead, those that are equal within a block once. A slice with more than ``SLICE_KINDS`` pieces of an anchor asks for that
+itself and sends one of them, which tells the others; so no group grows with the texts that one anchor is in.
 
 Nulls: a null text is empty and keeps no bytes; a null doc_id is answered like others. Rows that share a doc_id are
 documents of their own. Texts shorter than ``length`` lose nothing.
@@ -31,8 +33,9 @@ from .textbytes import SLICE_BYTES, U, Powers, mixed, slices, utf8
 
 LENGTH = 200
 GROUP_RUNS, GROUP_BYTES, BLOCK_BYTES = 1 << 19, 2 << 20, 8 << 20
+SLICE_KINDS, BLOCK_WINDOWS = 16, 1 << 19
 _ANCHOR, _PLACE_BITS = 32, 22
-_WHOLE, _ASKED, _STARTS = 0, 1, 2
+_WHOLE, _ASKED, _STARTS, _SPLIT = 0, 1, 2, 3
 
 
 def runs(data: np.ndarray, offsets: np.ndarray, powers: Powers, length: int) -> tuple[np.ndarray, ...]:
@@ -99,10 +102,15 @@ def _dealt_runs(batches: Iterator[pa.RecordBatch], length: int, groups: int, blo
                 continue
             at, own, none = _ordinals(row), tags[a:b], np.zeros(b - a, np.int64)
             twice, first = _equals(anchor, digest)
-            here = np.flatnonzero(twice & ~first)
-            out = [(p % groups, p, _WHOLE, blob) for p, blob in places.dealt(none, own, row[here], at[here], None, own[row[here]] % blocks)]
-            here = np.flatnonzero(~twice | first)
-            keys = np.stack([anchor[here], digest[here] & ~U(1) | twice[here].astype(U)], 1)
+            hot = _of_anchor(anchor, first) > SLICE_KINDS
+            lead = np.zeros(len(row), bool)
+            lead[np.flatnonzero(hot)[np.unique(anchor[hot], return_index=True)[1]]] = True
+            out = []
+            for kind, told in ((_WHOLE, twice & (hot | ~first)), (_SPLIT, hot & first)):
+                here = np.flatnonzero(told)
+                out += [(p % groups, p, kind, blob) for p, blob in places.dealt(none, own, row[here], at[here], None, own[row[here]] % blocks)]
+            here = np.flatnonzero(~hot & (~twice | first) | lead)
+            keys = np.stack([anchor[here], digest[here] & ~U(3) | twice[here].astype(U) | hot[here].astype(U) << U(1)], 1)
             out += [(g, -1, 0, blob) for g, blob in places.dealt(none, own, row[here], at[here], keys, (anchor[here] % U(groups)).astype(np.int64))]
             yield _batch(out, ("part", "block", "kind", "blob"))
 
@@ -118,22 +126,25 @@ def _equals(anchor: np.ndarray, digest: np.ndarray) -> tuple[np.ndarray, np.ndar
     return twice, first
 
 
-def _sorted_out(table: pa.Table, blocks: int) -> pa.Table:
-    """What the runs of a group tell: repeated in whole, or asked for because another piece has their anchor."""
+def _of_anchor(anchor: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """For each run the sum of ``values`` over the runs of its anchor."""
+    _, own = np.unique(anchor, return_inverse=True)
+    return np.bincount(own, values)[own]
+
+
+def _sorted_out(table: pa.Table, blocks: int, most: int) -> pa.Table:
+    """What the runs of a group tell: repeated in whole, or asked for because another piece has their anchor; window by window if over ``most`` have it."""
     own, kinds, blobs = np.array(table["block"].to_numpy(), np.int64), table["kind"].to_pylist(), table["blob"].to_pylist()
     out = [(int(k), kind, b) for k, kind, b in zip(own, kinds, blobs, strict=True) if k >= 0]
     got = places.joined([b for k, b in zip(own, blobs, strict=True) if k < 0])
     if len(got.at):
         key = got.keys.reshape(-1, 2)
-        anchor, digest, before = key[:, 0], key[:, 1] & ~U(1), (key[:, 1] & U(1)) > 0
+        anchor, digest, before = key[:, 0], key[:, 1] & ~U(3), (key[:, 1] & U(1)) > 0
         twice, first = _equals(anchor, digest)
-        order = np.argsort(anchor, kind="stable")
-        heads = np.flatnonzero(np.append(True, anchor[order][1:] != anchor[order][:-1]))
-        kinds_of = np.add.reduceat(first[order].astype(np.int64), heads)
-        several = np.empty(len(order), bool)
-        several[order] = np.repeat(kinds_of > 1, np.diff(np.append(heads, len(order))))
+        kinds_of = _of_anchor(anchor, first)
+        hot = (_of_anchor(anchor, (key[:, 1] & U(2)) > 0) > 0) | (kinds_of > max(1, most))
         rows = np.repeat(np.arange(len(got.ids)), got.counts)
-        for kind, told in ((_WHOLE, twice | before), (_ASKED, several & first)):
+        for kind, told in ((_WHOLE, twice | before), (_ASKED, (kinds_of > 1) & first & ~hot), (_SPLIT, first & hot)):
             here = np.flatnonzero(told)
             out += [(k, kind, b) for k, b in places.dealt(got.ids, got.tags, rows[here], got.at[here], None, got.tags[rows[here]] % blocks)]
     counts = [places.count(b) for _, _, b in out]
@@ -149,20 +160,50 @@ def _by_document(table: pa.Table, kind: int) -> dict[int, np.ndarray]:
     return {tag: np.unique(np.concatenate(parts)) for tag, parts in lists.items()}
 
 
-def _pieces(left: pa.Table, right: pa.Table, length: int, groups: int) -> pa.Table:
-    """The pieces that are asked for, by group: anchor, digest, tag, place of the first window, number of windows, then bytes."""
-    powers, out = Powers(), {}
-    asked = _by_document(right, _ASKED)
+def _windows(text: np.ndarray, first: np.ndarray, sizes: np.ndarray, powers: Powers, length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Place and hash of each window of some runs of a text, a bounded number at a time."""
+    for at in range(0, len(text), SLICE_BYTES):
+        here = slice(*np.searchsorted(first, [at, at + SLICE_BYTES]))
+        n = sizes[here]
+        if len(n):
+            start = np.repeat(first[here] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            sums = powers.sums(text[at : at + SLICE_BYTES + 2 * length].astype(U) + U(1))
+            yield start, powers.hashes(sums, start - at, start - at + length)
+
+
+def _dealt_windows(held: list[tuple], groups: int, blocks: int) -> list[tuple]:
+    """Windows (tag, places, hashes) by group of hashes; those that repeat here are settled, and one of them travels."""
+    tags, counts = np.array([h[0] for h in held], np.int64), [len(h[1]) for h in held]
+    rows, at, key = np.repeat(np.arange(len(held)), counts), *(np.concatenate([h[i] for h in held]) for i in (1, 2))
+    key &= ~U(1)
+    twice, first = _equals(key, key)
+    here = np.flatnonzero(twice & ~first)
+    out = [(p % groups, p, _STARTS, blob) for p, blob in places.dealt(tags, tags, rows[here], at[here], None, tags[rows[here]] % blocks)]
+    here = np.flatnonzero(first)
+    keys = key[here] | twice[here].astype(U)
+    return out + [(g, -1, _SPLIT, blob) for g, blob in places.dealt(tags, tags, rows[here], at[here], keys, (mixed(key[here]) % U(groups)).astype(np.int64))]
+
+
+def _pieces(left: pa.Table, right: pa.Table, length: int, groups: int, blocks: int) -> pa.Table:
+    """The pieces that are asked for, by group: anchor, digest, tag, place of the first window, number of windows, then bytes. Of those to split, the windows."""
+    powers, out, told, held, size = Powers(), {}, [], [], 0
+    asked, split = _by_document(right, _ASKED), _by_document(right, _SPLIT)
     for tag, packed in zip(left["tag"].to_pylist(), left["packed"].to_pylist(), strict=True):
-        if tag in asked:
-            text = np.frombuffer(unsqueezed(packed), np.uint8)
-            _, first, sizes, anchor, digest = runs(text, np.array([0, len(text)]), powers, length)
-            for i in asked[tag].tolist():
-                head = np.array([anchor[i].view(np.int64), digest[i].view(np.int64), tag, first[i], sizes[i]], np.int64)
-                out.setdefault(int(anchor[i] % U(groups)), []).append((head.tobytes(), text[first[i] : first[i] + sizes[i] + length - 1].tobytes()))
-    names = sorted(out)
-    blobs = [np.array([len(out[g])], np.int64).tobytes() + b"".join(h for h, _ in out[g]) + b"".join(t for _, t in out[g]) for g in names]
-    return pa.table({"part": pa.array(names, pa.int32()), "blob": pa.array(blobs, pa.binary())})
+        if tag not in asked and tag not in split:
+            continue
+        text = np.frombuffer(unsqueezed(packed), np.uint8)
+        _, first, sizes, anchor, digest = runs(text, np.array([0, len(text)]), powers, length)
+        for i in asked[tag].tolist() if tag in asked else ():
+            head = np.array([anchor[i].view(np.int64), digest[i].view(np.int64), tag, first[i], sizes[i]], np.int64)
+            out.setdefault(int(anchor[i] % U(groups)), []).append((head.tobytes(), text[first[i] : first[i] + sizes[i] + length - 1].tobytes()))
+        for start, key in _windows(text, first[split[tag]], sizes[split[tag]], powers, length) if tag in split else ():
+            held.append((tag, start, key))
+            size += len(start)
+            if size > BLOCK_WINDOWS:
+                told, held, size = told + _dealt_windows(held, groups, blocks), [], 0
+    told += _dealt_windows(held, groups, blocks) if held else []
+    told += [(g, -1, _ASKED, np.array([len(out[g])], np.int64).tobytes() + b"".join(h for h, _ in out[g]) + b"".join(t for _, t in out[g])) for g in sorted(out)]
+    return pa.Table.from_batches([_batch(told, ("part", "block", "kind", "blob"))])
 
 
 def common_prefixes(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -217,15 +258,21 @@ def common_prefixes(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarr
 
 
 def _compared(table: pa.Table, length: int, blocks: int) -> pa.Table:
-    """Windows of the pieces of a group that also start in another piece."""
+    """Windows of the pieces of a group that also start in another piece, and windows of its hashes that are there twice."""
     heads, texts = [], []
-    for blob in table["blob"].to_pylist():
+    own, kinds, blobs = table["block"].to_pylist(), table["kind"].to_pylist(), table["blob"].to_pylist()
+    out = [(k, b) for k, kind, b in zip(own, kinds, blobs, strict=True) if kind == _STARTS]
+    got = places.joined([b for kind, b in zip(kinds, blobs, strict=True) if kind == _SPLIT])
+    if len(got.at):
+        twice, _ = _equals(key := got.keys & ~U(1), key)
+        here, rows = np.flatnonzero(twice | ((got.keys & U(1)) > 0)), np.repeat(np.arange(len(got.ids)), got.counts)
+        out += places.dealt(got.ids, got.tags, rows[here], got.at[here], None, got.tags[rows[here]] % blocks)
+    for blob in (b for kind, b in zip(kinds, blobs, strict=True) if kind == _ASKED):
         n = int(np.frombuffer(blob, np.int64, 1)[0])
         head = np.frombuffer(blob, np.int64, 5 * n, 8).reshape(-1, 5)
         ends = 8 + 40 * n + np.cumsum(head[:, 4] + length - 1)
         heads.append(head)
         texts += [blob[a:b] for a, b in zip((ends - head[:, 4] - length + 1).tolist(), ends.tolist(), strict=True)]
-    out = []
     if texts:
         head = np.concatenate(heads)
         _, own = np.unique(head[:, :2], axis=0, return_index=True)
@@ -244,7 +291,7 @@ def _compared(table: pa.Table, length: int, blocks: int) -> pa.Table:
         by = np.lexsort((head[row, 3] + offset[repeated], tags[row]))
         repeated, row = repeated[by], row[by]
         names, rows = np.unique(tags[row], return_inverse=True)
-        out = list(places.dealt(names, names, rows, head[row, 3] + offset[repeated], None, tags[row] % blocks))
+        out += places.dealt(names, names, rows, head[row, 3] + offset[repeated], None, tags[row] % blocks)
     return pa.table({"block": pa.array([o[0] for o in out], pa.int32()), "kind": pa.array([_STARTS] * len(out), pa.int32()), "blob": pa.array([o[1] for o in out], pa.binary())})
 
 
@@ -286,10 +333,10 @@ def repeats_removed(docs: DataFrame, length: int = LENGTH, group_runs: int = GRO
     size = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups, blocks = -(-size // (group_runs * 80)) or 1, -(-size // block_bytes) or 1
     dealt = named.mapInArrow(lambda b: _dealt_runs(b, length, groups, blocks), "part int, block int, kind int, blob binary")
-    found = dealt.repartitionById(groups, "part").groupBy("part").applyInArrow(lambda t: _sorted_out(t, blocks), "block int, kind int, places long, blob binary")
+    found = dealt.repartitionById(groups, "part").groupBy("part").applyInArrow(lambda t: _sorted_out(t, blocks, group_bytes // (4 * (length + 85))), "block int, kind int, places long, blob binary")
     found = written(found, "runs")
-    asked = found.where(F.col("kind") == _ASKED).agg(F.sum("places")).first()[0] or 0
-    parts = -(-asked * (length + 85) // group_bytes) or 1
+    asked, split = (n or 0 for n in found.agg(*(F.sum(F.when(F.col("kind") == kind, F.col("places"))) for kind in (_ASKED, _SPLIT))).first())
+    parts = -(-asked * (length + 85) // group_bytes) + -(-split * length // (2 * group_runs)) or 1
 
     def by_block(df: DataFrame):
         return df.repartitionById(blocks, "block").groupBy("block")
@@ -297,8 +344,8 @@ def repeats_removed(docs: DataFrame, length: int = LENGTH, group_runs: int = GRO
     def texts(*columns) -> DataFrame:
         return squeezed(docs.select(*columns, tag, "text")).withColumn("block", F.pmod("tag", F.lit(blocks)).cast("int"))
 
-    wanted = found.where(F.col("kind") == _ASKED).drop("places")
-    pieces = by_block(texts()).cogroup(by_block(wanted)).applyInArrow(lambda a, b: _pieces(a, b, length, parts), "part int, blob binary")
+    wanted = found.where(F.col("kind").isin(_ASKED, _SPLIT)).drop("places")
+    pieces = by_block(texts()).cogroup(by_block(wanted)).applyInArrow(lambda a, b: _pieces(a, b, length, parts, blocks), "part int, block int, kind int, blob binary")
     starts = pieces.repartitionById(parts, "part").groupBy("part").applyInArrow(lambda t: _compared(t, length, blocks), "block int, kind int, blob binary")
     told = found.where(F.col("kind") == _WHOLE).drop("places").unionByName(written(starts, "starts"))
     whole = texts(F.struct(*(c for c in docs.columns if c != "text")).alias("row"))
