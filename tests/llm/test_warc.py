@@ -54,5 +54,21 @@ def test_both_versions_of_header_lines_and_members():
         list(warc.arc_records(one[:-4]))
 
 
+def test_urls_with_other_spaces_and_of_a_version_block(spark):
+    urls = [*(f"http://a.example/x{c}y" for c in "\u1680\u2003\u2028\u2029\u202f\u205f\u3000"), "http://a.example/\u3000a\u2003b\u2028c\u202fd\u1680e", "filedesc://page.arc", "filedesc://a\u3000b"]
+    rows = [(i, url, f"<p>{i}</p>") for i, url in enumerate(urls)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    got = warc.archived(pages)
+    assert sorted(map(tuple, got.select("page_id", "target_uri").collect())) == [r[:2] for r in rows]
+    assert sorted(map(tuple, got.drop("target_uri", "warc_date").collect()), key=str) == by_hand(rows)
+
+
+def test_archives_that_follow_one_another(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "filedesc://p", "1 0 x\nURL IP-address ")], "page_id long, url string, html string").coalesce(1)
+    warc.write_arc(pages, f"{tmp_path}/arc")
+    raw = b"".join(p.read_bytes() for p in (tmp_path / "arc").glob("*.gz"))
+    assert [r[0] for r in warc.arc_records(raw * 2)] == ["filedesc://p"] * 2
+
+
 def test_no_pages(spark):
     assert warc.archived(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0

@@ -33,6 +33,8 @@ FILE_ROWS, LEAST_BYTES = 5000, 0
 _DATE, _ADDRESS, _OUT_BYTES = "20240101000000", "0.0.0.0", 4 << 20
 _FIELDS = {1: "URL IP-address Archive-date Content-type Archive-length", 2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"}
 _SPACE = re.compile(r"[\x00-\x20\x7f\x85\xa0]")
+#: How the version block of an archive that follows another in the same file begins; a page may have such a url, too.
+_VERSION = re.compile(rb"\d+ \d+ [^\n]*\nURL IP-address ")
 
 
 def _arc_block(version: int, name: str) -> bytes:
@@ -112,16 +114,17 @@ def arc_records(raw: bytes) -> Iterator[tuple[str, str, str, bytes]]:
     while (line := stream.line()) is not None:
         if not line.strip():
             continue
-        head = line.decode().split()
-        if line.startswith(b"filedesc://"):
-            said = stream.take(int(head[-1])).decode().splitlines()
+        head = [x.decode() for x in line.rstrip().split(b" ") if x]  # other white space may be part of a url
+        block = stream.take(int(head[-1])) if line.startswith(b"filedesc://") else None
+        if block is not None and (fields is None or _VERSION.match(block)):
+            said = block.decode().splitlines()
             fields = len(said[1].split())
             if fields != len(_FIELDS.get(int(said[0].split()[0]), "").split()):
                 raise ValueError(f"an ARC version that isn't known: {said[:2]}")
             continue
         if len(head) != fields:
             raise ValueError(f"a header line of {len(head)} fields where the version has {fields}")
-        yield head[0], head[2], head[3], stream.take(int(head[-1]))
+        yield head[0], head[2], head[3], stream.take(int(head[-1])) if block is None else block
 
 
 def _digest(raw: bytes) -> str:
