@@ -42,6 +42,18 @@ def test_interactions_are_learned():
     assert ((machine.score(row, term, len(x)) >= 0.5) == (y > 0)).mean() > 0.98
 
 
+def test_pairs_of_terms_that_tell_nothing_alone(spark):
+    import random
+
+    draw = random.Random(6)
+    some = [f"{a}{b}" for a in "bdfgklmnprst" for b in "aeiou"]
+    rows = [(i, draw.sample(some, 20) + draw.choice([["group", "insult"], ["group"], ["insult"], []])) for i in range(2500)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    toxic = {i: int(("group" in w) == ("insult" in w)) for i, w in rows}
+    got = toxicity.judged(docs, toxicity.fitted(docs, spark.createDataFrame(list(toxic.items()), "doc_id long, toxic int"))).where("held_out").collect()
+    assert len(got) > 400 and sum(r["predicted"] == toxic[r["doc_id"]] for r in got) / len(got) > 0.95
+
+
 def test_flattened_trees_step_like_the_rules():
     import numpy as np
 
