@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, jaccard, quality, substrings, suffixarrays, topk, toxicity, urlfilter, warc
+from . import bpe, decontamination, jaccard, packing, quality, substrings, suffixarrays, topk, toxicity, urlfilter, warc
 from .oracles import SQL as SQL
 
 
@@ -56,4 +56,9 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixarrays.digest(suffixarrays.repeats_removed(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = packing.pieces(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return packing.digest(packing.packed(made.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))))
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("op")}
