@@ -84,4 +84,22 @@ select page_id, host, path, rule, coalesce(said, case when net > 0 then 'block'
     select kind, goal, score * 85 // parts from parts join scores{i} using (kind, host)) group by all),
 """ for i in range(20)))
 
-SQL = {"op1_url_filters": _OP1, "op2_exact_topk": _OP2, "op7_benchmark_decontamination": _OP7, "op8_substring_dedup": _OP8, "op9_ngram_jaccard_join": _OP9, "op10_suffix_array_dedup": _OP10}
+_OP12 = r"""
+with pieces as (select coalesce(lang, '') as lang, coalesce(source, '') as source, row_number() over () as r,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+tokens as (select lang, source, r, unnest(w) as term from pieces),
+vocabulary as (select lang, term from tokens group by all having count(distinct r) >= 30),
+known as (select distinct lang, source from pieces),
+counts as (select v.lang, k.source, v.term, count(t.term) as n from vocabulary v join known k using (lang) left join tokens t using (lang, source, term) group by all),
+shares as (select lang, source, term, n, (1 + 1000000000::hugeint * (n + 5) // (sum(n) over (partition by lang, source) + 5 * count(*) over (partition by lang, source)))::bigint as p from counts),
+whole as (select lang, term, sum(n) as n from counts group by all),
+base as (select lang, term, (1 + 1000000000::hugeint * (n + 5) // (sum(n) over (partition by lang) + 5 * count(*) over (partition by lang)))::bigint as q from whole),
+pairs as (select a.lang, a.source, b.source as item, coalesce(sum(abs(x.p - y.p)), 0)::bigint as value from known a join known b on a.lang = b.lang and a.source <> b.source
+    left join shares x on x.lang = a.lang and x.source = a.source left join shares y on y.lang = b.lang and y.source = b.source and y.term = x.term group by all),
+over_used as (select s.lang, s.source, s.term as item, (p - q)::bigint as value from shares s join base using (lang, term) where s.n > 0 and p > q),
+ranked as (select lang, source, 'pair' as part, item, value, row_number() over (partition by lang, source order by value desc, item) as k from pairs
+    union all select lang, source, 'term', item, value, row_number() over (partition by lang, source order by value desc, item) from over_used)
+select lang, source, part, item, value, k::int as rank from ranked where part = 'pair' or k <= 50
+"""
+
+SQL = {"op12_source_divergence": _OP12, "op1_url_filters": _OP1, "op2_exact_topk": _OP2, "op7_benchmark_decontamination": _OP7, "op8_substring_dedup": _OP8, "op9_ngram_jaccard_join": _OP9, "op10_suffix_array_dedup": _OP10}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, jaccard, packing, quality, substrings, suffixarrays, topk, toxicity, urlfilter, warc
+from . import bpe, decontamination, divergence, jaccard, packing, quality, substrings, suffixarrays, topk, toxicity, urlfilter, warc
 from .oracles import SQL as SQL
 
 
@@ -61,4 +61,8 @@ def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.packed(made.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("op")}
