@@ -102,4 +102,18 @@ ranked as (select lang, source, 'pair' as part, item, value, row_number() over (
 select lang, source, part, item, value, k::int as rank from ranked where part = 'pair' or k <= 50
 """
 
-SQL = {"op12_source_divergence": _OP12, "op1_url_filters": _OP1, "op2_exact_topk": _OP2, "op7_benchmark_decontamination": _OP7, "op8_substring_dedup": _OP8, "op9_ngram_jaccard_join": _OP9, "op10_suffix_array_dedup": _OP10}
+_OP13 = r"""
+with pieces as (select doc_id, row_number() over () as r,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+items as (select distinct item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+    from benchmark where item_id is not null),
+whole as (select count(*)::bigint as n, sum(len(w))::bigint as l from pieces where len(w) > 0),
+sizes as (select r, doc_id, 50 + (50 * len(w)::bigint * n) // l as m from pieces, whole where len(w) > 0),
+tokens as (select r, term, count(*)::bigint as tf from (select r, unnest(w) as term from pieces) where term in (select term from items) group by all),
+weights as (select term, floor(1000 * ln((2 * n + 2) / (2 * count(*) + 1)))::bigint as weight from tokens, whole group by term, n),
+scores as (select item_id, r, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * m)))::bigint as score from items join tokens using (term) join weights using (term) join sizes using (r) group by all),
+ranked as (select item_id, doc_id, score, row_number() over (partition by item_id order by score desc, doc_id) as k from scores join sizes using (r) where score > 0)
+select item_id, k::int as rank, doc_id, score from ranked where k <= 50
+"""
+
+SQL = {"op13_lexical_search": _OP13, "op12_source_divergence": _OP12, "op1_url_filters": _OP1, "op2_exact_topk": _OP2, "op7_benchmark_decontamination": _OP7, "op8_substring_dedup": _OP8, "op9_ngram_jaccard_join": _OP9, "op10_suffix_array_dedup": _OP10}

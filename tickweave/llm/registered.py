@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, divergence, jaccard, packing, quality, substrings, suffixarrays, topk, toxicity, urlfilter, warc
+from . import bpe, decontamination, divergence, jaccard, lexical, packing, quality, substrings, suffixarrays, topk, toxicity, urlfilter, warc
 from .oracles import SQL as SQL
 
 
@@ -65,4 +65,8 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("op")}
