@@ -11,7 +11,8 @@ from tickweave.llm import packing
 
 TEXTS = [
     "Plain words, don't they'll I'VE 12 345", None, "", "   \t\n", "naïve Ångström é a ́b  x y   z\x1cq", "ΣΑΣ ΟΔΟΣ straße İstanbul",
-    "<|endoftext|> a<|startoftext|>b 's", "x" * 5000, "漢字かな交じり文 🙂🙂", "word " * 4000, "one " * 2047, "one " * 2048, "long text, in slices " * 120_000,
+    "<|endoftext|> a<|startoftext|>b 's", "x" * 5000, "H\u0331h\u0331 J\u030c A\u0301, I\u0307 \u1e96 Word's, WORD... \u00c9T\u00c9!? \u0130stanbul. \u01c5 \u1fbc, a\u2026! \u00bd, x2, 3d. it's-it'S <|ENDOFTEXT|> \u212aelvin; \u00aa, \u0345a\u0345.",
+    "漢字かな交じり文 🙂🙂", "word " * 4000, "one " * 2047, "one " * 2048, "long text, in slices " * 120_000,
 ]
 
 

@@ -30,7 +30,7 @@ from .textbytes import SLICE_BYTES, utf8
 
 LEAST, SMOOTH, SCALE, RANKS = 30, 5, 1_000_000_000, 50
 #: Counts of a block, entries and bytes of a task's table.
-CELLS, ENTRIES, HELD = 1 << 20, 1 << 18, 32 << 20
+CELLS, ENTRIES, HELD = 1 << 16, 1 << 18, 32 << 20
 #: Bytes of terms, lower-cased; all others become a space.
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 

@@ -18,9 +18,10 @@ that have a name of the result (piece, start, length, ids; sequence_id, offset,
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
-from functools import reduce
-from itertools import chain
+from functools import lru_cache, reduce
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -35,14 +36,20 @@ VOCABULARY = "word_bpe_49k.json"
 CAPACITY, END = 2048, 0
 #: Rows of a group in the first round, how often it doubles later, rounds of exchange, and the finest steps that ``bound`` tries.
 GROUP_ROWS, GROWTH, ROUNDS, STEPS = 1 << 14, 4, 6, 16
-#: The table of ids by chunk of text: number of chunks and longest one.
-_TABLE, _LONG = 1 << 18, 64
+#: The table of ids by chunk of text: number of chunks, and their bytes; words encoded in one call.
+_TABLE, _HELD, _CALL = 1 << 19, 16 << 20, 1024
+_PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum())
+#: What a chunk that isn't lower-cased holds: special tokens, or a lead byte of U+0300 to U+037F.
+_UNLIKE = (b"<|", b"\xcc", b"\xcd")
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
 class Chunks(dict):
     """Ids of chunks without ASCII white space, as bytes. The vocabulary's normaliser drops white space and nothing composes
-    with it, so the ids of a text are those of its chunks. Short chunks are kept in a table of bounded size."""
+    with it, so the ids of a text are those of its chunks. ASCII capitals are lower-cased first, as the normaliser would do,
+    but for chunks with marks that could compose with them or with the beginning of a special token. A word of letters with
+    ASCII punctuation behind it is its letters and its punctuation, and many such words are encoded in one call: each ends
+    with the one token that ends a word. The table is emptied when it is full."""
 
     def __init__(self, vocabulary: str) -> None:
         from tokenizers import Tokenizer
@@ -50,15 +57,62 @@ class Chunks(dict):
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix") or " "
+        tokens = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(tokens.values()) + 1, bool)
+        self.ends[[i for token, i in tokens.items() if token.endswith(suffix)]] = True
+        self.older: dict[bytes, bytes] = {}
+        self.held = 0
+
+    def encoded(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
     def __missing__(self, chunk: bytes) -> bytes:
-        ids = np.array(self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        if len(chunk) <= _LONG:
-            if len(self) >= _TABLE:
-                self.clear()
-            self[chunk] = ids
+        self[chunk] = ids = self.encoded(chunk.decode()).tobytes()
         return ids
 
+    def learn(self, chunks: set[bytes]) -> None:
+        split, words = [], set()
+        for chunk in chunks:
+            word = chunk.rstrip(_PUNCTUATION)
+            if word.isalpha() or _letters(word):
+                split.append((chunk, word))
+                if word not in self:
+                    if word in self.older:
+                        self[word] = self.older[word]
+                    else:
+                        words.add(word)
+        few = list(words)
+        for at in range(0, len(few), _CALL):
+            some = few[at : at + _CALL]
+            ids = self.encoded(b" ".join(some).decode())
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(some):
+                data = ids.tobytes()
+                self.update(zip(some, (data[4 * a : 4 * b] for a, b in pairwise([0, *cuts.tolist()])), strict=True))
+        for chunk, word in split:
+            if len(word) < len(chunk):
+                self[chunk] = self[word] + self[chunk[len(word) :]]
+
+    def ids(self, text: bytes) -> bytes:
+        if any(x in text for x in _UNLIKE):
+            words = [w if any(x in w for x in _UNLIKE) else w.lower() for w in text.split()]
+        else:
+            words = text.lower().split()
+        found = list(map(self.get, words))
+        if None not in found:
+            return b"".join(found)
+        new = {w for w, ids in zip(words, found, strict=True) if ids is None}
+        self.held += sum(map(len, new))
+        if len(self) + len(new) > _TABLE or self.held > _HELD:
+            self.older = dict(self)
+            self.clear()
+            new, self.held = set(words), 0
+        back = set(filter(self.older.__contains__, new))
+        self.update((w, self.older[w]) for w in back)
+        self.learn(new - back)
+        return b"".join(map(self.__getitem__, words))
+
     def slices(self, text: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[bytes]:
         """Ids of UTF-8 bytes, slice by slice."""
         at = 0
@@ -67,12 +121,24 @@ class Chunks(dict):
             while to < len(text) and not _SPACE[text[to]]:
                 gap = np.flatnonzero(_SPACE[text[to : to + limit]])
                 to = to + int(gap[0]) if len(gap) else to + limit
-            yield b"".join(map(self.__getitem__, text[at:to].tobytes().split()))
+            yield self.ids(text[at:to].tobytes())
             at = to
 
 
+def _letters(word: bytes) -> bool:
+    """Whether a word of other than ASCII is letters, and stays so in lower case."""
+    text = "" if word.isascii() else word.decode()
+    return text.isalpha() and text.lower().isalpha()
+
+
+@lru_cache(1)
+def chunks(vocabulary: str) -> Chunks:
+    """One table for all tasks of a worker."""
+    return Chunks(vocabulary)
+
+
 def _cut(batches: Iterator[pa.RecordBatch], vocabulary: str, capacity: int, end: int) -> Iterator[pa.RecordBatch]:
-    chunks, full, last = Chunks(vocabulary), 4 * capacity, np.array([end], "<u4").tobytes()
+    known, full, last = chunks(vocabulary), 4 * capacity, np.array([end], "<u4").tobytes()
     for batch in batches:
         data, offsets = utf8(batch.column(1))
         of, piece, ids, held = [], [], [], 0
@@ -85,7 +151,7 @@ def _cut(batches: Iterator[pa.RecordBatch], vocabulary: str, capacity: int, end:
 
         for row, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
             rest, k = b"", 0
-            for part in chain(chunks.slices(data[a:b]), [last]):
+            for part in chain(known.slices(data[a:b]), [last]):
                 rest += part
                 while len(rest) > full:
                     done = len(rest) // full - (len(rest) % full == 0)
