@@ -3,7 +3,7 @@
 import pytest
 from plants import NORTH, SOUTH, altered, doubled, log, without
 
-from tickweave.operators import quality
+from tickweave.operators import quality, rowpass
 
 COLD = "sensor_id = 'south.T_c'"
 FIFTH = f"run_id = '{SOUTH}' AND sample_index = 5"
@@ -78,3 +78,27 @@ def test_where_the_ticks_are_missing_is_told(spark):
     tables = without("measurements", "sensor_id = 'south.C_A' AND sample_index IN (2, 3, 6)")(log(spark))
     found = quality.report(tables, [quality.BY_NAME["gaps"]], width=2).orderBy("detail").collect()
     assert [(r["item"], r["detail"]) for r in found] == [(f"{SOUTH} / south.C_A", "1 missing after tick 5"), (f"{SOUTH} / south.C_A", "2 missing after tick 1")]
+
+
+def test_the_long_table_is_exchanged_once_for_all_checks_of_rows(spark, tmp_path):
+    tables = log(spark)
+    tables.measurements.write.parquet(str(tmp_path / "m"))
+    tables = tables.with_(measurements=spark.read.parquet(str(tmp_path / "m")))
+    plan = rowpass.marks(tables)._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange" in line]
+    assert sum("band" in line for line in dealt) == 1 and plan.count("Scan parquet") == 1
+    assert all("Broadcast" in line or "band" in line or "SinglePartition" in line or not any(c in line for c in ("sample_index", "time_s")) for line in dealt)
+    assert plan.count("Window ") == 3 and plan.count("Sort ") == 2
+
+
+def test_marks_agree_whatever_the_bands_and_kinds(spark):
+    tables = log(spark)
+    for change in (doubled("measurements", "sample_index % 3 = 0"), without("measurements", "sample_index = 2"), without("measurements", "sensor_id = 'south.q' AND sample_index > 1"),
+                   altered("measurements", "sample_index = 4", time_s="time_s - 20.0"), altered("measurements", "sample_index = 3 AND sensor_id LIKE '%.T'", plant_id="'north'"),
+                   doubled("operating_runs", "true"), altered("sensors", "sensor_id = 'north.q'", sensor_id="'south.q'")):
+        tables = change(tables)
+        both = [{n: sorted(map(str, quality.findings(tables, n, width=w).collect())) for n in rowpass.KINDS} for w in (1, 2, 1000)]
+        assert both[0] == both[1] == both[2]
+        shared = quality.Source.of(tables, 2, shared=True)
+        assert {n: sorted(map(str, quality.BY_NAME[n].find(shared).collect())) for n in rowpass.KINDS} == both[0]
+    assert all(both[0][n] for n in rowpass.KINDS)

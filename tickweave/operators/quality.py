@@ -1,10 +1,9 @@
 """Quality checks of the contract tables. Every check returns the defective rows; an empty
 answer is a pass. Nothing is repaired, filled in or dropped.
 
-The long table is read as few times as possible: ``profile`` reduces it, by one partial
-aggregate, to one row per (plant, run, channel, flag), and fourteen checks read that. Only
-what is about single rows, duplicates, steps, instants and absent channels, reads the long
-table itself.
+The long table is read twice: ``profile`` reduces it, by one partial aggregate, to one row per
+(plant, run, channel, flag), and fourteen checks read that; what is about single rows,
+duplicates, steps, instants and absent channels, comes from the one exchange of ``rowpass``.
 """
 
 from __future__ import annotations
@@ -17,9 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickweave.contract import INPUT, MEASURED, NOISE_MODEL, QUALITY_GOOD, Tables
-from tickweave.functions.scalars import blank, clock_instant, differs, is_sha256, not_finite, on_clock
-from tickweave.plans.bands import DEFAULT_WIDTH, Bands
-from tickweave.session import cut_lineage
+from tickweave.functions.scalars import blank, differs, is_sha256, not_finite
+from tickweave.operators import rowpass
+from tickweave.operators.rowpass import DEFAULT_WIDTH
+from tickweave.session import staged
 
 TEXT_FIELDS = {
     "measurements": ("plant_id", "run_id", "sensor_id"),
@@ -64,8 +64,8 @@ class Source:
     """The tables of one check run, what the checks share, and the band width.
 
     ``of(.., shared=True)`` is for many checks at once: the profile, one row per channel of a
-    run, and the rows that break the order of ticks or instants are worked out once and cut
-    from their lineage, so the long table is not read again by every check that needs them.
+    run, and the marks of single rows are worked out once and cut from their lineage, so the
+    long table is not read again by every check that needs them.
     """
 
     tables: Tables
@@ -79,12 +79,15 @@ class Source:
     @cached_property
     def profile(self) -> DataFrame:
         found = profile(self.tables.measurements)
-        return cut_lineage(found) if self.shared else found
+        return staged(found, "profile") if self.shared else found
 
     @cached_property
-    def broken_steps(self) -> DataFrame:
-        found = broken_steps(self.tables.measurements, self.width)
-        return cut_lineage(found) if self.shared else found
+    def _marks(self) -> DataFrame:
+        return staged(rowpass.marks(self.tables, self.width), "marks")
+
+    def marks(self, kind: str) -> DataFrame:
+        """Marks of single rows; only those of ``kind`` are sought where nothing is shared."""
+        return self._marks if self.shared else rowpass.marks(self.tables, self.width, (kind,))
 
 
 @dataclass(frozen=True)
@@ -263,39 +266,23 @@ def channel_extents(s: Source) -> DataFrame:
     return found.join(s.tables.operating_runs.select("run_id", "n_samples"), "run_id")
 
 
-def steps(measurements: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame:
-    """Every row with the tick and the instant of the stored row before it. Where a tick is
-    stored twice the order is by instant, then value."""
-    return Bands(("run_id", "sensor_id"), "sample_index", ("time_s", "value"), width).scan(
-        measurements.select("run_id", "sensor_id", "sample_index", "time_s", "value"),
-        lag={"previous_tick": "sample_index", "previous_time_s": "time_s"},
-    )
-
-
-def broken_steps(measurements: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame:
-    """Rows that follow a gap, or whose instant is not after that of the row before."""
-    missing = F.col("sample_index") - F.col("previous_tick") - 1
-    stepped = steps(measurements, width).withColumn("missing", missing)
-    return stepped.where((missing > 0) | ~(F.col("time_s") > F.col("previous_time_s")))
-
-
 def _gaps(s: Source) -> DataFrame:
-    return s.broken_steps.where(F.col("missing") > 0).select("run_id", "sensor_id", "previous_tick", "missing")
+    missing = (F.col("sample_index") - F.col("previous_tick") - 1).alias("missing")
+    return rowpass.steps(s.marks(rowpass.GAPS), rowpass.GAPS).select("run_id", "sensor_id", "previous_tick", missing)
 
 
 def _not_increasing(s: Source) -> DataFrame:
-    return s.broken_steps.where(~(F.col("time_s") > F.col("previous_time_s"))).select(
-        "run_id", "sensor_id", "sample_index", "time_s", "previous_time_s"
-    )
+    return rowpass.steps(s.marks(rowpass.ORDER), rowpass.ORDER).select("run_id", "sensor_id", "sample_index", "time_s", "previous_time_s")
 
 
 def _off_clock(s: Source) -> DataFrame:
-    runs = s.tables.operating_runs.select("run_id", "start_time_s", "sampling_period_s")
-    rows = s.tables.measurements.select("run_id", "sensor_id", "sample_index", "time_s").join(runs, "run_id")
-    rows = rows.withColumn("expected_time_s", clock_instant("sample_index", "start_time_s", "sampling_period_s"))
-    return rows.where(~on_clock("time_s", "expected_time_s")).select(
-        "run_id", "sensor_id", "sample_index", "time_s", "expected_time_s"
-    )
+    found = s.marks(rowpass.CLOCK).where(F.col("kind") == rowpass.CLOCK)
+    return found.select("run_id", "sensor_id", "sample_index", "time_s", "expected_time_s")
+
+
+def _stored_twice(s: Source) -> DataFrame:
+    found = s.marks(rowpass.DUPLICATES).where(F.col("kind") == rowpass.DUPLICATES)
+    return found.select("run_id", "sensor_id", "sample_index", "occurrences")
 
 
 def _last_instant(s: Source) -> DataFrame:
@@ -315,23 +302,7 @@ def _no_rows(s: Source) -> DataFrame:
 
 
 def _missing_channels(s: Source) -> DataFrame:
-    """Channels of the plant that are absent at a tick at which the run has others. What is
-    present at a tick is a set of declared channels, so its size is bounded by the plant;
-    the declared channels of a plant are one array, joined once per tick."""
-    declared = s.tables.sensors.where(F.col("sensor_id").isNotNull()).select("sensor_id", "plant_id").distinct()
-    rows = s.tables.measurements.select("plant_id", "run_id", "sample_index", "sensor_id").join(
-        declared.select("sensor_id").distinct().withColumn("known", F.lit(True)), "sensor_id", "left"
-    )
-    present = rows.groupBy("run_id", "sample_index").agg(
-        F.collect_set("plant_id").alias("plants"),
-        F.collect_set(F.when(F.col("known"), F.col("sensor_id"))).alias("present"),
-    )
-    channels = declared.groupBy("plant_id").agg(F.collect_set("sensor_id").alias("channels"))
-    ticks = present.select("run_id", "sample_index", "present", F.explode("plants").alias("plant_id"))
-    short = ticks.join(channels, "plant_id").select(
-        "run_id", "sample_index", F.explode(F.array_except("channels", "present")).alias("sensor_id")
-    )
-    return short
+    return rowpass.absent_channels(s.marks(rowpass.CHANNELS), s.tables)
 
 
 _RUN_SENSOR = "concat(run_id, ' / ', sensor_id)"
@@ -339,7 +310,7 @@ _RUN_SENSOR = "concat(run_id, ' / ', sensor_id)"
 # The names and problem texts of the checks.
 CHECKS: tuple[Check, ...] = (
     Check("duplicates", "duplicate_measurements", "measurement stored more than once",
-          _repeated("measurements", ("run_id", "sensor_id", "sample_index")),
+          _stored_twice,
           "concat(run_id, ' / ', sensor_id, ' / tick ', sample_index)", n_rows="occurrences", run="run_id"),
     Check("duplicates", "duplicate_runs", "run defined more than once",
           _repeated("operating_runs", ("run_id",)), "run_id", n_rows="occurrences", run="run_id", crosses_runs=True),
