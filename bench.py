@@ -24,7 +24,7 @@ def main() -> None:
 
     from tickweave.contract import SCHEMAS, Tables, constant
     from tickweave.operators import digests, ingest, leakscan, outcomes, quality, scoring, series, windows
-    from tickweave.session import local_session
+    from tickweave.session import local_session, staged
     from tickweave.sources import eventlog, store
     from verification import comparison_queries as cq
 
@@ -61,7 +61,7 @@ def main() -> None:
     timed("quality_report", lambda: quality.report(t))
     timed("run_digests", lambda: digests.run_digests(t))
     offered = digests.recorded_runs(t)
-    offered = offered.with_(operating_runs=ingest.cut_lineage(offered.operating_runs))
+    offered = offered.with_(operating_runs=staged(offered.operating_runs, "offer"))
 
     def admit():
         _, taken = ingest.ingest(offered, store.read_store(spark, f"{scratch}/store"))

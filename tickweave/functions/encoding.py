@@ -1,7 +1,6 @@
 """Canonical text of a value: its kind, its length, its content. No two different rows share
-a text. A double is written as the 64-bit mix of its bits, which is one-to-one on eight
-bytes and does not depend on how a runtime prints numbers; the two zeros, which the mix does
-not tell apart, are written out. So nothing is rounded and 0.0 and -0.0 differ."""
+a text. A double is written as its whole mantissa of 53 bits and its exponent, "4503599627370497p-52", so nothing is rounded and
+any engine with exact powers of two can write the same text; zeros, which keep their sign, infinities and NaN are words."""
 
 from __future__ import annotations
 
@@ -12,11 +11,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def mantissa_exponent(x: Column) -> Column:
+    """Text of a double that is neither zero nor infinite nor NaN. The logarithm only has to be right to the next
+    integer; the mantissa is scaled in two steps, as one power of two can leave the range of doubles."""
+    size = F.abs(x)
+    guess = F.floor(F.log2(size))
+    first = F.floor((F.lit(52) - guess) / 2)
+    scaled = size * F.pow(F.lit(2.0), first) * F.pow(F.lit(2.0), F.lit(52) - guess - first)
+    shift = F.when(scaled >= float(1 << 53), 1).when(scaled < float(1 << 52), -1).otherwise(0)
+    whole = F.when(shift == 1, scaled / 2).when(shift == -1, scaled * 2).otherwise(scaled).cast("long")
+    return F.concat(F.when(x < 0, "-").otherwise(""), whole.cast("string"), F.lit("p"), (guess + shift - 52).cast("string"))
+
+
 def encoded(field: T.StructField) -> Column:
     c = F.col(f"`{field.name}`")
     if isinstance(field.dataType, T.DoubleType | T.FloatType):
         x = c.cast("double")
-        text = F.concat(F.lit("F"), F.when(x == 0.0, x.cast("string")).otherwise(F.when(x.isNotNull(), F.xxhash64(x).cast("string"))))
+        special = F.when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf").when(x == 0.0, x.cast("string"))
+        text = F.concat(F.lit("F"), F.coalesce(special, mantissa_exponent(x)))
     elif isinstance(field.dataType, T.IntegralType):
         text = F.concat(F.lit("I"), c.cast("string"))
     elif isinstance(field.dataType, T.StringType):

@@ -1,9 +1,10 @@
 """Content identity. The digest of a set of rows is the SHA-256 of the number of rows and of
 the sums of the words of their hashes: each row is hashed by itself (SHA-256 of its canonical
-text), the hash is folded into twelve words of at most twenty-two bits, and the words are
+text), the first 240 bits of the hash are twelve words of twenty bits, and the words are
 summed over the rows. A sum does not depend on order, files or partitions, counts repeated rows, and merges:
 every task adds up its own rows and sends one row per run, however long the run is. The sums
-are exact in 64 bits for up to 2**41 rows to a run.
+are exact in 64 bits for up to 2**43 rows to a run. Text, hashes and sums are plain enough for another engine to
+work out the same digest, which the SQL of the registered queries does.
 
 The digest tells content apart that changed by accident or by a new version. It is not a
 defence against someone who searches for rows with equal sums. A sequential hash over a
@@ -21,21 +22,17 @@ from tickweave.contract import SCHEMAS, Tables
 from tickweave.functions.encoding import row_hash
 from tickweave.functions.scalars import differs
 
-TABLE_ENCODING, RUN_ENCODING = "table-rows/v1", "run-rows/v1"
-_MIXES = 4  # 64-bit mixes of a row hash, three words each
-_PIECES = ((0, 22), (22, 21), (43, 21))  # (first bit, bits)
+TABLE_ENCODING, RUN_ENCODING = "table-rows/v2", "run-rows/v2"
+WORDS, DIGITS = 12, 5  # words of a row hash, hexadecimal digits of each
 
 
 def rows_digest(df: DataFrame, keys: Sequence[str], columns: Sequence[str], header: str) -> DataFrame:
     """One digest per ``keys`` over ``columns``: one pass, one partial aggregate."""
     keys = list(keys)
     hashed = df.select(*keys, row_hash(df.schema, columns).alias("_row"))
-    mixed = hashed.select(*keys, *[F.xxhash64("_row", F.lit(i)).alias(f"_m{i}") for i in range(_MIXES)])
-    words = [
-        F.shiftrightunsigned(F.col(f"_m{i}"), first).bitwiseAND(F.lit((1 << bits) - 1).cast("long")) for i in range(_MIXES) for first, bits in _PIECES
-    ]
-    names = [f"_w{i}" for i in range(len(words))]
-    summed = mixed.groupBy(*keys).agg(
+    words = [F.conv(F.substring("_row", DIGITS * i + 1, DIGITS), 16, 10).cast("long") for i in range(WORDS)]
+    names = [f"_w{i}" for i in range(WORDS)]
+    summed = hashed.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_rows"), *[F.coalesce(F.sum(w), F.lit(0)).alias(n) for n, w in zip(names, words, strict=True)]
     )
     parts = [F.lit(header), F.col("n_rows").cast("string"), *[F.col(n).cast("string") for n in names]]

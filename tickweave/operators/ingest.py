@@ -13,7 +13,7 @@ from tickweave.contract import SCHEMAS, Tables, conform
 from tickweave.functions.scalars import differs
 from tickweave.operators import quality
 from tickweave.operators.digests import run_digests, rows_digest
-from tickweave.session import cut_lineage
+from tickweave.session import staged as stage
 
 INGESTED, PRESENT = "ingested", "already_present"
 # In the order in which the gates are passed: the first that fails decides the status.
@@ -35,9 +35,10 @@ def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
 def staged(offered: Tables, run_ids: list[str] | None = None) -> Tables:
     """A staging copy of the rows of the offered runs and of their plants; of all runs when
     none are named. What is checked is this copy, and what is appended is the same rows: an
-    offer that changes while it is read, or is expensive to work out, is read once."""
+    offer that changes while it is read, or is expensive to work out, is read once. The copy is Parquet in
+    the shared folder, so each gate fetches only the columns it looks at."""
     if run_ids is None:
-        return Tables(**{name: cut_lineage(df) for name, df in offered.items()})
+        return Tables(**{name: stage(df, f"offer-{name}") for name, df in offered.items()})
     runs = offered.operating_runs.where(F.col("run_id").isin(run_ids))
     plants = runs.select("plant_id").distinct()
 
@@ -187,12 +188,12 @@ def accepted(offered: Tables, stored: Tables, report: DataFrame) -> Tables:
 
 def ingest(offered: Tables, stored: Tables, fail_fast: bool = False, width: int = quality.DEFAULT_WIDTH) -> tuple[DataFrame, Tables]:
     """The report, one row per offered run, and the rows to append. The offer is staged; the
-    report is small and read by every table to append, so its lineage is cut once."""
+    report is small and read by every table to append, so it is staged once."""
     offered = staged(offered)
     report = gate(offered, stored, width)
     if fail_fast:
         report = stop_at_first_refusal(report)
-    report = cut_lineage(report)
+    report = stage(report, "gate")
     return report, accepted(offered, stored, report)
 
 

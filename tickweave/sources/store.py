@@ -12,7 +12,7 @@ import uuid
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tickweave.contract import INPUTS, SCHEMAS, STATES, Tables, conform
@@ -222,14 +222,27 @@ def sizes(spark: SparkSession, places: dict[str, str]) -> DataFrame:
 
 def append(accepted: Tables, root: str, batch: str) -> None:
     """Accepted rows of one gate as a batch of the store: parents before children, and the
-    batch listed last, which makes it visible. A batch that is listed is not written again."""
+    batch listed last, which makes it visible. A batch that is listed is not written again. The rows of each table are
+    counted while they are written and again from the written files; a batch whose counts differ is not listed."""
     spark = accepted.plants.sparkSession
     if exists(spark, f"{root}/batches/{batch}/_SUCCESS"):
         return
+    counts = {}
     for name in ("plants", "process_parameters", "sensors", "operating_runs", "measurements"):
-        conform(getattr(accepted, name), name).write.mode("overwrite").parquet(f"{root}/{name}/{batch}")
-    counts = quality.profile(accepted.measurements).agg(F.sum("n_rows").alias("n_rows"))
-    counts.select(F.lit(batch).alias("batch"), F.coalesce("n_rows", F.lit(0)).alias("n_rows")).write.mode("overwrite").json(f"{root}/batches/{batch}")
+        counts[name] = write_counted(conform(getattr(accepted, name), name), f"{root}/{name}/{batch}")
+    listed = spark.range(1).select(F.lit(batch).alias("batch"), F.lit(counts["measurements"]).cast("long").alias("n_rows"))
+    listed.write.mode("overwrite").json(f"{root}/batches/{batch}")
+
+
+def write_counted(df: DataFrame, path: str) -> int:
+    """Number of rows written as Parquet to ``path``, counted in the tasks that write them. The files are read back, where a count
+    needs their footers only, and another number is an error."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n_rows")).write.mode("overwrite").parquet(path)
+    n, stored = seen.get.get("n_rows", 0), df.sparkSession.read.schema(df.schema).parquet(path).count()
+    if n != stored:
+        raise ValueError(f"{path}: {n} rows were written and {stored} are stored")
+    return n
 
 
 def read_store(spark: SparkSession, root: str) -> Tables:

@@ -11,6 +11,7 @@ from tickweave.session import shared_folder
 from tickweave.sources import eventlog, store
 from tickweave.sources.eventlog import table
 from verification.diagnostic_queries import _expected_switches
+from verification.quality_queries import _MEASURED
 from verification.tables_sql import EVENT_LOG, PLANTED, REGISTRY, on
 
 
@@ -39,8 +40,7 @@ def _changed_content(spark, sf):
 
 
 def _gate(spark, sf):
-    """Six fates at once: a broken run, changed content, a plant that conflicts, a run known
-    from another data set, a run already there, and new runs."""
+    """Five fates at once: a broken run, changed content, a run known from another data set, a run already there, and new runs."""
     offered = digests.recorded_runs(ingest.staged(log(spark, sf)))
     pick = F.col("run_id")
     held = offered.operating_runs.where(pick.contains(".e5.") | pick.contains(".e6."))
@@ -232,6 +232,44 @@ def _mandatory(spark, sf):
     return report.verdict(results, 6)
 
 
+#: Checks of the long table whose item is told by the SQL of the check: run and channel, or what the text says.
+_ITEMS = {name: "run_id || ' / ' || sensor_id" for name in ("infinite_values", "quality_flags", "row_counts", "tick_ranges", "gaps", "time_not_increasing", "off_clock", "missing_channels")} | {
+    "duplicate_measurements": "run_id || ' / ' || sensor_id || ' / tick ' || sample_index", "unknown_channels": "sensor_id", "empty_runs": "run_id",
+    "foreign_run_rows": "run_id || ': ' || plant_id || ' against ' || owner", "foreign_channel_rows": "run_id || ' / ' || sensor_id || ': ' || plant_id || ' against ' || owner",
+}
+
+
+def _first_findings(spark, sf):
+    found = quality.report(eventlog.planted(spark, sf), [quality.BY_NAME[n] for n in _ITEMS])
+    return ingest.first_per_check(found, 7).select("branch", "item")
+
+
+def _encoded_sql(name, kind):
+    if kind == "double":
+        guess = f"floor(log2(abs({name})))"
+        first = f"floor((52 - {guess}) / 2)"
+        scaled = f"(abs({name}) * pow(2::DOUBLE, {first}) * pow(2::DOUBLE, 52 - {guess} - {first}))"
+        shift = f"(CASE WHEN {scaled} >= 9007199254740992 THEN 1 WHEN {scaled} < 4503599627370496 THEN -1 ELSE 0 END)"
+        return (f"CASE WHEN {name} IS NULL THEN 'N' WHEN isnan({name}) THEN 'Fnan' WHEN isinf({name}) THEN CASE WHEN {name} > 0 THEN 'Finf' ELSE 'F-inf' END WHEN {name} = 0 THEN 'F' || {name}::VARCHAR "
+                f"ELSE 'F' || CASE WHEN {name} < 0 THEN '-' ELSE '' END || ({scaled} * pow(2::DOUBLE, -{shift}))::BIGINT || 'p' || ({guess} + {shift} - 52)::BIGINT END")
+    return f"coalesce('S' || length({name}) || ':' || {name}, 'N')" if kind == "string" else f"coalesce('I' || {name}::VARCHAR, 'N')"
+
+
+def _digest_sql(source, columns, header, keys=()):
+    """The digest of the rows of ``source`` by ``keys``, from its definition."""
+    text = " || ',' || ".join(_encoded_sql(n, k) for n, k in columns)
+    words = [f"coalesce(sum(('0x' || substr(h, {digests.DIGITS * i + 1}, {digests.DIGITS}))::BIGINT), 0)::VARCHAR" for i in range(digests.WORDS)]
+    by = "".join(f"{k}, " for k in keys)
+    return f"SELECT {by}count(*) AS n_rows, sha256(concat_ws(chr(10), '{header}', count(*)::VARCHAR, {', '.join(words)})) AS content_sha256 FROM (SELECT {by}sha256({text}) AS h FROM {source})" + (f" GROUP BY {', '.join(keys)}" if keys else "")
+
+
+_KIND_OF = {f.name: f.dataType.simpleString() for name in ("sensors", "measurements") for f in SCHEMAS[name].fields}
+_RUN_COLUMNS = sorted([c for c in SCHEMAS["measurements"].names if c != "run_id"] + ["variable_name", "channel_kind", "channel_index", "unit", "noise_model", "noise_std", "sampling_period_s"])
+_RUN_ROWS = "(SELECT m.*, s.* EXCLUDE (sensor_id, plant_id) FROM measurements m LEFT JOIN sensors s USING (sensor_id))"
+_RUN_DIGESTS = _digest_sql(_RUN_ROWS, [(c, _KIND_OF[c]) for c in _RUN_COLUMNS], digests.RUN_ENCODING, ("run_id",))
+_PROFILED = ("unknown_runs", "foreign_run_rows", "foreign_channel_rows", "infinite_values", "infinite_times", "run_channel_periods", "quality_flags", "row_counts", "tick_ranges", "gaps",
+             "time_not_increasing", "off_clock", "last_instants", "empty_runs", "missing_channels", "duplicate_measurements")
+
 QUERIES = {
     "digest_changed_runs": _changed_content,
     "digest_of_tables": lambda spark, sf: digests.table_digests(eventlog.registry(spark, sf)),
@@ -239,7 +277,7 @@ QUERIES = {
     "integrity_units_not_si": lambda spark, sf: integrity.not_in_si(eventlog.registry(spark, sf).sensors, units_dimension(spark)).select("sensor_id", "unit"),
     "integrity_misnamed_channels": lambda spark, sf: integrity.misnamed_channels(eventlog.registry(spark, sf).sensors),
     "integrity_broken_positions": lambda spark, sf: integrity.broken_positions(eventlog.registry(spark, sf).sensors),
-    "integrity_plants_without_run": lambda spark, sf: integrity.plants_without(eventlog.registry(spark, sf).plants, eventlog.registry(spark, sf).operating_runs.where("n_samples > 450")),
+    "integrity_plants_without_run": lambda spark, sf: integrity.plants_without(eventlog.registry(spark, sf).plants, eventlog.registry(spark, sf).operating_runs),
     "integrity_foreign_dataset_runs": lambda spark, sf: integrity.foreign_dataset_runs(eventlog.registry(spark, sf).operating_runs, "1-URGENT"),
     "integrity_broken_run_rows": lambda spark, sf: integrity.broken_run_rows(eventlog.registry(spark, sf).operating_runs),
     "integrity_row_agreement": lambda spark, sf: integrity.row_agreement(eventlog.planted(spark, sf), quality.profile(eventlog.planted(spark, sf).measurements)),
@@ -258,7 +296,10 @@ QUERIES = {
     "leak_broken_document_findings": lambda spark, sf: leakscan.document_findings(leakscan.walk_documents(_broken_documents(spark, sf)), {}, {"one": 1}),
     "ingest_twice": _ingest_twice,
     "ingest_stored_rows": _stored_rows,
-    "ingest_quality_by_run": lambda spark, sf: ingest.quality_findings_by_run(eventlog.planted(spark, sf)).where("branch IN ('gaps', 'missing_channels', 'quality_flags')"),
+    "ingest_quality_by_run": lambda spark, sf: ingest.quality_findings_by_run(eventlog.planted(spark, sf)),
+    "ingest_stored_counts": lambda spark, sf: ingest.stored_counts(log(spark, sf), eventlog.planted(spark, sf)),
+    "store_manifest_runs": lambda spark, sf: store.manifest_runs(log(spark, sf)),
+    "report_first_per_check": _first_findings,
     "store_publish": _publish,
     "store_read_published": _read_published,
     "store_published_files": _published_files,
@@ -282,7 +323,7 @@ SQL = {
     "integrity_misnamed_channels": on(REGISTRY, "SELECT sensor_id, plant_id, variable_name FROM sensors WHERE sensor_id <> plant_id || '.' || variable_name"),
     "integrity_broken_positions": on(REGISTRY, """SELECT plant_id, channel_kind, count(*) AS n_channels, count(DISTINCT channel_index) AS n_positions, min(channel_index) AS first, max(channel_index) AS last
         FROM sensors GROUP BY ALL HAVING list_sort(list(channel_index)) IS DISTINCT FROM range(count(*))::INT[] OR count(channel_index) < count(*)"""),
-    "integrity_plants_without_run": on(REGISTRY, "SELECT DISTINCT p.plant_id FROM plants p ANTI JOIN (SELECT * FROM operating_runs WHERE n_samples > 450) r USING (plant_id)"),
+    "integrity_plants_without_run": on(REGISTRY, "SELECT DISTINCT p.plant_id FROM plants p ANTI JOIN operating_runs r USING (plant_id)"),
     "integrity_foreign_dataset_runs": on(REGISTRY, "SELECT run_id, dataset_id FROM operating_runs WHERE dataset_id <> '1-URGENT'"),
     "integrity_broken_run_rows": on(REGISTRY, """
         SELECT * FROM (SELECT run_id, NOT coalesce(isfinite(start_time_s) AND end_time_s >= start_time_s AND sampling_period_s > 0 AND n_samples > 0, false) AS impossible_extent,
@@ -328,11 +369,17 @@ SQL = {
         WHERE event_id % 500 = 0 AND event_id // 500 % 4 = k""",
     "ingest_twice": on(EVENT_LOG, "SELECT 'first' AS pass, 'ingested' AS status, count(*) AS n_runs FROM operating_runs UNION ALL SELECT 'again', 'already_present', count(*) FROM operating_runs"),
     "ingest_stored_rows": on(EVENT_LOG, " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in SCHEMAS)),
-    "ingest_quality_by_run": on(PLANTED, """
-        SELECT run_id, 'gaps' AS branch, count(*) AS n_findings FROM (SELECT run_id, sample_index - lag(sample_index) OVER (PARTITION BY run_id, sensor_id ORDER BY sample_index) AS step FROM measurements) WHERE step > 1 GROUP BY run_id
-        UNION ALL SELECT run_id, 'missing_channels', count(*) FROM (SELECT DISTINCT plant_id, run_id, sample_index FROM measurements) t JOIN sensors s USING (plant_id)
-          ANTI JOIN measurements m ON m.run_id = t.run_id AND m.sample_index = t.sample_index AND m.sensor_id = s.sensor_id GROUP BY run_id
-        UNION ALL SELECT run_id, 'quality_flags', count(*) FROM (SELECT DISTINCT run_id, sensor_id, quality_flag FROM measurements WHERE coalesce(quality_flag, 1) <> 0) GROUP BY run_id"""),
+    "ingest_quality_by_run": on(PLANTED, " UNION ALL ".join(f"SELECT run_id, '{n}' AS branch, count(*) AS n_findings FROM ({_MEASURED[n]}) GROUP BY run_id" for n in _PROFILED) + """
+        UNION ALL SELECT run_id, 'unknown_channels', count(DISTINCT sensor_id) FROM measurements ANTI JOIN sensors USING (sensor_id) GROUP BY run_id
+        UNION ALL SELECT run_id, 'absent_measurements', count(*) FROM (SELECT plant_id, run_id, sensor_id, quality_flag, bool_or(value IS NULL OR quality_flag IS NULL OR trim(sensor_id) = '') AS lacks
+          FROM measurements GROUP BY ALL) WHERE lacks GROUP BY run_id"""),
+    "digest_of_runs": on(EVENT_LOG, _RUN_DIGESTS),
+    "digest_of_tables": on(REGISTRY, " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, * FROM ({_digest_sql(t, [(f.name, f.dataType.simpleString()) for f in SCHEMAS[t].fields], f'{digests.TABLE_ENCODING} {t}')})" for t in SCHEMAS if t != "measurements")),
+    "store_manifest_runs": on(EVENT_LOG, f"""SELECT run_id, plant_id, d.n_rows AS "rows", n_samples, start_time_s, end_time_s, sampling_period_s, d.content_sha256 FROM operating_runs r JOIN ({_RUN_DIGESTS}) d USING (run_id)"""),
+    "ingest_stored_counts": on(PLANTED, "SELECT run_id, staged, stored FROM (SELECT run_id, count(*) AS staged FROM long GROUP BY run_id) LEFT JOIN (SELECT run_id, count(*) AS stored FROM measurements GROUP BY run_id) USING (run_id) WHERE staged IS DISTINCT FROM stored"),
+    "report_first_per_check": on(PLANTED, "SELECT branch, item FROM (SELECT *, row_number() OVER (PARTITION BY branch ORDER BY item NULLS FIRST) AS k FROM (" + " UNION ALL ".join(
+        f"SELECT '{n}' AS branch, {item} AS item FROM ({_MEASURED[n]})" for n, item in _ITEMS.items()) + ")) WHERE k <= 7"),
     "store_publish": "SELECT * FROM (VALUES (0::BIGINT, 'created'), (1, 'already_present'), (2, 'conflict')) v(attempt, status)",
     "store_read_published": on(EVENT_LOG, "SELECT * FROM measurements"),
     "store_published_files": "SELECT * FROM (VALUES ('missing', true), ('unexpected', true)) v(problem, present)",
