@@ -1,10 +1,15 @@
 import json
+import math
+import random
+import struct
 import uuid
 
 import pytest
 from plants import NORTH, SOUTH, altered, doubled, log, without
+from pyspark.sql import functions as F
 
 from tickweave.contract import SCHEMAS, Tables, units_dimension
+from tickweave.functions import encoding
 from tickweave.operators import digests, ingest, integrity, leakscan, report
 from tickweave.session import shared_folder
 from tickweave.sources import store
@@ -162,3 +167,53 @@ def test_a_verdict_needs_every_check(spark):
     assert report.verdict(report.checks({"a": empty, "b": empty}), 2).collect()[0]["ok"]
     assert not report.verdict(report.checks({"a": empty, "b": one}), 2).collect()[0]["ok"]
     assert not report.verdict(report.checks({"a": empty}), 2).collect()[0]["ok"]
+
+
+def test_text_of_doubles_is_their_mantissa_and_exponent(spark):
+    rng = random.Random(8)
+    values = [1.0, -1.5, 5e-324, -5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.7976931348623157e308, 0.1, 2.0**52, 2.0**53, 2.0**53 - 1, 1 - 2.0**-53, 1 + 2.0**-52, 3e-310]
+    values += [struct.unpack("d", rng.randbytes(8))[0] for _ in range(2000)] + [2.0**e for e in range(-1074, 1024, 7)] + [math.nextafter(2.0**e, 0) for e in range(-1022, 1024, 7)]
+    values = [v for v in values if v and math.isfinite(v)]
+    made = spark.createDataFrame([(v,) for v in values], "x double").select("x", encoding.mantissa_exponent(F.col("x")).alias("t")).collect()
+    for r in made:
+        m, e = math.frexp(r.x)
+        assert r.t == f"{int(m * 2**53)}p{e - 53}"
+    special = spark.createDataFrame([(v,) for v in (0.0, -0.0, math.inf, -math.inf, math.nan, None)], "x double")
+    assert [r.t for r in special.select(encoding.encoded(special.schema["x"]).alias("t")).collect()] == ["F0.0", "F-0.0", "Finf", "F-inf", "Fnan", "N"]
+
+
+def test_a_batch_whose_stored_rows_are_not_those_written_is_not_listed(spark, monkeypatch):
+    tables, root = log(spark), folder(spark)
+    assert store.write_counted(tables.sensors, f"{root}/counted") == tables.sensors.count() and not store.write_counted(tables.sensors.limit(0), f"{root}/none")
+    real = store.Observation
+
+    class OneMore(real):
+        @property
+        def get(self):
+            return {"n_rows": super().get["n_rows"] + 1}
+
+    monkeypatch.setattr(store, "Observation", OneMore)
+    with pytest.raises(ValueError, match="were written and"):
+        store.append(tables, root, "first")
+    assert not store.exists(spark, f"{root}/batches/first")
+
+
+def test_runs_with_other_rows_than_staged_are_told(spark):
+    tables = log(spark)
+    lost = tables.with_(measurements=tables.measurements.where("NOT (sample_index = 2 AND plant_id = 'south')"))
+    assert {r.staged - r.stored for r in ingest.stored_counts(tables, lost).collect()} == {6} and not ingest.stored_counts(tables, tables).count()
+
+
+def test_nothing_in_the_gate_is_checkpointed_and_columns_are_pruned(spark):
+    offered = ingest.staged(log(spark))
+    plan = offered.measurements.groupBy("run_id").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Scan parquet" in plan and "ReadSchema: struct<run_id:string>" in plan and "ExistingRDD" not in plan
+
+
+def test_the_first_findings_of_a_check_are_limited_before_the_exchange(spark):
+    one = [("duplicates", f"item {i:05d}", "p") for i in range(3000)] + [("gaps", "only", "p")]
+    found = ingest.first_per_check(spark.createDataFrame([(b, p, i, None) for b, i, p in one], "branch string, problem string, item string, detail string"), 3)
+    assert sorted(r.item for r in found.collect()) == ["item 00000", "item 00001", "item 00002", "only"]
+    plan = found._jdf.queryExecution().executedPlan().toString().splitlines()
+    limits = [i for i, line in enumerate(plan) if "WindowGroupLimit" in line]
+    assert limits[0] < next(i for i, line in enumerate(plan) if "Exchange" in line) < limits[-1]
