@@ -1,5 +1,6 @@
 import math
 import random
+import statistics
 
 import pytest
 from plants import NORTH, SOUTH, log, without
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from tickweave.functions import scalars as S
 from tickweave.operators import series
 from tickweave.plans.bands import Bands, Neighbourhood
+from tickweave.plans import medians
 from tickweave.plans.medians import grouped_median
 
 
@@ -110,7 +112,27 @@ def test_exact_medians_of_uneven_groups(spark):
     rng = random.Random(3)
     data = [("a", float(rng.randint(0, 50))) for _ in range(3001)] + [("b", rng.gauss(0, 1)) for _ in range(500)] + [("c", 1e308), ("c", 1.2e308), ("d", 7.0)] + [("e", 2.0)] * 900
     found = {r["k"]: r["median"] for r in grouped_median(spark.createDataFrame(data, "k string, v double"), ["k"], "v").collect()}
-    import statistics
     for k in "abde":
         assert found[k] == pytest.approx(statistics.median([v for g, v in data if g == k]), abs=1e-15)
     assert found["c"] == 1.1e308
+
+
+def test_medians_are_narrowed_to_few_values_however_large_a_group(spark):
+    rng = random.Random(12)
+    data = [("hot", rng.gauss(0, 1e6)) for _ in range(30_000)] + [("ties", float(rng.randint(0, 3))) for _ in range(5000)] + [("even", float(k)) for k in range(1000)]
+    data += [(f"g{k % 90}", rng.random()) for k in range(20_000)] + [("half", v) for v in [1.0] * 500 + [2.0 + k for k in range(500)]] + [("gone", None)]
+    frame = spark.createDataFrame(data, "k string, v double")
+    groups = {}
+    for k, v in data:
+        if v is not None:
+            groups.setdefault(k, []).append(v)
+    for most, cells in ((100, 16), (3, 4), (1 << 16, 64)):
+        assert {r["k"]: r["median"] for r in medians.grouped_median(frame, ["k"], "v", most=most, cells=cells).collect()} == {k: statistics.median(v) for k, v in groups.items()}
+
+
+def test_a_round_of_narrowing_leaves_a_fixed_share_of_a_group(spark):
+    for n in (2000, 40_000):
+        counted = spark.range(n).select(medians.F.lit("hot").alias("k"), (medians.F.col("id") * 1.5).alias("v"), medians.F.lit(1).alias("_n"))
+        brackets = spark.createDataFrame([("hot", n, 0, n, 0.0, 1.5 * n)], "k string, _size long, _below long, _values long, _from double, _to double")
+        one = medians.narrowed(counted, brackets, ["k"], "v", 32).first()
+        assert one["_values"] <= n / 8 and one["_from"] <= 1.5 * (n - 1) / 2 <= one["_to"] and one["_below"] == one["_from"] / 1.5
