@@ -6,29 +6,46 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def mantissa_exponent(x: Column) -> Column:
-    """Text of a double that is neither zero nor infinite nor NaN. The logarithm only has to be right to the next
-    integer; the mantissa is scaled in two steps, as one power of two can leave the range of doubles."""
-    size = F.abs(x)
-    guess = F.floor(F.log2(size))
-    first = F.floor((F.lit(52) - guess) / 2)
-    scaled = size * F.pow(F.lit(2.0), first) * F.pow(F.lit(2.0), F.lit(52) - guess - first)
+def _guess(x: Column) -> Column:
+    return F.floor(F.log2(F.abs(x)))
+
+
+def _scaled(x: Column, guess: Column) -> Column:
+    """By a shift for sizes from 2**-10 to 2**52; else in two steps, as one power of two can leave the range of doubles."""
+    by = F.lit(52) - guess
+    first = F.floor(by / 2)
+    shifted = F.call_function("shiftleft", F.lit(1).cast("long"), by.cast("int")).cast("double")
+    return F.abs(x) * F.when(by.between(0, 62), shifted).otherwise(F.pow(F.lit(2.0), first)) * F.when(by.between(0, 62), 1.0).otherwise(F.pow(F.lit(2.0), by - first))
+
+
+def mantissa_exponent(x: Column, guess: Column, scaled: Column) -> Column:
+    """Text of a double that is neither zero nor infinite nor NaN. ``guess`` only has to be right to the next integer."""
     shift = F.when(scaled >= float(1 << 53), 1).when(scaled < float(1 << 52), -1).otherwise(0)
-    whole = F.when(shift == 1, scaled / 2).when(shift == -1, scaled * 2).otherwise(scaled).cast("long")
+    whole = F.when(scaled >= float(1 << 53), scaled / 2).when(scaled < float(1 << 52), scaled * 2).otherwise(scaled).cast("long")
     return F.concat(F.when(x < 0, "-").otherwise(""), whole.cast("string"), F.lit("p"), (guess + shift - 52).cast("string"))
 
 
+def texted(df: DataFrame, keys: Sequence[str], columns: Sequence[str], name: str, more: Sequence[str] = ()) -> DataFrame:
+    """``keys`` and the canonical text of ``columns``, followed by the texts in ``more``. What the text of a double needs several
+    times is a column of its own first, so that it is worked out once."""
+    doubles = [c for c in columns if isinstance(df.schema[c].dataType, T.DoubleType | T.FloatType)]
+    x = {c: F.col(f"`{c}`").cast("double") for c in doubles}
+    rows = df.select("*", *[_guess(x[c]).alias(f"_guess_{c}") for c in doubles])
+    rows = rows.select("*", *[_scaled(x[c], F.col(f"`_guess_{c}`")).alias(f"_scaled_{c}") for c in doubles])
+    return rows.select(*keys, F.concat_ws(",", *[encoded(df.schema[c]) for c in columns], *more).alias(name))
+
+
 def encoded(field: T.StructField) -> Column:
     c = F.col(f"`{field.name}`")
     if isinstance(field.dataType, T.DoubleType | T.FloatType):
         x = c.cast("double")
         special = F.when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf").when(x == 0.0, x.cast("string"))
-        text = F.concat(F.lit("F"), F.coalesce(special, mantissa_exponent(x)))
+        text = F.concat(F.lit("F"), F.coalesce(special, mantissa_exponent(x, F.col(f"`_guess_{field.name}`"), F.col(f"`_scaled_{field.name}`"))))
     elif isinstance(field.dataType, T.IntegralType):
         text = F.concat(F.lit("I"), c.cast("string"))
     elif isinstance(field.dataType, T.StringType):
@@ -36,8 +53,3 @@ def encoded(field: T.StructField) -> Column:
     else:
         raise TypeError(f"no canonical encoding for {field.name}: {field.dataType.simpleString()}")
     return F.coalesce(text, F.lit("N"))
-
-
-def row_hash(schema: T.StructType, columns: Sequence[str]) -> Column:
-    texts = [encoded(schema[c]) for c in columns]
-    return F.sha2(F.concat_ws(",", *texts).cast("binary"), 256)

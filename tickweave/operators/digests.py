@@ -1,9 +1,9 @@
 """Content identity. The digest of a set of rows is the SHA-256 of the number of rows and of
 the sums of the words of their hashes: each row is hashed by itself (SHA-256 of its canonical
-text), the first 240 bits of the hash are twelve words of twenty bits, and the words are
+text), its first sixty hexadecimal digits, a to f read as 0 to 5, are twelve words of five decimal digits, and the words are
 summed over the rows. A sum does not depend on order, files or partitions, counts repeated rows, and merges:
 every task adds up its own rows and sends one row per run, however long the run is. The sums
-are exact in 64 bits for up to 2**43 rows to a run. Text, hashes and sums are plain enough for another engine to
+are exact in 64 bits for up to 2**46 rows to a run. Text, hashes and sums are plain enough for another engine to
 work out the same digest, which the SQL of the registered queries does.
 
 The digest tells content apart that changed by accident or by a new version. It is not a
@@ -19,20 +19,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickweave.contract import SCHEMAS, Tables
-from tickweave.functions.encoding import row_hash
+from tickweave.functions.encoding import texted
 from tickweave.functions.scalars import differs
 
 TABLE_ENCODING, RUN_ENCODING = "table-rows/v2", "run-rows/v2"
-WORDS, DIGITS = 12, 5  # words of a row hash, hexadecimal digits of each
+ROW_COLUMNS = ("plant_id", "quality_flag", "sample_index", "sensor_id", "time_s", "value")
+CHANNEL_COLUMNS = ("channel_index", "channel_kind", "noise_model", "noise_std", "sampling_period_s", "unit", "variable_name")
+WORDS, DIGITS = 12, 5  # words of a row hash, digits of each
 
 
-def rows_digest(df: DataFrame, keys: Sequence[str], columns: Sequence[str], header: str) -> DataFrame:
-    """One digest per ``keys`` over ``columns``: one pass, one partial aggregate."""
+def rows_digest(df: DataFrame, keys: Sequence[str], columns: Sequence[str], header: str, more: Sequence[str] = ()) -> DataFrame:
+    """One digest per ``keys`` over ``columns`` and the texts in ``more``: one pass, one partial aggregate."""
     keys = list(keys)
-    hashed = df.select(*keys, row_hash(df.schema, columns).alias("_row"))
-    words = [F.conv(F.substring("_row", DIGITS * i + 1, DIGITS), 16, 10).cast("long") for i in range(WORDS)]
+    rows = texted(df, keys, columns, "_text", more).select(*keys, F.translate(F.sha2(F.col("_text").cast("binary"), 256), "abcdef", "012345").alias("_row"))
+    # three words are read at a time
+    rows = rows.select(*keys, *[F.substring("_row", 3 * DIGITS * i + 1, 3 * DIGITS).cast("long").alias(f"_t{i}") for i in range(WORDS // 3)])
+    one = 10**DIGITS
+    words = [F.expr(f"_t{i} div {one ** k}L % {one}L") for i in range(WORDS // 3) for k in (2, 1, 0)]
     names = [f"_w{i}" for i in range(WORDS)]
-    summed = hashed.groupBy(*keys).agg(
+    summed = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_rows"), *[F.coalesce(F.sum(w), F.lit(0)).alias(n) for n, w in zip(names, words, strict=True)]
     )
     parts = [F.lit(header), F.col("n_rows").cast("string"), *[F.col(n).cast("string") for n in names]]
@@ -40,14 +45,11 @@ def rows_digest(df: DataFrame, keys: Sequence[str], columns: Sequence[str], head
 
 
 def run_digests(tables: Tables) -> DataFrame:
-    """Digest of the content of every run: its rows with the position, unit and noise of
-    their channels. Where a row is stored or who stored it does not enter."""
-    channels = tables.sensors.select(
-        "sensor_id", "variable_name", "channel_kind", "channel_index", "unit", "noise_model", "noise_std", "sampling_period_s"
-    )
+    """Digest of the content of every run: its rows with the position, unit and noise of their channels, whose text is
+    worked out once a channel. Where a row is stored or who stored it does not enter."""
+    channels = texted(tables.sensors, ["sensor_id"], CHANNEL_COLUMNS, "_channel")
     rows = tables.measurements.join(channels, "sensor_id", "left")
-    columns = [c for c in rows.columns if c != "run_id"]
-    return rows_digest(rows, ["run_id"], sorted(columns), RUN_ENCODING)
+    return rows_digest(rows, ["run_id"], ROW_COLUMNS, RUN_ENCODING, ["_channel"])
 
 
 def table_digests(tables: Tables) -> DataFrame:

@@ -258,13 +258,13 @@ def _encoded_sql(name, kind):
 def _digest_sql(source, columns, header, keys=()):
     """The digest of the rows of ``source`` by ``keys``, from its definition."""
     text = " || ',' || ".join(_encoded_sql(n, k) for n, k in columns)
-    words = [f"coalesce(sum(('0x' || substr(h, {digests.DIGITS * i + 1}, {digests.DIGITS}))::BIGINT), 0)::VARCHAR" for i in range(digests.WORDS)]
+    words = [f"coalesce(sum(substr(h, {digests.DIGITS * i + 1}, {digests.DIGITS})::BIGINT), 0)::VARCHAR" for i in range(digests.WORDS)]
     by = "".join(f"{k}, " for k in keys)
-    return f"SELECT {by}count(*) AS n_rows, sha256(concat_ws(chr(10), '{header}', count(*)::VARCHAR, {', '.join(words)})) AS content_sha256 FROM (SELECT {by}sha256({text}) AS h FROM {source})" + (f" GROUP BY {', '.join(keys)}" if keys else "")
+    return f"SELECT {by}count(*) AS n_rows, sha256(concat_ws(chr(10), '{header}', count(*)::VARCHAR, {', '.join(words)})) AS content_sha256 FROM (SELECT {by}translate(sha256({text}), 'abcdef', '012345') AS h FROM {source})" + (f" GROUP BY {', '.join(keys)}" if keys else "")
 
 
 _KIND_OF = {f.name: f.dataType.simpleString() for name in ("sensors", "measurements") for f in SCHEMAS[name].fields}
-_RUN_COLUMNS = sorted([c for c in SCHEMAS["measurements"].names if c != "run_id"] + ["variable_name", "channel_kind", "channel_index", "unit", "noise_model", "noise_std", "sampling_period_s"])
+_RUN_COLUMNS = digests.ROW_COLUMNS + digests.CHANNEL_COLUMNS
 _RUN_ROWS = "(SELECT m.*, s.* EXCLUDE (sensor_id, plant_id) FROM measurements m LEFT JOIN sensors s USING (sensor_id))"
 _RUN_DIGESTS = _digest_sql(_RUN_ROWS, [(c, _KIND_OF[c]) for c in _RUN_COLUMNS], digests.RUN_ENCODING, ("run_id",))
 _PROFILED = ("unknown_runs", "foreign_run_rows", "foreign_channel_rows", "infinite_values", "infinite_times", "run_channel_periods", "quality_flags", "row_counts", "tick_ranges", "gaps",
