@@ -174,15 +174,16 @@ def test_text_of_doubles_is_their_mantissa_and_exponent(spark):
     values = [1.0, -1.5, 5e-324, -5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.7976931348623157e308, 0.1, 2.0**52, 2.0**53, 2.0**53 - 1, 1 - 2.0**-53, 1 + 2.0**-52, 3e-310]
     values += [struct.unpack("d", rng.randbytes(8))[0] for _ in range(2000)] + [2.0**e for e in range(-1074, 1024, 7)] + [math.nextafter(2.0**e, 0) for e in range(-1022, 1024, 7)]
     values = [v for v in values if v and math.isfinite(v)]
+
     def texts(rows):
         frame = spark.createDataFrame([(v,) for v in rows], "x double")
-        x, guess, scaled = F.col("x"), F.col("_guess_x"), F.col("_scaled_x")
+        x, guess = F.col("x"), F.col("_guess_x")
         staged = frame.withColumn("_guess_x", encoding._guess(x)).withColumn("_scaled_x", encoding._scaled(x, guess))
-        return staged.select("x", encoding.mantissa_exponent(x, guess, scaled).alias("m"), encoding.encoded(frame.schema["x"]).alias("t")).collect()
+        return staged.select("x", encoding.encoded(frame.schema["x"]).alias("t")).collect()
 
     for r in texts(values):
         m, e = math.frexp(r.x)
-        assert r.m == f"{int(m * 2**53)}p{e - 53}" and r.t == "F" + r.m
+        assert r.t == f"F{int(m * 2**53)}p{e - 53}"
     assert [r.t for r in texts([0.0, -0.0, math.inf, -math.inf, math.nan, None])] == ["F0.0", "F-0.0", "Finf", "F-inf", "Fnan", "N"]
 
 
