@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tickweave.llm import jaccard
@@ -52,3 +54,34 @@ def test_one_of_each_group_stays(spark):
     docs = spark.createDataFrame([(4, text, "a"), (2, text + " more", "b"), (9, None, "c"), (9, None, "c"), (None, text, "d")], "doc_id long, text string, label string")
     assert sorted(map(tuple, jaccard.first_of_groups(docs).select("doc_id", "label").collect()), key=str) == [(2, "b"), (9, "c"), (9, "c"), (None, "d")]
     assert jaccard.first_of_groups(docs.limit(0)).count() == 0
+
+
+def _of_one_list(n):
+    """Sets that share one element and nothing else."""
+    draw = random.Random(5)
+    sets = [sorted({1, *(draw.getrandbits(63) for _ in range(60))}) for _ in range(n)]
+    return [(i, np.array(s, np.uint64)) for i, s in enumerate(sets)]
+
+
+def test_pairs_of_one_element_grow_linearly():
+    for n in (500, 5000):
+        sets = _of_one_list(n)
+        table = pa.table({
+            "element": np.ones(n, np.int64), "set": np.arange(n), "size": np.array([len(s) for _, s in sets]), "at": np.zeros(n, np.int64), "grp": np.arange(n),
+            "parity": pa.array([jaccard._parity(s) for _, s in sets], pa.binary()),
+        })
+        assert sum(b.num_rows for b in jaccard._pairs_of(table, 80)) <= n // 100
+
+
+@pytest.mark.parametrize("outside", [3, 1024])
+def test_a_list_of_many_groups_is_split_by_second_elements(spark, monkeypatch, outside):
+    """Texts of which all share an opening, and pairs of which are near copies; lists of over 64 sets, split and whole."""
+    monkeypatch.setattr(jaccard, "_OUTSIDE", outside)
+    draw = random.Random(8)
+    opening = [f"o{i}" for i in range(40)]
+    rows = []
+    for i in range(150):
+        words = opening + [f"x{draw.randint(0, 10**6)}" for _ in range(draw.choice([4, 9, 15]))]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words + ["end"] * draw.randint(0, 3)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(map(tuple, jaccard.groups(docs).collect()), key=str) == by_hand(rows, 5, 80)

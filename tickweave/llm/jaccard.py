@@ -9,9 +9,12 @@ overlap, given how many elements it has left from its place on; the rest is skip
 Answer-level skipping: the members of a list are first held against one hub. A set that is linked with the hub has the
 hub's answers: it shares its group, and no pair within a group is looked at again. A second round takes only pairs of
 sets in different groups, so large groups of near copies cost one comparison a member and list, not all pairs.
+A list with many sets outside its largest group is split: two linked sets share their first two common elements within
+prefixes that are one longer, so the list is dealt anew by its sets' second elements.
 
-Before the sets of a pair are fetched, the parities of their elements in a few hundred cells bound from below in how
-many elements they differ; only pairs within the bound travel.
+The parities of a set's elements in a few hundred cells bound from below in how many elements two sets differ. In the
+second round they come with the entries of lists, so pairs too far apart end inside the task, before anything is joined;
+and in both rounds only pairs within the bound have their sets fetched.
 
 Equal sets are one node (known by a 64-bit digest and the size), so exact copies are not compared at all.
 
@@ -33,8 +36,12 @@ from .spark_tools import written
 from .textbytes import SPACED_LOWER, U, Powers, mixed, slices, utf8, words
 
 SHINGLE, PERCENT = 5, 80
-#: Cells of the count of elements, and how many times the mean (and how many at least) make one overfull.
-_CELL_BITS, _OVERFULL, _LEAST = 20, 4, 64
+#: Cells of the count of elements, and how many standard deviations of a chance count, and elements more, make one overfull.
+_CELL_BITS, _OVERFULL, _LEAST = 20, 6, 64
+#: Pairs whose parities are compared at once.
+_AT_ONCE = 1 << 16
+#: Sets outside its largest group that a list may have before it is split by second elements; a million comparisons take a task under a second.
+_OUTSIDE = 1024
 _PARTS, _SEEN_BITS = 16, 23
 #: Hubs, the nearest by parities, that a set is held against in the first round.
 _HUBS, _DRAWS = 8, 16
@@ -65,22 +72,51 @@ def _survey(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatc
             if sizes.sum():
                 np.add.at(cells, (np.concatenate(sets) >> U(64 - _CELL_BITS)).astype(np.int64), 1)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(digests, pa.int64(), mask=sizes == 0), pa.array([_parity(x) for x in sets], pa.binary()), pa.nulls(b - a, pa.int32()), pa.nulls(b - a, pa.binary())],
-                names=["doc_id", "n_shingles", "set", "parity", "part", "cells"],
+                [batch.column(0).slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(digests, pa.int64(), mask=sizes == 0), pa.array([_parity(x) for x in sets], pa.binary()), pa.array([_parity(x, 1, 12) for x in sets], pa.binary()), pa.nulls(b - a, pa.int32()), pa.nulls(b - a, pa.binary())],
+                names=["doc_id", "n_shingles", "set", "parity", "brief", "part", "cells"],
             )
     parts = [(i, np.minimum(c, 65535).astype(np.uint16).tobytes()) for i, c in enumerate(np.split(cells, _PARTS)) if c.any()]
     yield pa.RecordBatch.from_arrays(
-        [*(pa.nulls(len(parts), pa.int64()) for _ in range(3)), pa.nulls(len(parts), pa.binary()), pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.binary())],
-        names=["doc_id", "n_shingles", "set", "parity", "part", "cells"],
+        [*(pa.nulls(len(parts), pa.int64()) for _ in range(3)), *(pa.nulls(len(parts), pa.binary()) for _ in range(2)), pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.binary())],
+        names=["doc_id", "n_shingles", "set", "parity", "brief", "part", "cells"],
     )
 
 
-def _parity(elements: np.ndarray) -> bytes:
-    """For each of about two cells an element, whether it holds an odd number of elements."""
-    cells = 1 << min(15, max(6, int(2 * len(elements)).bit_length()))
+def _parity(elements: np.ndarray, an_element: int = 2, most: int = 15) -> bytes:
+    """For each of about so many cells an element, 2 to the power of ``most`` at most, whether it holds an odd number of elements."""
+    cells = 1 << min(most, max(6, int(an_element * len(elements)).bit_length()))
     return np.packbits(np.bincount((elements & U(cells - 1)).astype(np.int64), minlength=cells) & 1, bitorder="little").tobytes()
 
 
+class _Parities:
+    """Parities of the entries of lists, each folded to all shorter lengths as well, so that two can be compared."""
+
+    def __init__(self, column: pa.ChunkedArray) -> None:
+        data, offsets = utf8(column)
+        self.bytes = np.diff(offsets)
+        self.rows, self.place = {}, {}
+        longer, kept = np.zeros((0, 0), np.uint64), np.zeros(0, np.int64)
+        for size in sorted(set(self.bytes.tolist()), reverse=True):
+            while len(kept) and longer.shape[1] * 8 > size:
+                longer = longer[:, : longer.shape[1] // 2] ^ longer[:, longer.shape[1] // 2 :]
+            own = np.flatnonzero(self.bytes == size)
+            new = data[offsets[own][:, None] + np.arange(size)].view(np.uint64)
+            longer, kept = (np.concatenate([longer, new]) if len(kept) else new), np.concatenate([kept, own])
+            place = np.zeros(len(self.bytes), np.int64)
+            place[kept] = np.arange(len(kept))
+            self.rows[size], self.place[size] = longer, place
+
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """In how many cells the entries of each pair (i, j) differ."""
+        out, shorter = np.zeros(len(i), np.int64), np.minimum(self.bytes[i], self.bytes[j])
+        for size in np.unique(shorter).tolist():
+            chosen = np.flatnonzero(shorter == size)
+            for some in np.array_split(chosen, -(-len(chosen) // _AT_ONCE)):
+                x, y = (self.rows[size][self.place[size][k[some]]] for k in (i, j))
+                out[some] = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+        return out
+
+
 def _possible(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Pairs whose parities differ in no more cells than the sets may differ in elements, with the share of these."""
     for batch in batches:
@@ -105,7 +141,7 @@ def _merged_cells(table: pa.Table, size, joined) -> pa.Table:
 
 
 def _entries(batches: Iterator[pa.RecordBatch], n: int, percent: int, last: np.ndarray, groups: int) -> Iterator[pa.RecordBatch]:
-    """Prefix elements by group of elements: each with its set, the set's size and its place."""
+    """Prefix elements, and one more, by group of elements: each with its set, the set's size and its place."""
     powers = Powers()
     for batch in batches:
         data, offsets = utf8(batch.column(0))
@@ -115,7 +151,7 @@ def _entries(batches: Iterator[pa.RecordBatch], n: int, percent: int, last: np.n
             prefixes, sizes = [], []
             for s in (sets[i] for i in own.tolist()):
                 over = last[(s >> U(64 - _CELL_BITS)).astype(np.int64)]
-                prefixes.append(np.concatenate([s[~over], s[over]])[: len(s) - -(-percent * len(s) // 100) + 1] if len(s) else s)
+                prefixes.append(np.concatenate([s[~over], s[over]])[: len(s) - -(-percent * len(s) // 100) + 2] if len(s) else s)
                 sizes.append(len(s))
             lengths = np.array([len(p) for p in prefixes])
             if not lengths.sum():
@@ -187,6 +223,7 @@ def _pairs_of(table: pa.Table, percent: int, most: int = 1 << 20) -> Iterator[pa
     if not table.num_rows:
         return
     element, own, size, at, group = (table[c].to_numpy() for c in ("element", "set", "size", "at", "grp"))
+    parities = _Parities(table["parity"])
     # an overlap needs at least percent / (100 + percent) of both sizes: the longest partner that what is left allows
     longest = np.minimum(100 * size // percent, (100 + percent) * (size - at) // percent - size)
     heads = np.flatnonzero(np.append(True, element[1:] != element[:-1]))
@@ -201,7 +238,8 @@ def _pairs_of(table: pa.Table, percent: int, most: int = 1 << 20) -> Iterator[pa
         n = reach[cut]
         i = np.repeat(short[cut], n)
         j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
-        yield _told(own, i, j, (group[i] != group[j]) & (longest[j] >= size[i]))
+        stay = (group[i] != group[j]) & (longest[j] >= size[i])
+        yield _told(own, size, parities, i[stay], j[stay], percent)
     for head, n in zip(heads[several & (counts > 64)].tolist(), counts[several & (counts > 64)].tolist(), strict=True):
         span = slice(head, head + n)
         _, which, sizes = np.unique(group[span], return_inverse=True, return_counts=True)
@@ -210,10 +248,14 @@ def _pairs_of(table: pa.Table, percent: int, most: int = 1 << 20) -> Iterator[pa
             to = head + int(np.searchsorted(size[span], longest[i], "right"))
             low = head + int(np.searchsorted(size[span], -(-percent * size[i] // 100)))
             j = np.arange(low, to)
-            yield _told(own, np.full(len(j), i), j, (group[j] != group[i]) & (longest[j] >= size[i]) & ((j > i) | ~small[j - head]))
+            j = j[(group[j] != group[i]) & (longest[j] >= size[i]) & ((j > i) | ~small[j - head])]
+            if len(j):
+                yield _told(own, size, parities, np.full(len(j), i), j, percent)
 
 
-def _told(own: np.ndarray, i: np.ndarray, j: np.ndarray, stay: np.ndarray) -> pa.RecordBatch:
+def _told(own: np.ndarray, size: np.ndarray, parities: _Parities, i: np.ndarray, j: np.ndarray, percent: int) -> pa.RecordBatch:
+    i, j = (x[100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j])] for x in (i, j))
+    stay = (100 + percent) * parities.apart(i, j) <= (100 - percent) * (size[i] + size[j])
     x, y = own[i[stay]], own[j[stay]]
     pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0) if len(x) else np.zeros((0, 2), np.int64)
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
@@ -276,17 +318,30 @@ def components(links: DataFrame) -> DataFrame:
         labels = labels.drop("old")
 
 
+def _mixed(grouped: DataFrame, prefix: str, percent: int) -> DataFrame:
+    """Entries of lists that have sets of several groups; those with many outside the largest group are split by second elements."""
+    per = grouped.groupBy("element", "grp").agg(F.count("*").alias("n")).groupBy("element").agg((F.sum("n") - F.max("n")).alias("outside"))
+    mixed = grouped.where(f"at < {prefix}").join(per.where("outside > 0"), "element")
+    # sets so small that one common element makes a link have no second one
+    plain = mixed.where(f"outside <= {_OUTSIDE} or size * {percent} <= 100").drop("outside")
+    second = grouped.select("set", F.col("element").alias("then"), F.col("at").alias("later"))
+    split = mixed.where(f"outside > {_OUTSIDE}").join(second, "set").where("later > at")
+    return plain.union(split.select(F.xxhash64("element", "then").alias("element"), "set", "size", F.expr("later - 1").alias("at"), "grp"))
+
+
 def groups(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, group_entries: int = GROUP_ENTRIES) -> DataFrame:
     """For each row of ``docs`` (doc_id, text): doc_id, n_shingles and component_id, the smallest doc_id it is linked with directly or on a way."""
     texts = docs.select("text").where("text is not null")
-    survey = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda b: _survey(b, n), "doc_id long, n_shingles long, set long, parity binary, part int, cells binary"), "survey")
-    rows = survey.where("part is null").drop("part", "cells", "parity")
+    survey = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda b: _survey(b, n), "doc_id long, n_shingles long, set long, parity binary, brief binary, part int, cells binary"), "survey")
+    rows = survey.where("part is null").drop("part", "cells", "parity", "brief")
     parities = survey.where("set is not null").groupBy("set").agg(F.first("parity").alias("parity"), F.first("n_shingles").alias("n"))
+    brief = survey.where("set is not null").groupBy("set").agg(F.first("brief").alias("parity"))
     counted = survey.where("part is not null").select("part", "cells").groupBy("part").applyInArrow(lambda t: _merged_cells(t, np.uint16, np.add), "part int, cells binary")
     cells = {r.part: np.frombuffer(r.cells, np.int64) for r in counted.collect()}
     cells = np.concatenate([cells.get(i, np.zeros((1 << _CELL_BITS) // _PARTS, np.int64)) for i in range(_PARTS)])
-    last = cells > _OVERFULL * cells.mean() + _LEAST
-    total = rows.agg(F.sum(F.expr(f"n_shingles - ceil({percent} * n_shingles / 100.0) + 1"))).first()[0] or 0
+    last = cells > cells.mean() + _OVERFULL * cells.mean() ** 0.5 + _LEAST
+    prefix = f"size - ceil({percent} * size / 100.0) + 1"
+    total = rows.agg(F.sum(F.expr(prefix.replace("size", "n_shingles")))).first()[0] or 0
     parts = -(-int(total) // group_entries) or 1
     entries = texts.mapInArrow(lambda b: _entries(b, n, percent, last, parts), "part int, blob binary")
     lists = written(entries.repartitionById(parts, "part").select("blob").mapInArrow(_lists, "element long, set long, size long, at long, hub long, hub_size long, drawn long, drawn_size long"), "lists")
@@ -297,8 +352,8 @@ def groups(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, group_entr
     pairs = written(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     links = written(_verified(texts, pairs, n, percent), "links")
     labels = components(links)
-    grouped = lists.join(labels.withColumnRenamed("node", "set"), "set", "left").select("element", "set", "size", "at", F.coalesce("label", "set").alias("grp"))
-    across = grouped.repartition("element").sortWithinPartitions("element", "size").mapInArrow(lambda b: _across(b, percent), "a long, b long").distinct()
+    grouped = written(lists.join(labels.withColumnRenamed("node", "set"), "set", "left").select("element", "set", "size", "at", F.coalesce("label", "set").alias("grp")), "grouped")
+    across = _mixed(grouped, prefix, percent).join(brief, "set").repartition("element").sortWithinPartitions("element", "size").mapInArrow(lambda b: _across(b, percent), "a long, b long").distinct()
     more = written(_close(across.join(pairs, ["a", "b"], "left_anti"), parities, percent).select("a", "b"), "pairs")
     if more.limit(1).count():
         # links between groups: their groups' labels are joined
