@@ -40,7 +40,7 @@ SHINGLE, PERCENT = 5, 80
 _CELL_BITS, _OVERFULL, _LEAST = 20, 6, 64
 #: Pairs whose parities are compared at once.
 _AT_ONCE = 1 << 16
-#: Sets outside its largest group that a list may have before it is split by second elements; a million comparisons take a task under a second.
+#: Sets outside its largest group that a list may have before it is split by second elements.
 _OUTSIDE = 1024
 _PARTS, _SEEN_BITS = 16, 23
 #: Hubs, the nearest by parities, that a set is held against in the first round.
