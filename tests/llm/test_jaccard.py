@@ -85,3 +85,11 @@ def test_a_list_of_many_groups_is_split_by_second_elements(spark, monkeypatch, o
         rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words + ["end"] * draw.randint(0, 3)))]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert sorted(map(tuple, jaccard.groups(docs).collect()), key=str) == by_hand(rows, 5, 80)
+
+
+def test_sets_built_to_collide_under_polynomials_differ(spark):
+    from test_substrings import thue_morse
+
+    rows = [(1, thue_morse(11, "a", "b")), (2, thue_morse(11, "b", "a")), (3, thue_morse(11, "A", "B"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, jaccard.groups(docs).collect())) == [(1, 1, 1), (2, 1, 2), (3, 1, 1)]

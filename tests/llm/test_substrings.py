@@ -56,3 +56,23 @@ def test_clean_keeps_other_columns_and_untouched_texts(spark):
     assert sorted(map(tuple, substrings.clean(docs).collect()), key=str) == [("a", text, 1), ("c", None, 3), (None, "x", 2)]
     assert substrings.clean(docs.limit(0)).columns == docs.columns
     assert substrings.clean(docs.limit(0)).count() == 0
+
+
+def thue_morse(k, a, b):
+    out = a
+    for _ in range(k):
+        out += out.translate(str.maketrans(a + b, b + a))
+    return out
+
+
+def test_words_built_to_collide_under_polynomials_differ(spark):
+    rest = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, f"{thue_morse(11, 'a', 'b')} {rest}"), (2, f"{thue_morse(11, 'b', 'a')} {rest}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r.n_removed for r in substrings.repeats_removed(docs).collect()] == [0, 0]
+
+
+def test_windows_built_to_collide_under_polynomials_differ(spark):
+    rows = [(i + 1, " ".join(thue_morse(11, a, b))) for i, (a, b) in enumerate(("ab", "ba"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r.n_removed for r in substrings.repeats_removed(docs, 2048).collect()] == [0, 0]

@@ -75,3 +75,11 @@ def test_one_phrase_before_many_texts_is_split(spark, monkeypatch, alone):
 def test_no_rows(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert suffixarrays.digest(suffixarrays.repeats_removed(docs)).count() == 0
+
+
+def test_pieces_built_to_collide_under_polynomials_differ(spark):
+    from test_substrings import thue_morse
+
+    rows = [(1, thue_morse(11, "a", "b")), (2, thue_morse(11, "b", "a"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r.n_removed for r in suffixarrays.repeats_removed(docs, 2048).collect()] == [0, 0]

@@ -7,7 +7,7 @@ priority, so the merge list bounds how many symbols have to be seen: ``Bpe.looka
 encoded through a window: tokens that end at least the lookahead before the window's end are stable and leave it, and the
 next window begins where they end. Frequent words are looked up in a bounded table.
 
-Nulls: a null text is encoded as an empty one, to no tokens. Repeated rows are answered one by one; other columns stay.
+Nulls: a null text is encoded as an empty one, to no tokens. Repeated rows are answered one by one; other columns, of any name, stay in ``row``.
 Characters are classed and lower-cased by Python's Unicode tables; code points that these don't assign yet may fall to another word.
 """
 
@@ -26,6 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .spark_tools import named, shape
 from .textbytes import slices, utf8
 
 VOCABULARY = "word_bpe_49k.json"
@@ -243,14 +244,14 @@ def _decode(batches: Iterator[pa.RecordBatch], bpe: Bpe, plain: bool) -> Iterato
 def encoded(docs: DataFrame, bpe: Bpe | None = None) -> DataFrame:
     """``row``, a struct of the columns of ``docs`` without its text, and ``ids``, little-endian unsigned 32-bit integers."""
     own = docs.sparkSession.sparkContext.broadcast(bpe or load())
-    rows = docs.select(F.struct(*(c for c in docs.columns if c != "text")).alias("row"), "text")
-    return rows.mapInArrow(lambda batches: _encode(batches, own.value), f"row {rows.schema['row'].dataType.simpleString()}, ids binary")
+    rows = docs.select(F.struct(*(named(c) for c in docs.columns if c != "text")).alias("row"), "text")
+    return rows.mapInArrow(lambda batches: _encode(batches, own.value), shape(rows.schema["row"], "ids binary"))
 
 
 def decoded(ids: DataFrame, bpe: Bpe | None = None, plain: bool = True) -> DataFrame:
     """``row``, ``ids`` and the text that the ids stand for."""
     own = ids.sparkSession.sparkContext.broadcast(bpe or load())
-    return ids.select("row", "ids").mapInArrow(lambda batches: _decode(batches, own.value, plain), f"row {ids.schema['row'].dataType.simpleString()}, ids binary, decoded string")
+    return ids.select("row", "ids").mapInArrow(lambda batches: _decode(batches, own.value, plain), shape(ids.schema["row"], "ids binary, decoded string"))
 
 
 def _both(batches: Iterator[pa.RecordBatch], bpe: Bpe) -> Iterator[pa.RecordBatch]:
@@ -262,8 +263,8 @@ def _both(batches: Iterator[pa.RecordBatch], bpe: Bpe) -> Iterator[pa.RecordBatc
 def transcoded(docs: DataFrame, bpe: Bpe | None = None) -> DataFrame:
     """``encoded`` and ``decoded`` in one pass: ``row``, ``ids`` and the text that the ids stand for."""
     own = docs.sparkSession.sparkContext.broadcast(bpe or load())
-    rows = docs.select(F.struct(*(c for c in docs.columns if c != "text")).alias("row"), "text")
-    return rows.mapInArrow(lambda batches: _both(batches, own.value), f"row {rows.schema['row'].dataType.simpleString()}, ids binary, decoded string")
+    rows = docs.select(F.struct(*(named(c) for c in docs.columns if c != "text")).alias("row"), "text")
+    return rows.mapInArrow(lambda batches: _both(batches, own.value), shape(rows.schema["row"], "ids binary, decoded string"))
 
 
 def digest(texts: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .spark_tools import named, shape
 from .textbytes import ALNUM_LOWER, U, Powers, Words, mixed, slices, utf8, words
 
 WINDOW = 10
@@ -151,13 +152,10 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pas
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     passes = -(-total // pass_bytes) or 1
-    key = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {key}, n_words long, hit_words array<int>, items array<string>"
     texts = docs.select("doc_id", "text")
     if passes > 1:
         texts = docs.select(F.struct("doc_id", F.xxhash64("text").alias("text"), F.monotonically_increasing_id().alias("row")).alias("doc_id"), "text")
-        schema = schema.replace(key, texts.schema["doc_id"].dataType.simpleString(), 1)
-    out = None
+    schema, out = shape(texts.schema["doc_id"], "n_words long, hit_words array<int>, items array<string>"), None
     for k in range(passes):
         found_by, ids = matchers([tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k).collect()], window)
         one = texts.mapInArrow(lambda batches, m=spark.sparkContext.broadcast((found_by, ids)): _search(batches, *m.value), schema)
@@ -183,6 +181,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFr
 
     The texts are searched with all their columns beside them, so no join with the answers is needed.
     """
-    names = docs.columns
-    kept = docs.select(F.struct(*names).alias("doc_id"), "text")
+    kept = docs.select(F.struct(*map(named, docs.columns)).alias("doc_id"), "text")
     return occurrences(kept, benchmark, window).where(F.size("hit_words") == 0).select("doc_id.*")

@@ -19,7 +19,8 @@ and in both rounds only pairs within the bound have their sets fetched.
 Equal sets are one node (known by a 64-bit digest and the size), so exact copies are not compared at all.
 
 Nulls: a null or empty text has no set and is linked with nothing, it is its own group. A row with a null doc_id takes
-part like others but never names a group; a group of such rows alone has a null id. Repeated rows are answered one by one.
+part like others but never names a group; a group of such rows alone has a null id. Repeated rows are answered one by one. An empty table gives no rows. Other columns
+may have any name; ``first_of_groups`` returns them as they are.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import places
-from .spark_tools import written
+from .spark_tools import named, written
 from .textbytes import SPACED_LOWER, U, Powers, mixed, slices, utf8, words
 
 SHINGLE, PERCENT = 5, 80
@@ -362,12 +363,12 @@ def groups(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, group_entr
         further = components(between).toDF("label", "further")
         alone = further.join(labels, "label", "left_anti").select(F.col("label").alias("node"), F.col("further").alias("label"))
         labels = written(labels.join(further, "label", "left").select("node", F.coalesce("further", "label").alias("label")).union(alone), "labels")
-    named = rows.join(labels.withColumnRenamed("node", "set"), "set", "left").withColumn("label", F.coalesce("label", "set"))
-    firsts = named.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return named.join(firsts, "label", "left").select("doc_id", "n_shingles", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    labelled = rows.join(labels.withColumnRenamed("node", "set"), "set", "left").withColumn("label", F.coalesce("label", "set"))
+    firsts = labelled.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    return labelled.join(firsts, "label", "left").select("doc_id", "n_shingles", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def first_of_groups(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``docs`` with the document of the smallest doc_id of each group. Rows that share a doc_id stay or go together, and stay if one of them is such; rows without a doc_id stay."""
-    named = groups(docs, n, percent).where("doc_id is not null").groupBy(F.col("doc_id").alias("_own")).agg(F.max("component_id").alias("_group"))
-    return docs.join(named.where("_group < _own").select("_own"), F.col("doc_id") == F.col("_own"), "left_anti")
+    first = groups(docs.select("doc_id", "text"), n, percent).where("doc_id is not null").groupBy("doc_id").agg(F.max("component_id").alias("component_id"))
+    return docs.join(first.where("component_id < doc_id").select("doc_id"), "doc_id", "left_anti").select(*map(named, docs.columns))

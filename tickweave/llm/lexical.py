@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .divergence import terms_of
-from .spark_tools import written
+from .spark_tools import shape, written
 from .textbytes import utf8
 
 K, PASS_BYTES = 50, 4 << 20
@@ -216,8 +216,7 @@ def ranked(docs: DataFrame, items: DataFrame, k: int = K, pass_bytes: int = PASS
         if rows:
             parts.append(_pass(docs, numbered(rows), k))
     if not parts:
-        schema = f"item_id {items.schema['item_id'].dataType.simpleString()}, rank int, doc_id long, score long"
-        return docs.sparkSession.createDataFrame([], schema)
+        return docs.sparkSession.createDataFrame([], shape(items.schema["item_id"], "rank int, doc_id long, score long"))
     first = F.col("members")[0].asc_nulls_last()
     best = reduce(DataFrame.unionByName, parts).withColumn("place", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), first))).where(F.col("place") <= k)
     expanded = best.select(F.col("item_id").cast(items.schema["item_id"].dataType).alias("item_id"), F.explode("members").alias("doc_id"), "score")

@@ -6,7 +6,8 @@ split of the largest gain. The trees are laid out as arrays of one row a tree, i
 are found by stepping down all trees of a batch at once.
 
 Nulls: a null text is scored like an empty one, a null doc_id is not held out. Without labelled rows every score is 0.5.
-Repeated rows are scored one by one; other columns pass through.
+Repeated rows are scored one by one; other columns, of any name, pass through. Texts of any length are measured whole; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labels import SAMPLE, held_out, labelled
+from .spark_tools import named, shape
 from .textbytes import SPACED_LOWER, U, Powers, slices, utf8, words
 
 TREES, DEPTH, BINS, RATE, RIDGE = 60, 4, 64, 0.15, 1.0
@@ -143,8 +145,8 @@ def _scored(batches: Iterator[pa.RecordBatch], trees: Trees) -> Iterator[pa.Reco
 def scored(docs: DataFrame, trees: Trees) -> DataFrame:
     """``row``, a struct of all columns of ``docs``, and ``score``, likelier of quality the nearer to 1."""
     own = docs.sparkSession.sparkContext.broadcast(trees)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    return rows.mapInArrow(lambda b: _scored(b, own.value), f"row {rows.schema['row'].dataType.simpleString()}, score double")
+    rows = docs.select(F.struct(*map(named, docs.columns)).alias("row"), "text")
+    return rows.mapInArrow(lambda b: _scored(b, own.value), shape(rows.schema["row"], "score double"))
 
 
 def judged(docs: DataFrame, trees: Trees) -> DataFrame:

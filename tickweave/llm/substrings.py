@@ -11,7 +11,7 @@ A repeat of a third of all rows doesn't fill a group: leaves of a node that meet
 settled there, and only the leaves of the slice's smallest doc_id travel on.
 
 Nulls: a null text has no words; a row with a null doc_id is neither compared nor changed. Rows that share a doc_id
-don't remove from each other; each is answered. Empty texts and tables give empty answers.
+don't remove from each other; each is answered. Empty texts and tables give empty answers. Other columns may have any name.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import places
-from .spark_tools import squeezed, unsqueezed, written
+from .spark_tools import named, quoted, shape, squeezed, unsqueezed, written
 from .textbytes import SPACED, U, Powers, mixed, slices, utf8, words
 
 WINDOW = 13
@@ -163,15 +163,15 @@ def repeats_removed(docs: DataFrame, window: int = WINDOW, joined: bool = False,
     each suffix, and one of the compressed texts to meet the places found in them.
     """
     tag = F.xxhash64("doc_id", "text", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())).bitwiseAND(0xFFFFFFFF).alias("tag")
-    named = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), tag, "text")
-    suffixes, size, cells = prefix_counts(named, window)
+    known = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), tag, "text")
+    suffixes, size, cells = prefix_counts(known, window)
     groups, blocks = -(-suffixes // group_suffixes) or 1, -(-size // block_bytes) or 1
     heavy = cells > max(1, group_suffixes // 4)
-    leaves = named.mapInArrow(lambda b: _leaves(b, window, heavy, groups, blocks), "part int, block int, blob binary")
+    leaves = known.mapInArrow(lambda b: _leaves(b, window, heavy, groups, blocks), "part int, block int, blob binary")
     found = leaves.repartitionById(groups, "part").groupBy("part").applyInArrow(lambda t: _subtrees(t, blocks), "block int, blob binary")
     found = written(found, "repeats")
-    whole = squeezed(docs.select(F.struct(*(c for c in docs.columns if c != "text")).alias("row"), tag, "text")).withColumn("block", F.pmod("tag", F.lit(blocks)).cast("int"))
-    schema = f"row {whole.schema['row'].dataType.simpleString()}, n_words long, n_removed long, text string"
+    whole = squeezed(docs.select(F.struct(*(named(c) for c in docs.columns if c != "text")).alias("row"), tag, "text")).withColumn("block", F.pmod("tag", F.lit(blocks)).cast("int"))
+    schema = shape(whole.schema["row"], "n_words long, n_removed long, text string")
     sides = whole.repartitionById(blocks, "block").groupBy("block"), found.repartitionById(blocks, "block").groupBy("block")
     return sides[0].cogroup(sides[1]).applyInArrow(lambda a, b: _kept(a, b, window, joined), schema)
 
@@ -184,4 +184,4 @@ def digest(found: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with the repeated words taken out of the texts; texts without repeats, null ones too, stay as they are."""
     found = repeats_removed(docs, window)
-    return found.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))
+    return found.select(*(F.col("text") if c == "text" else F.col(f"row.{quoted(c)}") for c in docs.columns))

@@ -15,7 +15,7 @@ instead, those that are equal within a block once. A slice with more than ``SLIC
 itself and sends one of them, which tells the others; so no group grows with the texts that one anchor is in.
 
 Nulls: a null text is empty and keeps no bytes; a null doc_id is answered like others. Rows that share a doc_id are
-documents of their own. Texts shorter than ``length`` lose nothing.
+documents of their own. Texts shorter than ``length`` lose nothing, an empty table gives no rows, and other columns may have any name.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import places
-from .spark_tools import squeezed, unsqueezed, written
+from .spark_tools import named, shape, squeezed, unsqueezed, written
 from .textbytes import SLICE_BYTES, U, Powers, mixed, slices, utf8
 
 LENGTH = 200
@@ -329,10 +329,10 @@ def repeats_removed(docs: DataFrame, length: int = LENGTH, group_runs: int = GRO
     texts meet what was found, one to fetch the pieces to compare and one to remove.
     """
     tag = F.xxhash64("doc_id", "text").alias("tag")
-    named = docs.where("text is not null").select(tag, "text")
-    size = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    known = docs.where("text is not null").select(tag, "text")
+    size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups, blocks = -(-size // (group_runs * 80)) or 1, -(-size // block_bytes) or 1
-    dealt = named.mapInArrow(lambda b: _dealt_runs(b, length, groups, blocks), "part int, block int, kind int, blob binary")
+    dealt = known.mapInArrow(lambda b: _dealt_runs(b, length, groups, blocks), "part int, block int, kind int, blob binary")
     found = dealt.repartitionById(groups, "part").groupBy("part").applyInArrow(lambda t: _sorted_out(t, blocks, group_bytes // (4 * (length + 85))), "block int, kind int, places long, blob binary")
     found = written(found, "runs")
     asked, split = (n or 0 for n in found.agg(*(F.sum(F.when(F.col("kind") == kind, F.col("places"))) for kind in (_ASKED, _SPLIT))).first())
@@ -348,8 +348,8 @@ def repeats_removed(docs: DataFrame, length: int = LENGTH, group_runs: int = GRO
     pieces = by_block(texts()).cogroup(by_block(wanted)).applyInArrow(lambda a, b: _pieces(a, b, length, parts, blocks), "part int, block int, kind int, blob binary")
     starts = pieces.repartitionById(parts, "part").groupBy("part").applyInArrow(lambda t: _compared(t, length, blocks), "block int, kind int, blob binary")
     told = found.where(F.col("kind") == _WHOLE).drop("places").unionByName(written(starts, "starts"))
-    whole = texts(F.struct(*(c for c in docs.columns if c != "text")).alias("row"))
-    schema = f"row {whole.schema['row'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary"
+    whole = texts(F.struct(*(named(c) for c in docs.columns if c != "text")).alias("row"))
+    schema = shape(whole.schema["row"], "n_bytes long, n_removed long, n_spans long, kept binary")
     return by_block(whole).cogroup(by_block(told)).applyInArrow(lambda a, b: _kept(a, b, length), schema)
 
 

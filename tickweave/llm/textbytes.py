@@ -1,14 +1,17 @@
 """Words and windows of UTF-8 text as numpy arrays, over the buffers of an Arrow column.
 
 Separators of all word rules here are ASCII, and no byte of a longer UTF-8 character is ASCII, so words are found
-on bytes. A word or window is known by a 64-bit hash: a polynomial over its bytes or words, then mixed. Texts are
-taken in slices of bounded size; one longer text is cut at separators, and only a longer word is held whole.
+on bytes. A word or window is known by a 64-bit hash: a polynomial over its bytes or words, then mixed. Long runs of
+values can be built to collide under any such polynomial (Thue-Morse sequences), so it takes stretches of ``_STRETCH``
+values at most, mixed one after another, and long words are hashed by BLAKE2. Texts are taken in slices of bounded
+size; one longer text is cut at separators, and only a longer word is held whole.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +19,8 @@ import pyarrow as pa
 U = np.uint64
 _BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 SLICE_BYTES = 1 << 20
+#: Values under one polynomial.
+_STRETCH = 64
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -58,6 +63,16 @@ class Powers:
 
     def hashes(self, sums: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Of the values from first up to last, the same wherever they stand."""
+        out, at = self._stretch(sums, first, np.minimum(first + _STRETCH, last)), first + _STRETCH
+        more = np.flatnonzero(at < last)
+        while len(more):
+            begin = at[more]
+            out[more] = mixed(out[more] + self._stretch(sums, begin, np.minimum(begin + _STRETCH, last[more])))
+            at[more] = begin + _STRETCH
+            more = more[at[more] < last[more]]
+        return out
+
+    def _stretch(self, sums: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         _, down = self.to(len(sums))
         return mixed((sums[last] - sums[first]) * down[first] + (last - first).astype(U))
 
@@ -123,7 +138,10 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, powers: Powe
         before[cuts], after[cuts - 1] = False, False
         first, last = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
         sums = powers.sums(value.astype(U))
-        parts.append((first + at, last + at, powers.hashes(sums, first, last), *(powers.hashes(sums, first, np.minimum(first + n, last)) for n in heads)))
+        own = powers.hashes(sums, first, np.minimum(first + _STRETCH, last))
+        for i in np.flatnonzero(last - first > _STRETCH).tolist():
+            own[i] = int.from_bytes(blake2b(value[first[i] : last[i]].tobytes(), digest_size=8).digest(), "little")
+        parts.append((first + at, last + at, own, *(powers.hashes(sums, first, np.minimum(first + n, last)) for n in heads)))
         at = to
     starts, ends, hashes, *firsts = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, t) for i, t in enumerate((np.int64, np.int64, U, *(U for _ in heads))))
     return Words(data, starts, ends, hashes, np.searchsorted(starts, offsets), tuple(firsts))

@@ -8,7 +8,8 @@ labels apart best; then every hashed term of the sample has a weight and a vecto
 leaves unexplained: rarer terms, and pairs of terms that tell nothing alone.
 
 Nulls: a null text is scored like an empty one, a null doc_id is not held out. Without labelled rows every score is 0.5.
-Repeated rows are scored one by one.
+Repeated rows are scored one by one. Texts of any length are read whole, an empty table gives no rows, and other columns, of
+any name, stay in ``row``.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labels import SAMPLE, held_out, labelled
+from .spark_tools import named, shape
 from .textbytes import ALNUM_LOWER, U, Powers, slices, utf8, words
 
 HASH_BITS, TERMS, FACTORS, ROUNDS = 18, 512, 8, 200
@@ -172,8 +174,8 @@ def _scored(batches: Iterator[pa.RecordBatch], machine: Machine) -> Iterator[pa.
 def scored(docs: DataFrame, machine: Machine) -> DataFrame:
     """``row``, a struct of the columns of ``docs`` but the text, and ``score``, likelier toxic the nearer to 1."""
     own = docs.sparkSession.sparkContext.broadcast(machine)
-    rows = docs.select(F.struct(*(c for c in docs.columns if c != "text")).alias("row"), "text")
-    return rows.mapInArrow(lambda b: _scored(b, own.value), f"row {rows.schema['row'].dataType.simpleString()}, score double")
+    rows = docs.select(F.struct(*(named(c) for c in docs.columns if c != "text")).alias("row"), "text")
+    return rows.mapInArrow(lambda b: _scored(b, own.value), shape(rows.schema["row"], "score double"))
 
 
 def judged(docs: DataFrame, machine: Machine) -> DataFrame:
