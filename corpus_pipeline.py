@@ -1,7 +1,8 @@
 """A corpus pipeline of five stages over the table of documents; each works on all that its predecessor kept.
 
 The quality classifier is learned from the labels of the documents it judges. The last stage returns the columns of documents
-with ``n_tokens``, ``ids`` and ``decoded``. Nulls, empty texts and repeated rows are handled as the operators say.
+with ``n_tokens``, ``ids`` and ``decoded``, which stand in place of columns of these names (in any case) that documents bring.
+Other columns may have any name and go through all stages unchanged. Nulls, empty texts and repeated rows are handled as the operators say.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tickweave.llm import bpe, decontamination, jaccard, quality, substrings
 from tickweave.llm.registered import table
-from tickweave.llm.spark_tools import written
+from tickweave.llm.spark_tools import named, written
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +37,8 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def bpe_encoding_and_decoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their number of tokens, their ids and what the ids decode to."""
-    made = bpe.transcoded(docs.select(F.struct(*docs.columns).alias("doc"), "text"))
+    own = [named(c) for c in docs.columns if c.lower() not in ("n_tokens", "ids", "decoded")]
+    made = bpe.transcoded(docs.select(F.struct(*own).alias("doc"), "text"))
     return made.select("row.doc.*", F.expr("cast(octet_length(ids) / 4 as long)").alias("n_tokens"), "ids", "decoded")
 
 
