@@ -9,7 +9,9 @@ overlap, given how many elements it has left from its place on; the rest is skip
 Answer-level skipping: the members of a list are first held against one hub. A set that is linked with the hub has the
 hub's answers: it shares its group, and no pair within a group is looked at again. A second round takes only pairs of
 sets in different groups, so large groups of near copies cost one comparison a member and list, not all pairs.
-A list with many sets outside its largest group is split: two linked sets share their first two common elements within
+Lists of one hub have much the same sets, those of a shared passage above all, so for this round they are made one, in which
+a set has one entry, at the least of its places. If that has many sets outside its largest group, its lists are taken one
+by one, and a list with many sets outside its largest group is split: two linked sets share their first two common elements within
 prefixes that are one longer, so the list is dealt anew by its sets' second elements.
 
 The parities of a set's elements in a few hundred cells bound from below in how many elements two sets differ. In the
@@ -19,8 +21,8 @@ and in both rounds only pairs within the bound have their sets fetched.
 Equal sets are one node (known by a 64-bit digest and the size), so exact copies are not compared at all.
 
 Nulls: a null or empty text has no set and is linked with nothing, it is its own group. A row with a null doc_id takes
-part like others but never names a group; a group of such rows alone has a null id. Repeated rows are answered one by one. An empty table gives no rows. Other columns
-may have any name; ``first_of_groups`` returns them as they are.
+part like others but never names a group; a group of such rows alone has a null id. Repeated rows are answered one by one.
+An empty table gives no rows. Other columns may have any name; ``first_of_groups`` returns them as they are.
 """
 
 from __future__ import annotations
@@ -319,10 +321,29 @@ def components(links: DataFrame) -> DataFrame:
         labels = labels.drop("old")
 
 
+def _outside(entries: DataFrame, key: str) -> DataFrame:
+    """Of each list that has sets of several groups, how many are outside its largest group."""
+    return entries.groupBy(key, "grp").agg(F.count("*").alias("n")).groupBy(key).agg((F.sum("n") - F.max("n")).alias("outside")).where("outside > 0")
+
+
+def _merged(lists: DataFrame, labels: DataFrame, prefix: str, percent: int) -> DataFrame:
+    """Entries of lists that have sets of several groups. The lists of one hub are one list, in which a set has one entry."""
+
+    def grouped(df: DataFrame) -> DataFrame:
+        return df.join(labels.withColumnRenamed("node", "set"), "set", "left").withColumn("grp", F.coalesce("label", "set")).drop("label")
+
+    merged = written(grouped(lists.where(f"at < {prefix}").groupBy("hub", "set").agg(F.first("size").alias("size"), F.min("at").alias("at"))), "merged")
+    outside = written(_outside(merged, "hub"), "outside")
+    light = merged.join(outside.where(f"outside <= {_OUTSIDE}"), "hub").select(F.col("hub").alias("element"), "set", "size", "at", "grp")
+    long = outside.where(f"outside > {_OUTSIDE}").select("hub")
+    if not long.limit(1).count():
+        return light
+    return light.union(_mixed(grouped(lists.join(long, "hub", "left_semi").select("set", "element", "size", "at")).select("element", "set", "size", "at", "grp"), prefix, percent))
+
+
 def _mixed(grouped: DataFrame, prefix: str, percent: int) -> DataFrame:
     """Entries of lists that have sets of several groups; those with many outside the largest group are split by second elements."""
-    per = grouped.groupBy("element", "grp").agg(F.count("*").alias("n")).groupBy("element").agg((F.sum("n") - F.max("n")).alias("outside"))
-    mixed = grouped.where(f"at < {prefix}").join(per.where("outside > 0"), "element")
+    mixed = grouped.where(f"at < {prefix}").join(_outside(grouped, "element"), "element")
     # sets so small that one common element makes a link have no second one
     plain = mixed.where(f"outside <= {_OUTSIDE} or size * {percent} <= 100").drop("outside")
     second = grouped.select("set", F.col("element").alias("then"), F.col("at").alias("later"))
@@ -353,8 +374,7 @@ def groups(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, group_entr
     pairs = written(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     links = written(_verified(texts, pairs, n, percent), "links")
     labels = components(links)
-    grouped = written(lists.join(labels.withColumnRenamed("node", "set"), "set", "left").select("element", "set", "size", "at", F.coalesce("label", "set").alias("grp")), "grouped")
-    across = _mixed(grouped, prefix, percent).join(brief, "set").repartition("element").sortWithinPartitions("element", "size").mapInArrow(lambda b: _across(b, percent), "a long, b long").distinct()
+    across = _merged(lists, labels, prefix, percent).join(brief, "set").repartition("element").sortWithinPartitions("element", "size").mapInArrow(lambda b: _across(b, percent), "a long, b long").distinct()
     more = written(_close(across.join(pairs, ["a", "b"], "left_anti"), parities, percent).select("a", "b"), "pairs")
     if more.limit(1).count():
         # links between groups: their groups' labels are joined
