@@ -2,6 +2,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tickweave.contract import constant
 from tickweave.functions.stats import sign_test_p
@@ -142,3 +143,16 @@ def test_a_family_that_lacks_something_is_refused(spark):
         for decided, verdicts in ((outcomes.ordered_decisions(summary, budgets, 0.1, 0.0, 1), outcomes.ordered_verdicts), (outcomes.unordered_decisions(summary, budgets, 0.1, 0.0, 1), outcomes.unordered_verdicts)):
             assert {r["label"] for r in decided.collect()} == {f"refused: {why}"}
             assert [r["verdict"] for r in verdicts(decided).collect()] == ["refused"]
+
+
+FACTORS = ({"A10": (2, 10)}, {"primary": ("MR_F",), "held": ("MR_F",)}, {"HK": 2}, "A10", (10,), ("HK",))
+
+
+def test_starts_of_exploded_tasks_are_not_broadcast(spark):
+    replicates = spark.createDataFrame([("A10", 0, "r0")], "condition string, replicate bigint, run_id string")
+    tasks = campaign.declared_tasks(replicates, *FACTORS)
+    states = campaign.blocked_tasks(tasks, tasks.where("key LIKE '%b02%'").select("key", F.lit("no start").alias("failure")))
+    assert "BroadcastHashJoin" not in states._jdf.queryExecution().executedPlan().toString()
+    assert {(r["key"], r["state"]) for r in states.collect()} == {
+        (f"A10/r00/{head}/HK/{i}", state) for head, state in (("b02/primary", "blocked"), ("b10/primary", "waiting"), ("b10/held", "waiting")) for i in (0, 1)
+    }

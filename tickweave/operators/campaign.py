@@ -118,9 +118,10 @@ def selections(records: DataFrame) -> DataFrame:
 
 def blocked_tasks(tasks: DataFrame, records: DataFrame) -> DataFrame:
     """State of every training by its start: ``ready``, ``blocked`` (the start failed; a
-    failure with its reason) or ``waiting`` (no record of the start)."""
+    failure with its reason) or ``waiting`` (no record of the start). The declared factors are
+    exploded, which the size estimate does not see; the join is a merge, so no side is broadcast."""
     starts = records.groupBy("key").agg(F.max("failure").alias("start_failure")).withColumn("_there", F.lit(True)).withColumnRenamed("key", "start_key")
-    joined = tasks.where(F.col("kind") == TRAINING).join(starts, "start_key", "left")
+    joined = tasks.where(F.col("kind") == TRAINING).join(starts.hint("merge"), "start_key", "left")
     state = F.when(F.col("_there").isNull(), "waiting").when(F.col("start_failure").isNotNull(), "blocked").otherwise("ready")
     return joined.select(
         "key", "start_key", state.alias("state"),
