@@ -156,3 +156,10 @@ def test_starts_of_exploded_tasks_are_not_broadcast(spark):
     assert {(r["key"], r["state"]) for r in states.collect()} == {
         (f"A10/r00/{head}/HK/{i}", state) for head, state in (("b02/primary", "blocked"), ("b10/primary", "waiting"), ("b10/held", "waiting")) for i in (0, 1)
     }
+
+
+def test_replicates_are_spread_before_they_are_expanded(spark, monkeypatch):
+    monkeypatch.setattr(campaign, "SPREAD", 10)
+    replicates = spark.range(35).coalesce(1).selectExpr("'A10' AS condition", "id AS replicate", "concat('r', id) AS run_id")
+    tasks = campaign.declared_tasks(replicates, *FACTORS)
+    assert tasks.rdd.getNumPartitions() == 4 and tasks.count() == 35 * 9

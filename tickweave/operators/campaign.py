@@ -12,6 +12,8 @@ from tickweave.functions.scalars import identity_words
 
 PRIMARY, HELD = "primary", "held"
 TRAINING = "training"
+#: Replicates that one task expands: a small file of them is one task, and each becomes a few dozen declared tasks.
+SPREAD = 10_000
 
 
 def _strings(values: Sequence[str]) -> Column:
@@ -24,7 +26,9 @@ def declared_tasks(
 ) -> DataFrame:
     """One row per declared fit and training. ``replicates``: (condition, replicate, run_id).
     Declared factors are arrays to explode, so the table is replicates x constants and no
-    table is crossed with another."""
+    table is crossed with another. The replicates are spread first, so that what a task expands
+    is bounded whatever files they come from."""
+    replicates = replicates.repartition(max(1, -(-replicates.count() // SPREAD)))
     of_condition = F.lit(None).cast("array<bigint>")
     for condition, values in budgets.items():
         of_condition = F.when(F.col("condition") == condition, F.array(*[F.lit(int(b)).cast("long") for b in values])).otherwise(of_condition)
