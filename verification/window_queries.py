@@ -281,7 +281,7 @@ SQL = {
         f"CASE model WHEN 'hold' THEN 'held out' WHEN 'lag1' THEN 'selection' ELSE 'fitting' END AS role FROM errs GROUP BY {k}"
         for g, r, x, p, k in (("pooled", "NULL", "NULL", "NULL", "model"), ("phase", "NULL", "NULL", "phase", "model, phase"),
                               ("window", "run_id", "excursion", "NULL", "model, run_id, excursion")))),
-    "score_refused_models": on(CLEAN + _PREDICTED, "SELECT 'fail' AS model, 'readings without a prediction' AS problem, count(*) AS n FROM scored WHERE excursion % 3 = 2 HAVING n > 0"),
+    "score_refused_models": on(CLEAN + _PREDICTED, "SELECT 'fail' AS model, 'readings without a prediction' AS problem, count(*) AS n FROM scored WHERE excursion % 3 = 2 OR excursion % 7 = 0 HAVING n > 0"),
     "score_normalised_rms": on(CLEAN + _PREDICTED, "SELECT model, run_id, round(sqrt(avg((ec * ec / 25 + et * et * 4) / 2)), 6) AS j FROM errs GROUP BY ALL"),
     "score_pooling_problems": on(CLEAN + _PREDICTED, """SELECT model, problem FROM (SELECT DISTINCT model FROM errs WHERE excursion = 3),
         (VALUES ('noise level not positive and finite'), ('unequal noise levels')) v(problem)"""),
