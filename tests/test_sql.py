@@ -22,3 +22,9 @@ def both(spark, folder, events, name):
 def test_refused_models_count_every_excursion_that_is_left_out(spark, tmp_path):
     got, expected = both(spark, tmp_path, [(k, 0, k) for k in range(1000)], "score_refused_models")
     assert got == expected == [("fail", "readings without a prediction", 4 * 110)]  # excursions 2, 5, 8 and 7
+
+
+def test_inputs_absent_on_both_plants_are_not_the_same(spark, tmp_path):
+    events = [(89, 0, 0), (178, 1, 0)] + [(200 + 2 * k + user, user, 1 + k) for k in range(20) for user in (0, 1)]
+    got, expected = both(spark, tmp_path, events, "series_compare_plants_with_gaps")
+    assert [r[:8] for r in got] == [r[:8] for r in expected] and got[0][6] < got[0][3]
