@@ -190,9 +190,10 @@ def window_ticks(windows: DataFrame) -> DataFrame:
 
 
 def window_data(ticks: DataFrame, aligned: DataFrame) -> DataFrame:
-    """The rows of every window by role: an equality join on (run, tick), never a range join."""
+    """The rows of every window by role: an equality join on (run, tick), never a range join. The
+    ticks are exploded, which the size estimate does not see; the join is a merge, so they are not broadcast."""
     values = aligned.select("run_id", "sample_index", "time_s", *STATES, *INPUTS)
-    return ticks.join(values, ["run_id", "sample_index"])
+    return ticks.hint("merge").join(values, ["run_id", "sample_index"])
 
 
 def initial_states(data: DataFrame) -> DataFrame:
