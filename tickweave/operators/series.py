@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tickweave.contract import INPUTS, MEASURED, STATES, VARIABLES, Tables
 from tickweave.functions.scalars import concordance, constant_or_null, run_definition
 from tickweave.plans.bands import DEFAULT_WIDTH, Bands
+from tickweave.plans.dealing import dealt
 
 
 def aligned_series(tables: Tables, variables: tuple[str, ...] = VARIABLES) -> DataFrame:
@@ -21,7 +22,7 @@ def aligned_series(tables: Tables, variables: tuple[str, ...] = VARIABLES) -> Da
     keys = ["plant_id", "run_id", "sample_index"]
     rows = tables.measurements.select(*keys, "sensor_id", "time_s", "value").join(named, ["plant_id", "sensor_id"])
     per_channel = (
-        rows.repartition(*keys)
+        dealt(rows, keys, tables.measurements.count())
         .groupBy(*keys, "sensor_id", "variable_name")
         .agg(
             F.count(F.lit(1)).alias("n"), F.max("value").alias("value"),
