@@ -8,9 +8,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tickweave.functions import scalars as S
-from tickweave.operators import series
+from tickweave.operators import integrity, rowpass, series
 from tickweave.plans.bands import Bands, Neighbourhood
-from tickweave.plans import medians
+from tickweave.plans import dealing, medians
 from tickweave.plans.medians import grouped_median
 
 
@@ -136,3 +136,11 @@ def test_a_round_of_narrowing_leaves_a_fixed_share_of_a_group(spark):
         brackets = spark.createDataFrame([("hot", n, 0, n, 0.0, 1.5 * n)], "k string, _size long, _below long, _values long, _from double, _to double")
         one = medians.narrowed(counted, brackets, ["k"], "v", 32).first()
         assert one["_values"] <= n / 8 and one["_from"] <= 1.5 * (n - 1) / 2 <= one["_to"] and one["_below"] == one["_from"] / 1.5
+
+
+def test_tasks_of_the_long_table_have_a_bounded_number_of_rows(spark, monkeypatch):
+    tables = log(spark)  # 90 rows, 12 channels
+    monkeypatch.setattr(dealing, "ROWS", 2)
+    for made, n in ((series.aligned_series(tables), 45), (rowpass.marks(tables), 45), (integrity.pre_publish(tables), 6)):
+        assert made.rdd.getNumPartitions() == n
+    assert series.aligned_series(tables).agg(F.sum("n_rows")).first()[0] == 90

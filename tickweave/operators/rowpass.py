@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tickweave.contract import Tables
 from tickweave.functions.scalars import clock_instant, on_clock
+from tickweave.plans.dealing import dealt
 
 #: Ticks of a band: few enough that the runs of a small log spread over all tasks, enough that edges are rare.
 DEFAULT_WIDTH = 1 << 10
@@ -72,7 +73,7 @@ def marks(tables: Tables, width: int = DEFAULT_WIDTH, kinds: Collection[str] = K
         listed.append(F.transform(F.coalesce("off", F.array()), lambda x: _mark(CLOCK, "run_id", "sensor_id", "sample_index", "time_s", expected_time_s=x)))
     if CHANNELS in kinds:
         rows = _with_channels(rows, tables)
-    rows = rows.withColumn("band", F.expr(f"sample_index div {int(width)}L")).repartition("run_id", "band")
+    rows = dealt(rows.withColumn("band", F.expr(f"sample_index div {int(width)}L")), ("run_id", "band"), tables.measurements.count())
     if GAPS in kinds or ORDER in kinds:
         along = Window.partitionBy("run_id", "band", "sensor_id").orderBy("sample_index", "time_s", "value")
         there = F.lit(True)
