@@ -1,3 +1,4 @@
+import datetime
 import json
 import math
 import random
@@ -12,7 +13,7 @@ from tickweave.contract import SCHEMAS, Tables, units_dimension
 from tickweave.functions import encoding
 from tickweave.operators import digests, ingest, integrity, leakscan, report
 from tickweave.session import shared_folder
-from tickweave.sources import store
+from tickweave.sources import eventlog, store
 
 HOT = "sensor_id = 'south.T' AND sample_index = 7"
 SHORT = "south.p3.e8.x2.n0"
@@ -222,3 +223,36 @@ def test_the_first_findings_of_a_check_are_limited_before_the_exchange(spark):
     plan = found._jdf.queryExecution().executedPlan().toString().splitlines()
     limits = [i for i, line in enumerate(plan) if "WindowGroupLimit" in line]
     assert limits[0] < next(i for i, line in enumerate(plan) if "Exchange" in line) < limits[-1]
+
+
+def test_an_offer_is_copied_and_examined_once_for_several_gates(spark, monkeypatch):
+    seen = []
+    found = ingest.quality_findings_by_run
+    monkeypatch.setattr(ingest, "quality_findings_by_run", lambda *a: seen.append(a) or found(*a))
+    root, copy = folder(spark), ingest.staged(log(spark))
+    offer = ingest.examined(digests.recorded_runs(copy))
+    assert offer.tables.measurements is copy.measurements and offer.tables.operating_runs is not copy.operating_runs
+    first, rows = ingest.ingest(offer, store.read_store(spark, root))
+    store.append(rows, root, "one")
+    again, _ = ingest.ingest(offer, store.read_store(spark, root))
+    assert status(first) == {NORTH: ("ingested", None), SOUTH: ("ingested", None)}
+    assert status(again) == {NORTH: ("already_present", None), SOUTH: ("already_present", None)} and len(seen) == 1
+
+
+def test_the_digits_of_row_hashes_are_read_three_words_at_once(spark):
+    draw = random.Random(4)
+    texts = ["0" * 15, "f" * 15, "a9" * 7 + "a", "0123456789abcde"] + ["".join(draw.choice("0123456789abcdef") for _ in range(15)) for _ in range(200)]
+    three = digests._three_words(digests._decimal_digits(F.col("x")))
+    rows = spark.createDataFrame([(t, int(t, 16)) for t in texts], "t string, x long").select("t", three.alias("x")).collect()
+    for t, x in rows:
+        digits = t.translate(str.maketrans("abcdef", "012345"))
+        assert [x >> 40, x >> 20 & 0xFFFFF, x & 0xFFFFF] == [int(digits[i:i + 5]) for i in (0, 5, 10)]
+
+
+def test_nothing_is_ordered_to_describe_the_runs_of_the_event_log(spark, tmp_path):
+    events = [(k, datetime.datetime(2024, 1, 1, 0, k % 60), k % 3, 1.0) for k in range(50)]
+    spark.createDataFrame(events, "event_id bigint, ts timestamp, user_id bigint, value double").write.parquet(f"{tmp_path}/events.parquet")
+    tables = eventlog.event_log(spark, str(tmp_path))
+    assert "Window" not in tables.operating_runs._jdf.queryExecution().optimizedPlan().toString()
+    last = tables.measurements.groupBy("run_id").agg(F.max("time_s"), F.countDistinct("sample_index"))
+    assert {tuple(r) for r in last.collect()} == {(r["run_id"], r["end_time_s"], r["n_samples"]) for r in tables.operating_runs.collect()}

@@ -14,8 +14,9 @@ whole run would have to stream it through one task and is not offered.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickweave.contract import SCHEMAS, Tables
@@ -28,14 +29,27 @@ CHANNEL_COLUMNS = ("channel_index", "channel_kind", "noise_model", "noise_std",
 WORDS, DIGITS = 12, 5  # words of a row hash, digits of each
 
 
+def _decimal_digits(x: Column) -> Column:
+    """Fifteen hexadecimal digits, ten to fifteen among them made zero to five, all at once."""
+    high = F.shiftleft(x, 1).bitwiseOR(F.shiftleft(x, 2)).bitwiseAND(x).bitwiseAND(F.lit(0x888888888888888))
+    return x - high - F.shiftright(high, 2)
+
+
+def _three_words(d: Column) -> Column:
+    """Three words of five decimal digits, a digit in four bits, as three numbers in twenty bits each."""
+    lowest = F.lit(0x0000F0000F0000F)
+    return reduce(lambda a, b: a + b, [F.shiftright(d, 4 * k).bitwiseAND(lowest) * F.lit(10**k) for k in range(DIGITS)])
+
+
 def rows_digest(df: DataFrame, keys: Sequence[str], columns: Sequence[str], header: str, more: Sequence[str] = ()) -> DataFrame:
     """One digest per ``keys`` over ``columns`` and the texts in ``more``: one pass, one partial aggregate."""
     keys = list(keys)
-    rows = texted(df, keys, columns, "_text", more).select(*keys, F.translate(F.sha2(F.col("_text").cast("binary"), 256), "abcdef", "012345").alias("_row"))
+    rows = texted(df, keys, columns, "_text", more).select(*keys, F.sha2(F.col("_text").cast("binary"), 256).alias("_row"))
     # three words are read at a time
-    rows = rows.select(*keys, *[F.substring("_row", 3 * DIGITS * i + 1, 3 * DIGITS).cast("long").alias(f"_t{i}") for i in range(WORDS // 3)])
-    one = 10**DIGITS
-    words = [F.expr(f"_t{i} div {one ** k}L % {one}L") for i in range(WORDS // 3) for k in (2, 1, 0)]
+    rows = rows.select(*keys, *[F.coalesce(F.conv(F.substring("_row", 3 * DIGITS * i + 1, 3 * DIGITS), 16, 10).cast("long"), F.lit(0)).alias(f"_h{i}") for i in range(WORDS // 3)])
+    rows = rows.select(*keys, *[_decimal_digits(F.col(f"_h{i}")).alias(f"_d{i}") for i in range(WORDS // 3)])
+    rows = rows.select(*keys, *[_three_words(F.col(f"_d{i}")).alias(f"_t{i}") for i in range(WORDS // 3)])
+    words = [F.shiftright(f"_t{i}", 4 * DIGITS * k).bitwiseAND(F.lit((1 << 4 * DIGITS) - 1)) for i in range(WORDS // 3) for k in (2, 1, 0)]
     names = [f"_w{i}" for i in range(WORDS)]
     summed = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_rows"), *[F.coalesce(F.sum(w), F.lit(0)).alias(n) for n, w in zip(names, words, strict=True)]

@@ -4,6 +4,7 @@ runs or plants can show is looked for in the dimensions, never by re-reading the
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -117,14 +118,38 @@ def unlisted_runs(offered: Tables) -> DataFrame:
     return rows.join(offered.operating_runs.select("run_id").distinct(), "run_id", "left_anti")
 
 
-def gate(offered: Tables, stored: Tables, width: int = quality.DEFAULT_WIDTH) -> DataFrame:
+@dataclass(frozen=True)
+class Examined:
+    """An offer with what doesn't depend on the store: the runs with a defect, the digests of the content and the runs that only
+    measurements name."""
+
+    tables: Tables
+    defective: DataFrame
+    rebuilt: DataFrame
+    unlisted: DataFrame
+
+    @classmethod
+    def of(cls, offered: Tables, width: int = quality.DEFAULT_WIDTH) -> Examined:
+        defective = quality_findings_by_run(offered, width).select("run_id").distinct()
+        return cls(offered, defective, run_digests(offered).select("run_id", F.col("content_sha256").alias("rebuilt")), unlisted_runs(offered))
+
+
+def examined(offered: Tables, width: int = quality.DEFAULT_WIDTH) -> Examined:
+    """A staged copy of the offer, examined once for all gates it is taken to: the long table is checked here and digested here;
+    a gate reads of it only what it appends."""
+    found = Examined.of(staged(offered), width)
+    return Examined(found.tables, stage(found.defective, "defective"), stage(found.rebuilt, "rebuilt"), stage(found.unlisted, "unlisted"))
+
+
+def gate(offer: Tables | Examined, stored: Tables, width: int = quality.DEFAULT_WIDTH) -> DataFrame:
     """(run_id, plant_id, status, refused_by): every gate is evaluated for all runs; the
     first that fails decides. A run that only measurements name is refused, too."""
+    known_of = offer if isinstance(offer, Examined) else Examined.of(offer, width)
+    offered, rebuilt = known_of.tables, known_of.rebuilt
     runs = offered.operating_runs.groupBy("run_id", "plant_id").agg(
         F.first("dataset_id").alias("dataset_id"), F.first("content_sha256").alias("recorded")
     )
-    bad_quality = quality_findings_by_run(offered, width).select("run_id").distinct().withColumn("f_quality", F.lit(True))
-    rebuilt = run_digests(offered).select("run_id", F.col("content_sha256").alias("rebuilt"))
+    bad_quality = known_of.defective.withColumn("f_quality", F.lit(True))
     plant_conflict = _conflicting_plants(offered, stored).withColumn("f_plant", F.lit(True))
     unit_conflict = _unit_conflicts(offered, stored).withColumn("f_unit", F.lit(True))
     names = SCHEMAS["operating_runs"].names
@@ -154,7 +179,7 @@ def gate(offered: Tables, stored: Tables, width: int = quality.DEFAULT_WIDTH) ->
         "run_id", "plant_id", refused.alias("refused_by"),
         F.when(refused.isNotNull(), "refused").when(known, PRESENT).otherwise(INGESTED).alias("status"),
     )
-    return judged.unionByName(unlisted_runs(offered).select(
+    return judged.unionByName(known_of.unlisted.select(
         "run_id", F.lit(None).cast("string").alias("plant_id"), F.lit(UNLISTED).alias("refused_by"), F.lit("refused").alias("status")
     ))
 
@@ -186,15 +211,15 @@ def accepted(offered: Tables, stored: Tables, report: DataFrame) -> Tables:
     )
 
 
-def ingest(offered: Tables, stored: Tables, fail_fast: bool = False, width: int = quality.DEFAULT_WIDTH) -> tuple[DataFrame, Tables]:
-    """The report, one row per offered run, and the rows to append. The offer is staged; the
+def ingest(offer: Tables | Examined, stored: Tables, fail_fast: bool = False, width: int = quality.DEFAULT_WIDTH) -> tuple[DataFrame, Tables]:
+    """The report, one row per offered run, and the rows to append. An offer that isn't examined yet is staged and examined; the
     report is small and read by every table to append, so it is staged once."""
-    offered = staged(offered)
-    report = gate(offered, stored, width)
+    offer = offer if isinstance(offer, Examined) else examined(offer, width)
+    report = gate(offer, stored, width)
     if fail_fast:
         report = stop_at_first_refusal(report)
     report = stage(report, "gate")
-    return report, accepted(offered, stored, report)
+    return report, accepted(offer.tables, stored, report)
 
 
 def constraint_violations(tables: Tables) -> DataFrame:
