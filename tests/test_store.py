@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tickweave.contract import SCHEMAS, Tables, units_dimension
 from tickweave.functions import encoding
 from tickweave.operators import digests, ingest, integrity, leakscan, report
+from tickweave.plans import dealing
 from tickweave.session import shared_folder
 from tickweave.sources import eventlog, store
 
@@ -256,3 +257,14 @@ def test_nothing_is_ordered_to_describe_the_runs_of_the_event_log(spark, tmp_pat
     assert "Window" not in tables.operating_runs._jdf.queryExecution().optimizedPlan().toString()
     last = tables.measurements.groupBy("run_id").agg(F.max("time_s"), F.countDistinct("sample_index"))
     assert {tuple(r) for r in last.collect()} == {(r["run_id"], r["end_time_s"], r["n_samples"]) for r in tables.operating_runs.collect()}
+
+
+def test_published_rows_are_sorted_in_tasks_of_a_bounded_number_of_rows(spark, monkeypatch):
+    monkeypatch.setattr(dealing, "ROWS", 9)
+    root, tables = folder(spark), log(spark)  # 6 channels of 6 and of 9 ticks
+    assert store.publish(tables, root, "set")[0] == "created"
+    held = store.read_published(spark, root, "set").measurements
+    sizes = held.groupBy(F.input_file_name()).count().collect()
+    assert sum(r["count"] for r in sizes) == 90 and len(sizes) >= 9 and max(r["count"] for r in sizes) <= 18
+    store.write_export(tables, f"{root}/export")
+    assert spark.read.parquet(f"{root}/export").groupBy(F.input_file_name()).count().count() == 4

@@ -20,6 +20,7 @@ from tickweave.functions.scalars import differs
 from tickweave.operators import integrity, quality
 from tickweave.operators.digests import recorded_runs, run_digests, table_digests
 from tickweave.operators.series import aligned_series
+from tickweave.plans.dealing import tasks
 from tickweave.session import cut_lineage
 
 MANIFEST = "manifest"
@@ -145,7 +146,7 @@ def publish(tables: Tables, root: str, dataset_id: str) -> tuple[str, DataFrame]
     for name, df in offered.items():
         written = conform(df, name)
         if name == "measurements":  # many files of many runs, rows of a run close together; a long run is many files
-            written = written.repartitionByRange("run_id", "sample_index").sortWithinPartitions("run_id", "sensor_id", "sample_index")
+            written = written.repartitionByRange(tasks(spark, df.count()), "run_id", "sample_index").sortWithinPartitions("run_id", "sensor_id", "sample_index")
         written.write.mode("errorifexists").parquet(f"{staging}/{name}")
     back = Tables(**{name: spark.read.parquet(f"{staging}/{name}") for name in SCHEMAS})
     differences = integrity.manifest_agreement(runs, back.operating_runs).select(F.col("run_id").alias("item"), "problem").unionByName(
@@ -208,7 +209,8 @@ def write_export(tables: Tables, path: str) -> None:
     """Rows ordered by (plant, run, tick), ranges of ticks to a file: a long run is several
     files in order, a short run shares one."""
     rows = export_rows(tables)
-    rows.repartitionByRange("plant_id", "run_id", "sample_index").sortWithinPartitions("plant_id", "run_id", "sample_index").write.mode("errorifexists").parquet(path)
+    ticks = tables.measurements.count() // len(STATES + INPUTS)  # an exported row has a reading of each channel
+    rows.repartitionByRange(tasks(rows.sparkSession, ticks), "plant_id", "run_id", "sample_index").sortWithinPartitions("plant_id", "run_id", "sample_index").write.mode("errorifexists").parquet(path)
 
 
 def sizes(spark: SparkSession, places: dict[str, str]) -> DataFrame:
