@@ -53,6 +53,34 @@ def test_long_words_are_stable_within_the_lookahead(library, own):
         both(library, own, "".join(draw.choice("aeinrst") for _ in range(draw.randint(300, 3000))))
 
 
+class Counted(dict):
+    asked = 0
+
+    def get(self, *key):
+        self.asked += 1
+        return super().get(*key)
+
+
+@pytest.mark.parametrize("word", ["internationalization", "aaaaaaaaaaa", "thathingtionsterenes", "x"])
+def test_a_merge_asks_for_its_neighbours_only(own, library, monkeypatch, word):
+    symbols = [*(own.first[b] for b in word[:-1].encode()), own.last[ord(word[-1])]]
+    monkeypatch.setattr(own, "merge", Counted(own.merge))
+    ids = own.merged(symbols)
+    assert ids == library.encode(word, add_special_tokens=False).ids
+    assert own.merge.asked <= len(symbols) - 1 + 2 * (len(symbols) - len(ids))
+
+
+def test_frequent_words_stay_in_a_full_table(library, monkeypatch):
+    monkeypatch.setattr(bpe, "_TABLE", 8)
+    fresh, made = bpe.load(), []
+    merged = fresh.merged
+    monkeypatch.setattr(fresh, "merged", lambda ids: made.append(ids) or merged(ids))
+    text = " ".join(f"frequent, word{chr(97 + k % 26)}{chr(97 + k // 26)}\nit's" for k in range(60))
+    both(library, fresh, text)
+    symbols = [*(fresh.first[b] for b in b"frequen"), fresh.last[ord("t")]]
+    assert made.count(symbols) == 1
+
+
 def test_bytes_to_text_waits_for_whole_characters(own):
     raw = bpe.Encoder(own)("ñandú 日本 x")
     ids = [int.from_bytes(raw[i : i + 4], "little") for i in range(0, len(raw), 4)]

@@ -5,7 +5,7 @@ is cut at special tokens, normalised (composed, white space joined, lower case)
 crosses. What a merge decides about a place depends on what follows only through chains of merges of ever higher
 priority, so the merge list bounds how many symbols have to be seen: ``Bpe.lookahead``. A word of any length is thus
 encoded through a window: tokens that end at least the lookahead before the window's end are stable and leave it, and the
-next window begins where they end. Frequent words are looked up in a bounded table.
+next window begins where they end. What stands between spaces is looked up in a bounded table first, whole, then by words.
 
 Nulls: a null text is encoded as an empty one, to no tokens. Repeated rows are answered one by one; other columns, of any name, stay in ``row``.
 Characters are classed and lower-cased by Python's Unicode tables; code points that these don't assign yet may fall to another word.
@@ -19,6 +19,7 @@ import re
 import struct
 import unicodedata
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,8 @@ from .textbytes import slices, utf8
 VOCABULARY = "word_bpe_49k.json"
 #: Characters of text taken at a time, symbols of a window besides the lookahead, longest word and number of words in the table.
 _PIECE, _WINDOW, _LONG, _TABLE = 1 << 20, 256, 64, 1 << 18
+#: A merge is an integer, its rank above the bits of the token that it makes; no merge is above all.
+_TOKEN_BITS, _NONE = 32, 1 << 62
 
 
 def byte_symbols() -> list[str]:
@@ -56,11 +59,19 @@ class Bpe:
         self.first = [ids[s] for s in symbols]
         self.last = [ids[s + end] for s in symbols]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self.merge = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in enumerate(merges)}
+        self.merge = {(ids[a], ids[b]): rank << _TOKEN_BITS | ids[a + b] for rank, (a, b) in enumerate(merges)}
         self.lookahead = self._lookahead([(ids[a], ids[b], ids[a + b]) for a, b in merges])
         (pattern,) = (p["pattern"]["Regex"] for p in said["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = pattern
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "table"}
+
+    @cached_property
+    def table(self) -> _Table:
+        """Known words; as a worker keeps what is broadcast to it, its tasks share them."""
+        return _Table(self)
+
     def _lookahead(self, merges: list[tuple[int, int, int]]) -> int:
         """Symbols after a token that can still decide whether it stays.
 
@@ -81,22 +92,32 @@ class Bpe:
         return max(reach.values(), default=0)
 
     def merged(self, ids: list[int]) -> list[int]:
-        """All merges of some symbols, those of the highest priority first, from the left."""
-        merge = self.merge
-        while len(ids) > 1:
-            found = [f for f in map(merge.get, zip(ids, ids[1:])) if f]  # noqa: B905
-            if not found:
-                break
-            rank, whole = min(found)
+        """All merges of some symbols, those of the highest priority first, from the left.
+
+        Many symbols are merged in rounds, all of a priority at once; of few, one pair at a time, where only its neighbours change.
+        """
+        merge = self.merge.get
+        pairs = [merge(p, _NONE) for p in zip(ids, ids[1:])]  # noqa: B905
+        while len(pairs) >= _LONG and (best := min(pairs)) != _NONE:
             out, i, n = [], 0, len(ids)
             while i < n:
-                if i + 1 < n and (f := merge.get((ids[i], ids[i + 1]))) and f[0] == rank:
-                    out.append(whole)
+                if i + 1 < n and pairs[i] == best:
+                    out.append(best & (1 << _TOKEN_BITS) - 1)
                     i += 2
                 else:
                     out.append(ids[i])
                     i += 1
             ids = out
+            pairs = [merge(p, _NONE) for p in zip(ids, ids[1:])]  # noqa: B905
+        ids = ids[:]
+        while pairs and (best := min(pairs)) != _NONE:
+            i = pairs.index(best)
+            ids[i] = whole = best & (1 << _TOKEN_BITS) - 1
+            del ids[i + 1], pairs[i]
+            if i:
+                pairs[i - 1] = merge((ids[i - 1], whole), _NONE)
+            if i < len(pairs):
+                pairs[i] = merge((whole, ids[i + 1]), _NONE)
         return ids
 
     def word(self, word: str) -> Iterator[list[int]]:
@@ -125,34 +146,53 @@ class Bpe:
 
 
 class _Table(dict):
-    """Words and their ids as little-endian unsigned 32-bit integers."""
+    """Words, and what stands between spaces, with their ids as little-endian unsigned 32-bit integers.
+
+    A full table becomes the older one, from which what is met again is taken over; so frequent words stay.
+    """
 
     def __init__(self, bpe: Bpe) -> None:
         super().__init__()
-        self.bpe = bpe
+        self.bpe, self.older = bpe, {}
+        self.words = regex.compile(bpe.pattern.replace(r"\s", r"\p{White_Space}")).findall
 
-    def __missing__(self, word: str) -> bytes:
-        if len(word) > _LONG:
-            return b"".join(np.array(part, "<u4").tobytes() for part in self.bpe.word(word))
-        raw = word.encode()
-        symbols = [self.bpe.first[b] for b in raw]
-        symbols[-1] = self.bpe.last[raw[-1]]
-        ids = self.bpe.merged(symbols)
-        ids = struct.pack(f"<{len(ids)}I", *ids)
-        if len(self) >= _TABLE:
-            self.clear()
-        self[word] = ids
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.older.get(chunk)
+        if ids is None:
+            words = self.words(chunk)
+            if words == [chunk]:
+                return self._word(chunk)
+            ids = b"".join([self.get(w) or self._word(w) for w in words])
+        return self._kept(chunk, ids)
+
+    def _word(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            if len(word) > _LONG:
+                return b"".join(np.array(part, "<u4").tobytes() for part in self.bpe.word(word))
+            raw = word.encode()
+            symbols = [self.bpe.first[b] for b in raw]
+            symbols[-1] = self.bpe.last[raw[-1]]
+            ids = self.bpe.merged(symbols)
+            ids = struct.pack(f"<{len(ids)}I", *ids)
+        return self._kept(word, ids)
+
+    def _kept(self, key: str, ids: bytes) -> bytes:
+        if len(key) <= _LONG:
+            if len(self) >= _TABLE:
+                self.older = dict(self)
+                self.clear()
+            self[key] = ids
         return ids
 
 
 class Encoder:
-    """Text in, ids out in pieces; keeps nothing but the table of words."""
+    """Text in, ids out in pieces; keeps nothing but the vocabulary's table of words."""
 
     def __init__(self, bpe: Bpe) -> None:
-        self.table = _Table(bpe)
+        self.table = bpe.table
         self.split = re.compile("(" + "|".join(map(re.escape, bpe.special)) + ")") if bpe.special else None
         self.special = {k: np.array([v], "<u4").tobytes() for k, v in bpe.special.items()}
-        self.words = regex.compile(bpe.pattern.replace(r"\s", r"\p{White_Space}")).findall
         self.spaces = regex.compile(r"\p{White_Space}")
 
     def pieces(self, text: str) -> Iterator[bytes]:
@@ -172,7 +212,7 @@ class Encoder:
     def _piece(self, text: str) -> Iterator[bytes]:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # a sigma is lower-cased without regard to its place
-        yield b"".join(map(self.table.__getitem__, self.words(text.lower())))
+        yield b"".join(map(self.table.__getitem__, text.lower().replace("\n", " ").split(" ")))
 
     def __call__(self, text: str) -> bytes:
         return b"".join(self.pieces(text))
