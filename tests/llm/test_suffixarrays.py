@@ -83,3 +83,31 @@ def test_pieces_built_to_collide_under_polynomials_differ(spark):
     rows = [(1, thue_morse(11, "a", "b")), (2, thue_morse(11, "b", "a"))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert [r.n_removed for r in suffixarrays.repeats_removed(docs, 2048).collect()] == [0, 0]
+
+
+@pytest.mark.parametrize("n", [8, 25, 40, 200])
+def test_windows_of_pieces_with_zero_bytes_are_classed_as_by_hand(n):
+    draw = random.Random(n)
+    for kinds in (b"\0", b"\0a", b"\0ab\xff", bytes(range(256))) * 10:
+        some = bytes(draw.choices(kinds, k=draw.randint(1, 300)))
+        pieces = [some[draw.randrange(len(some)) :] + bytes(draw.choices(kinds, k=n)) + some * draw.randint(0, 3) for _ in range(draw.randint(1, 8))]
+        text, ends = b"\0".join(pieces) + b"\0", np.cumsum([len(p) + 1 for p in pieces])
+        order, same = suffixarrays.common_prefixes(np.frombuffer(text, np.uint8), n)
+        assert sorted(order.tolist()) == list(range(len(text)))
+        classes = np.empty(len(text), np.int64)
+        classes[order] = np.cumsum(~same)
+        pairs = {(text[i : i + n], int(classes[i])) for end, p in zip(ends.tolist(), pieces, strict=True) for i in range(end - len(p) - 1, end - n)}
+        assert len(pairs) == len({w for w, _ in pairs}) == len({c for _, c in pairs})
+
+
+def test_runs_of_many_texts_are_found_together(monkeypatch):
+    draw, asked, runs = random.Random(7), [], suffixarrays.runs
+    texts = [bytes(draw.choices(b"ab c\0", k=draw.choice([0, 199, 200, 450, 3000, 9000]))) for _ in range(60)]
+    tags, wanted = [i // 2 for i in range(60)], {i for i in range(30) if i % 3}
+    monkeypatch.setattr("tickweave.llm.textbytes.slices.__defaults__", (5000,))
+    monkeypatch.setattr(suffixarrays, "runs", lambda *a: asked.append(1) or runs(*a))
+    got = list(suffixarrays._runs_of(tags, texts, wanted, Powers(), 200))
+    assert [g[0] for g in got] == [i for i in range(60) if tags[i] in wanted] and len(asked) < len(got)
+    for i, *found in got:
+        alone = runs(np.frombuffer(texts[i], np.uint8), np.array([0, len(texts[i])]), Powers(), 200)[1:]
+        assert all((a == b).all() and len(a) == len(b) for a, b in zip(found, alone, strict=True))

@@ -5,7 +5,7 @@ equal anchors. Consecutive windows of one anchor make a run, and the run's bytes
 digest of their piece: equal pieces repeat in whole; pieces that share their anchor, but differ, are compared.
 
 Comparison. The differing pieces of a group of anchors are joined, sorted into a suffix array as deep as ``length`` and
-transformed. From the intervals of the 32-byte strings on, breadth-first backward extension makes those of strings one byte
+transformed. From the intervals of strings of a quarter of ``length`` on, breadth-first backward extension makes those of strings one byte
 longer at a time. An interval whose end no shorter string has marked proves the common prefix there to be as long as the string was, so
 common prefixes come by increasing value, and the search ends at ``length``: what is still unmarked is at least as long.
 
@@ -160,6 +160,17 @@ def _by_document(table: pa.Table, kind: int) -> dict[int, np.ndarray]:
     return {tag: np.unique(np.concatenate(parts)) for tag, parts in lists.items()}
 
 
+def _runs_of(tags: list[int], texts: list[bytes], wanted, powers: Powers, length: int) -> Iterator[tuple]:
+    """Of each wanted text, one slice together: its number, then first window, number of windows, anchor and digest of its runs."""
+    here = [i for i, tag in enumerate(tags) if tag in wanted]
+    offsets = np.append(0, np.cumsum([len(texts[i]) for i in here], dtype=np.int64))
+    for a, b in slices(offsets) if here else ():
+        own = offsets[a : b + 1] - offsets[a]
+        row, first, *more = runs(np.frombuffer(b"".join([texts[i] for i in here[a:b]]), np.uint8), own, powers, length)
+        found, edges = (first - own[row], *more), np.searchsorted(row, np.arange(b - a + 1)).tolist()
+        yield from ((i, *(x[edges[k] : edges[k + 1]] for x in found)) for k, i in enumerate(here[a:b]))
+
+
 def _windows(text: np.ndarray, first: np.ndarray, sizes: np.ndarray, powers: Powers, length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Place and hash of each window of some runs of a text, a bounded number at a time."""
     for at in range(0, len(text), SLICE_BYTES):
@@ -188,14 +199,16 @@ def _pieces(left: pa.Table, right: pa.Table, length: int, groups: int, blocks: i
     """The pieces that are asked for, by group: anchor, digest, tag, place of the first window, number of windows, then bytes. Of those to split, the windows."""
     powers, out, told, held, size = Powers(), {}, [], [], 0
     asked, split = _by_document(right, _ASKED), _by_document(right, _SPLIT)
-    for tag, packed in zip(left["tag"].to_pylist(), left["packed"].to_pylist(), strict=True):
-        if tag not in asked and tag not in split:
-            continue
-        text = np.frombuffer(unsqueezed(packed), np.uint8)
-        _, first, sizes, anchor, digest = runs(text, np.array([0, len(text)]), powers, length)
-        for i in asked[tag].tolist() if tag in asked else ():
-            head = np.array([anchor[i].view(np.int64), digest[i].view(np.int64), tag, first[i], sizes[i]], np.int64)
-            out.setdefault(int(anchor[i] % U(groups)), []).append((head.tobytes(), text[first[i] : first[i] + sizes[i] + length - 1].tobytes()))
+    tags, wanted = left["tag"].to_pylist(), asked.keys() | split.keys()
+    texts = [unsqueezed(packed) if tag in wanted else b"" for tag, packed in zip(tags, left["packed"].to_pylist(), strict=True)]
+    for own, first, sizes, anchor, digest in _runs_of(tags, texts, wanted, powers, length):
+        tag, raw = tags[own], texts[own]
+        text = np.frombuffer(raw, np.uint8)
+        if tag in asked:
+            i = asked[tag]
+            head = np.stack([anchor[i].view(np.int64), digest[i].view(np.int64), np.full(len(i), tag), first[i], sizes[i]], 1)
+            for g, one, at, to in zip((anchor[i] % U(groups)).tolist(), head, first[i].tolist(), (first[i] + sizes[i] + length - 1).tolist(), strict=True):
+                out.setdefault(g, []).append((one.tobytes(), raw[at:to]))
         for start, key in _windows(text, first[split[tag]], sizes[split[tag]], powers, length) if tag in split else ():
             held.append((tag, start, key))
             size += len(start)
@@ -208,24 +221,36 @@ def _pieces(left: pa.Table, right: pa.Table, length: int, groups: int, blocks: i
 
 def common_prefixes(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """A suffix array as deep as ``length``, and for each suffix in it whether its common prefix with the one before is that long."""
-    n = len(text)
-    word = np.concatenate([text, np.zeros(8, np.uint8)]).astype(U)
-    for step in (1, 2, 4):
-        word = (word[:-step] << U(8 * step)) | word[step:]
-    word, depth, seeds = word[:n], 8, None
+    n, seeds = len(text), None
+    # bytes by their number among those there are, so that more of them fit into a word; 0 is the end, which is no byte
+    code = np.cumsum(np.bincount(text, minlength=256) > 0).astype(U)
+    bits = int(code[-1]).bit_length()
+    depth = min(64 // bits, length)
+    ahead = np.append(code[text], np.zeros(depth, U))
+    word = ahead[:n]
+    for k in range(1, depth):
+        word = (word << U(bits)) | ahead[k : k + n]
+    order = np.argsort(word)
+    new = np.append(True, np.diff(word[order]) != 0)
+    rank = np.zeros(n + length, U)
     while True:
-        order = np.argsort(word, kind="stable")
-        new = np.append(True, word[order][1:] != word[order][:-1])
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new)
-        if seeds is None and (depth >= 32 or depth == length):
-            seeds, seed_depth = new, depth
+        if seeds is None and 4 * depth >= length:
+            seeds, seed_depth = new.copy(), depth
         if depth >= length or new.all():
             break
-        step = min(depth, length - depth)
-        after = np.zeros(n, np.int64)
-        after[: n - step] = rank[step:]
-        word, depth = (rank.astype(U) << U(32)) | after.astype(U), depth + step
+        # suffixes that are alone have their place; the others are told apart by as many ranks as fit into a word
+        held = np.cumsum(new)
+        rank[order] = held
+        bits = int(held[-1]).bit_length()
+        times = min(64 // bits, -(-length // depth))
+        reach = min(length, depth * times)
+        slots = np.flatnonzero(~(new & np.append(new[1:], True)))
+        at = order[slots]
+        key = rank[at]
+        for k in range(1, times):
+            key = (key << U(bits)) | rank[at + min(k * depth, reach - depth)]
+        by = np.argsort(key)
+        order[slots], new[slots], depth = at[by], np.append(True, np.diff(key[by]) != 0), reach
     if seeds is None:
         seeds, seed_depth = new, depth
     # seeds come in the order of their own depth; equal strings stand together in any deeper order, so ends agree
@@ -299,8 +324,9 @@ def _kept(left: pa.Table, right: pa.Table, length: int) -> pa.Table:
     powers = Powers()
     whole, starts = _by_document(right, _WHOLE), _by_document(right, _STARTS)
     total, removed, spans, kept = [], [], [], []
-    for tag, packed in zip(left["tag"].to_pylist(), left["packed"].to_pylist(), strict=True):
-        raw = unsqueezed(packed) or b""
+    tags, texts = left["tag"].to_pylist(), [unsqueezed(packed) or b"" for packed in left["packed"].to_pylist()]
+    known = {own: (first[whole[tags[own]]], (first + sizes + length - 1)[whole[tags[own]]]) for own, first, sizes, *_ in _runs_of(tags, texts, whole, powers, length)}
+    for own, (tag, raw) in enumerate(zip(tags, texts, strict=True)):
         total.append(len(raw))
         if tag not in whole and tag not in starts:
             removed.append(0)
@@ -308,10 +334,9 @@ def _kept(left: pa.Table, right: pa.Table, length: int) -> pa.Table:
             kept.append(raw)
             continue
         text, edge = np.frombuffer(raw, np.uint8), np.zeros(len(raw) + 1, np.int64)
-        if tag in whole:
-            _, first, sizes, _, _ = runs(text, np.array([0, len(text)]), powers, length)
-            np.add.at(edge, first[whole[tag]], 1)
-            np.add.at(edge, (first + sizes + length - 1)[whole[tag]], -1)
+        if own in known:
+            np.add.at(edge, known[own][0], 1)
+            np.add.at(edge, known[own][1], -1)
         if tag in starts:
             np.add.at(edge, starts[tag], 1)
             np.add.at(edge, starts[tag] + length, -1)
