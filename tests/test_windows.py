@@ -67,6 +67,23 @@ def test_which_rows_a_window_takes(spark):
     assert (initial["initial_C_A"], initial["initial_T"]) == (5.5, 1005.5)
 
 
+def test_context_readings_are_added_in_the_order_of_their_ticks(spark):
+    readings = [31.74, 58.14, 69.33, 53.73, 45.74, 36.81, 50.09, 69.28, 60.82, 24.32]  # 499.9999999999999 forwards, 500 backwards
+    rows = [("r", 1, k, "context", v, None if k == 3 else 1e308) for k, v in enumerate(readings)]
+    schema = "run_id string, excursion bigint, sample_index bigint, role string, C_A double, T double"
+    for given in (rows, rows[::-1], rows[5:] + rows[:5]):
+        (initial,) = windows.initial_states(spark.createDataFrame(given, schema).coalesce(1)).collect()
+        assert initial["initial_C_A"] == sum_in_order(readings) / 10 < 50.0 and initial["initial_T"] == pytest.approx(1e308, rel=1e-12)
+    assert windows.initial_states(spark.createDataFrame([("r", 1, 0, "context", None, float("nan"))], schema)).collect()[0][2] is None
+
+
+def sum_in_order(values):
+    total = 0.0  # Python's sum makes up for the rounding
+    for v in values:
+        total += v
+    return total
+
+
 def test_budgets_split_in_time_and_leave_eleven_rows_unused(spark):
     _, nominal, ex = found(spark, {"target.p3.a": p3(10)})
     w = windows.find_windows(ex)

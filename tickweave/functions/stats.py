@@ -48,11 +48,16 @@ def root_mean_square(c: Column | str) -> Column:
     )
 
 
-def safe_mean(c: Column | str) -> Column:
-    """Aggregate mean whose sum cannot overflow: readings near the largest double are
-    averaged after scaling by a power of two; ordinary readings keep the plain mean."""
-    x = col(c)
-    return F.when(F.max(F.abs(x)) > _BIG, F.avg(x * _DOWN) / F.lit(_DOWN)).otherwise(F.avg(x))
+def safe_mean(values: Column) -> Column:
+    """Mean of an array whose sum cannot overflow: readings near the largest double are averaged
+    after scaling by a power of two; ordinary readings keep the plain mean. The readings are added
+    from the first to the last, as the last bits of a sum of doubles depend on the order; nulls are left out."""
+    read = F.filter(values, lambda v: v.isNotNull())
+
+    def mean(scale: float) -> Column:
+        return F.try_divide(F.aggregate(read, F.lit(0.0), lambda total, v: total + v * scale), F.size(read).cast("double"))
+
+    return F.when(F.array_max(F.transform(read, F.abs)) > _BIG, mean(_DOWN) / F.lit(_DOWN)).otherwise(mean(1.0))
 
 
 def midpoint(low: Column, high: Column) -> Column:

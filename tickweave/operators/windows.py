@@ -197,9 +197,12 @@ def window_data(ticks: DataFrame, aligned: DataFrame) -> DataFrame:
 
 
 def initial_states(data: DataFrame) -> DataFrame:
-    """Mean of the context readings of every window."""
+    """Mean of the context readings of every window, added in the order of their ticks: rows leave a
+    shuffle in any order, and a mean that stands on a bound must not fall now on one side of it, now on
+    the other. A window has ``CONTEXT_READINGS`` of them, so they fit an array."""
     context = data.where(F.col("role") == "context")
-    return context.groupBy("run_id", "excursion").agg(*[safe_mean(s).alias(f"initial_{s}") for s in STATES])
+    readings = context.groupBy("run_id", "excursion").agg(F.array_sort(F.collect_list(F.struct("sample_index", *STATES))).alias("readings"))
+    return readings.select("run_id", "excursion", *[safe_mean(F.col(f"readings.{s}")).alias(f"initial_{s}") for s in STATES])
 
 
 def split_budgets(windows: DataFrame, budgets: Sequence[int] = BUDGETS) -> DataFrame:

@@ -67,7 +67,10 @@ def _violations(spark, sf):
     log = Log(spark, sf)
     data, initial, predictions = log.predictions()
     wild = predictions.withColumn("C_A_hat", F.col("C_A_hat") * 2 - 100).withColumn("T_hat", F.col("T_hat") - 15)
-    return rounded(scoring.bound_violations(wild, data, initial, log.enthalpy))
+    found = scoring.bound_violations(wild, data, initial, log.enthalpy)
+    # a negative value that is rounded to zero keeps its sign, as in the SQL
+    signed = F.when((F.col("value") < 0.0) & (F.round("value", 6) == 0.0), F.lit(-0.0)).otherwise(F.round("value", 6))
+    return found.withColumns({"value": signed, "limit": F.round("limit", 6)})
 
 
 def _coverage(spark, sf):
