@@ -133,6 +133,17 @@ def test_parameters_that_are_not_as_known(spark):
         ("south", "reactor_volume", "not in its SI unit"), ("north", "density", "missing"), ("north", "viscosity", "unknown")}
 
 
+def test_what_stands_against_publishing(spark):
+    tables = log(spark)
+    assert integrity.pre_publish(tables).isEmpty()
+    again = tables.sensors.where("sensor_id = 'north.T'").withColumn("noise_std", F.lit(9.0))
+    broken = without("operating_runs", "n_samples > 7")(altered("sensors", "sensor_id = 'south.q'", unit="'l/s'")(tables))
+    broken = broken.with_(sensors=broken.sensors.unionByName(again))
+    found = integrity.pre_publish(broken)
+    assert found._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") == 4  # rows of channels, plants, runs and findings are dealt
+    assert {tuple(r) for r in found.collect()} == {("description varies", "north", "T", 2), ("more than one unit", None, "q", 2), ("plant without run", "south", None, 0)}
+
+
 def test_secrets_are_found_in_tables_and_documents(spark):
     secrets, integers, states = {"the slope": 0.0037}, {"the draw": 8191}, spark.createDataFrame([(123.456789012345,)], "value double")
     rows = log(spark).measurements
